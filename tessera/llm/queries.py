@@ -4,17 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, shard
+from . import langid, minhash, mix, pack, pii, quality, secret, shard, subspace
 from .common import table
 
 
+def op1_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_shards, op8_poisson_mix)}
+def op9_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_subspace_pigeonhole,
+        op2_feistel_shards,
+        op4_bbit_minhash,
+        op5_kneser_ney_language,
+        op6_entropy_secrets,
+        op7_anchor_pii,
+        op8_poisson_mix,
+        op9_configuration_packing,
+        op10_suffix_repetition,
+    )
+}
 ORACLE = {"op8_poisson_mix": mix.ORACLE_SQL}
