@@ -9,10 +9,12 @@ solution is rounded to whole sequences; best fit places what rounding leaves.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,6 @@ ROUNDS = 800
 STEP = 0.5
 #: Fall of a length's weight when it is covered once.
 RATE = 3.0
-#: Words whose ids a worker remembers.
-MEMO = 300_000
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -133,31 +133,36 @@ def plan_rows(configs: Counter[Config]) -> list[tuple[int, int, int, int, int, i
     return rows
 
 
-class Words(dict):
-    """Ids, as little-endian 32-bit bytes, of each word of the tokenizer's own splitting."""
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes.
 
-    def __init__(self, path: str, pattern: str) -> None:
-        import regex
-        from tokenizers import Tokenizer
+    Printable bytes stand for themselves, the others follow from U+0100 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+@lru_cache(2)
+def encoder(path: str, pattern: str):
+    """An encoder over the vocabulary file's own ids.
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+    Merges of such a vocabulary are ranked by id, so a rank encoder gives the
+    file's ids several times as fast; the tests hold it against the file's own
+    library. Strings of special tokens in a text are ordinary text.
+    """
+    import tiktoken
 
+    vocabulary = json.loads(Path(path).read_text("utf-8"))
+    letters = byte_letters()
+    special = {t["content"] for t in vocabulary["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-@lru_cache(2)
-def words_of(path: str, pattern: str) -> Words:
-    return Words(path, pattern)
+
+def ids_of(text: str, encode) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    return np.asarray(encode.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -176,12 +181,12 @@ def tokenized(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text",
     end = np.array([eos], "<u4").tobytes()
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = words_of(tokenizer, pattern)
+        encode = encoder(tokenizer, pattern)
         for f in frames:
             for at in range(0, len(f), 500):
                 rows = []
                 for d, t in zip(f["id"].iloc[at : at + 500], f["t"].iloc[at : at + 500], strict=True):
-                    ids = (words.ids(t) if isinstance(t, str) else b"") + end
+                    ids = (ids_of(t, encode) if isinstance(t, str) else b"") + end
                     for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                         part = ids[4 * s : 4 * (s + n)]
                         rows.append((d, i, s, n, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))

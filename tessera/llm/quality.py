@@ -22,7 +22,7 @@ WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
 #: Limits of the method's verdict: repeats under LEAST words don't count.
-LEAST, MOST_COVERED, MOST_LONGEST = 10, 0.3, 150
+LEAST, MOST_COVERED, MOST_LONGEST = 10, 0.15, 50
 #: Words of the texts that share one suffix array.
 TOGETHER = 400_000
 
@@ -53,26 +53,11 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def common_prefixes(ids: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int | None = None) -> np.ndarray:
-    """lcp[i] of the suffixes at places i - 1 and i (lcp[0] = 0), by galloping over all at once."""
-    n = len(ids)
-    lcp = np.zeros(n, np.int64)
-    live = np.arange(1, n)
-    a, b = order[:-1].copy(), order[1:].copy()
-    while len(live):
-        inside = (a < n) & (b < n)
-        same = inside & (ids[np.minimum(a, n - 1)] == ids[np.minimum(b, n - 1)])
-        live, a, b = live[same], a[same] + 1, b[same] + 1
-        lcp[live] += 1
-    return lcp
-
-
 def longest_repeats(ids: np.ndarray) -> np.ndarray:
     """For each position the length of the longest substring from it that occurs elsewhere too.
 
     It is the larger of the two common prefixes with the neighbours in the
     suffix array: the depth of the innermost interval that holds the suffix.
-    Computed in text order, so it needs one comparison chain per repeat.
     """
     n = len(ids)
     if n < 2:
@@ -86,7 +71,7 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
 
 
 def kasai(ids: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """lcp over the suffix array: galloping, then chains of long repeats in text order."""
+    """lcp[i] of the suffixes at places i - 1 and i (lcp[0] = 0), by comparing irreducible positions only."""
     n = len(ids)
     before = np.full(n, -1, np.int64)  # the suffix before each one, by text position
     before[order[1:]] = order[:-1]
