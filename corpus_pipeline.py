@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage reads what its predecessor wrote, works on all of it, and but for
+the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import langid, minhash, mix, pack, pii
+from tessera.llm.common import fresh, stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; rejected ones go."""
+    predicted, score, rejected = fresh(docs, "lang_pred", "score", "rejected")
+    judged = langid.identify(docs, langid.fitted(docs), into=(predicted, score, rejected))
+    return judged.where(~F.col(rejected)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows that repeat an id are one document; rows without id all stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the names of its kinds; lengths follow the new texts."""
+    out = pii.mask_pii(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target share asks, in one random order."""
+    return mix.poisson_mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 1024."""
+    return pack.pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("private_data", private_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: No SQL: language models, MinHash and packing have no SQL form; the tests use plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

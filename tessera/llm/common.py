@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ``[^\x20\x09-\x0D]+``: the words of every operator of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,3 +103,35 @@ def numbered(df: DataFrame, key: list[str], into: str, by: list[str] | None = No
         .drop(b, off)
     )
     return out, counts.groupBy(*by).agg(F.sum(n).alias("n"))
+
+
+def per_text(docs: DataFrame, judge, fields: str, text: str, keep: list[str] | None = None, step: int = 1000) -> DataFrame:
+    """``keep`` (default: all columns) as they are, plus columns made from each text.
+
+    ``judge`` takes a list of texts (None for null) and returns one list per
+    field of ``fields`` (a DDL string). Columns that are kept never leave
+    Arrow, so nulls, large ids and nested values pass unchanged. Texts are
+    turned into Python strings ``step`` at a time. A field with the name of a
+    kept column takes its place.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = docs.columns if keep is None else keep
+    new = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in new}
+    stay = [c for c in kept if c.lower() not in names]
+    (t,) = fresh(docs, "t")
+    frame = docs.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").alias(t))
+    schema = StructType([*frame.schema.fields[:-1], *new.fields])
+    types = to_arrow_schema(new).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                made = judge(part.column(part.num_columns - 1).to_pylist())
+                arrays = [*part.columns[:-1], *(pa.array(m, k) for m, k in zip(made, types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return frame.mapInArrow(run, schema)

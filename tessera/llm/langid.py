@@ -9,16 +9,14 @@ whose entropy lies beyond what held-back training texts show are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, per_text
 
 ORDER = 4
 #: Training texts per language, in expectation: those of the least hashes.
@@ -225,15 +223,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [shared.value.judge(t) for t in f[text]]
-            for j, name in enumerate(into):
-                f[name] = [g[j] for g in got]
-            yield f
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{into[0]} string", f"{into[1]} double", f"{into[2]} boolean"])
-    return docs.mapInPandas(judge, schema)
+    fields = f"`{into[0]}` string, `{into[1]}` double, `{into[2]}` boolean"
+    return per_text(docs, lambda texts: list(zip(*[shared.value.judge(t)[:3] for t in texts], strict=True)), fields, text)
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:

@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, stored
+from .common import WORD, per_text, stored
 from .components import components
 
 WORDS = re.compile(WORD)
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-BANDS, ROWS, BITS = 24, 6, 4
+BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
 PER_LONG = 64 // BITS
 #: Standard deviations by which an estimate may fall short of the threshold.
@@ -95,22 +95,20 @@ def signature(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, size: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, d1, d2, bands, bits): a row per document; d1, d2 digest the words."""
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Hash()
-        for f in frames:
-            for at in range(0, len(f), 1000):
-                rows = []
-                for i, t in zip(f["id"].iloc[at : at + 1000], f["t"].iloc[at : at + 1000], strict=True):
-                    w = words(t)
-                    if not w:
-                        rows.append((i, 0, 0, 0, None, None))
-                        continue
-                    d = np.frombuffer(hashlib.md5("\n".join(w).encode("utf-8", "surrogatepass")).digest(), np.int64)
-                    h = shingle_hashes(w, size, memo)
-                    rows.append((i, len(h), d[0], d[1], *signature(h)))
-                yield pd.DataFrame(rows, columns=["id", "n_shingles", "d1", "d2", "bands", "bits"])
-
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS t").mapInPandas(sign, "id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>")
+    def sign(texts: list[str | None]) -> list:
+        memo, rows = _Hash(), []
+        for t in texts:
+            w = words(t)
+            if not w:
+                rows.append((0, 0, 0, None, None))
+                continue
+            d = np.frombuffer(hashlib.md5("\n".join(w).encode("utf-8", "surrogatepass")).digest(), np.int64)
+            h = shingle_hashes(w, size, memo)
+            rows.append((len(h), int(d[0]), int(d[1]), *signature(h)))
+        return list(zip(*rows, strict=True))
+
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    return per_text(ids, sign, "n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>", "text", keep=["id"])
 
 
 def estimate(left: Column, right: Column) -> Column:

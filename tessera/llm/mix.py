@@ -67,17 +67,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 29, keep: list[str] | None = None) -> DataFrame:
     """Every document as often as its Poisson count says, in one global random order.
 
-    Adds ``copies``, ``copy`` (from 1), ``rate`` and ``shuffle_key``; the rows
-    are range-partitioned and sorted by (shuffle_key, doc_id, copy). Counts
+    Adds ``copies``, ``copy`` (from 1), ``rate`` and ``shuffle_key``, each with
+    underscores in front where the input has that name; the rows are
+    range-partitioned and sorted by (shuffle_key, doc_id, copy). Counts
     depend on seed and doc_id alone, so repeated rows get equal counts. Null
     and empty sources are one source; a null text has size 1; an empty table
-    stays empty. Input columns with the new names are refused.
+    stays empty.
     """
-    clash = {c.lower() for c in docs.columns} & {"copies", "copy", "rate", "shuffle_key"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be replaced")
-    src, cdf, salt = fresh(docs, "src", "cdf", "salt")
-    of = stored(rates(docs, weights, temperature, epochs).select(F.col("src").alias(src), "rate", F.col("cdf").alias(cdf)), "rates")
+    src, cdf, salt, copies, copy, rate, order = fresh(docs, "src", "cdf", "salt", "copies", "copy", "rate", "shuffle_key")
+    of = stored(rates(docs, weights, temperature, epochs).select(F.col("src").alias(src), F.col("rate").alias(rate), F.col("cdf").alias(cdf)), "rates")
     rows = docs.select(*(keep or docs.columns), F.coalesce("source", F.lit("")).alias(src))
     if of.select(src).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         joined = rows.join(F.broadcast(of), src)
@@ -85,10 +83,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
         # as many rows per source as salts, so a source with most rows is spread
         salted = of.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [src, salt]).drop(salt)
-    counted = joined.withColumn("copies", poisson_count(F.col("rate"), F.col(cdf), seed, id_text("doc_id")))
-    copied = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(src, cdf)
-    mixed = copied.withColumn("shuffle_key", (unit(F.lit(str(seed + 1)), id_text("doc_id"), F.col("copy").cast("string")) * float(2**52)).cast("long"))
-    return mixed.orderBy("shuffle_key", "doc_id", "copy")
+    counted = joined.withColumn(copies, poisson_count(F.col(rate), F.col(cdf), seed, id_text("doc_id")))
+    copied = counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(src, cdf)
+    mixed = copied.withColumn(order, (unit(F.lit(str(seed + 1)), id_text("doc_id"), F.col(copy).cast("string")) * float(2**52)).cast("long"))
+    return mixed.orderBy(order, "doc_id", copy)
 
 
 ORACLE_SQL = f"""

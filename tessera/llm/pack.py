@@ -12,16 +12,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import numbered, per_text, stored
 
 CAPACITY = 1024
 EOS = 2
@@ -180,21 +178,17 @@ def tokenized(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text",
     """
     end = np.array([eos], "<u4").tobytes()
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, pattern)
-        for f in frames:
-            for at in range(0, len(f), 500):
-                rows = []
-                for d, t in zip(f["id"].iloc[at : at + 500], f["t"].iloc[at : at + 500], strict=True):
-                    ids = (ids_of(t, encode) if isinstance(t, str) else b"") + end
-                    for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        part = ids[4 * s : 4 * (s + n)]
-                        rows.append((d, i, s, n, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"id": f["id"].dtype})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS t").mapInPandas(pieces, schema).withColumnRenamed("id", id_col)
+    def pieces(texts: list[str | None]) -> list:
+        encode, out = encoder(tokenizer, pattern), []
+        for t in texts:
+            ids = (ids_of(t, encode) if t else b"") + end
+            parts = [(i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            out.append([{"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(p)} | ({"ids": np.frombuffer(p, "<u4").tolist()} if with_ids else {}) for i, s, n, p in parts])
+        return [out]
+
+    kinds = "piece: int, start: bigint, length: bigint, ids_crc32: bigint" + (", ids: array<int>" if with_ids else "")
+    made = per_text(docs, pieces, f"pieces array<struct<{kinds}>>", text, keep=[id_col], step=200)
+    return made.select(id_col, F.inline("pieces"))
 
 
 def packed(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

@@ -8,13 +8,13 @@ the left and right and validates what it finds. Offsets are code points.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import per_text
+
 #: Base kinds first, in the order of the digest; then what the method adds.
 KINDS = ("email", "ip", "card", "phone", "credential", "iban", "ssn")
 
@@ -218,19 +218,14 @@ def scan_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     """
     base = KINDS[:4]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [find(t) for t in f["t"]]
-            firsts = [[s for s in x if s[0] in base] for x in found]
-            yield pd.DataFrame(
-                {"id": f["id"]}
-                | {f"n_{k}": [sum(s[0] == k for s in x) for x in firsts] for k in base}
-                | {"base_sha256": [hashlib.sha256(written(x).encode()).hexdigest() for x in firsts], "spans": [written(x) for x in found]}
-            )
+    def scan(texts: list[str | None]) -> list[list]:
+        found = [find(t) for t in texts]
+        firsts = [[s for s in x if s[0] in base] for x in found]
+        counts = [[sum(s[0] == k for s in x) for x in firsts] for k in base]
+        return [*counts, [hashlib.sha256(written(x).encode()).hexdigest() for x in firsts], [written(x) for x in found]]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS t").mapInPandas(scan, schema).withColumnRenamed("id", id_col)
+    fields = ", ".join(f"n_{k} long" for k in base) + ", base_sha256 string, spans string"
+    return per_text(docs, scan, fields, text, keep=[id_col])
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -239,9 +234,5 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null.
     """
 
-    def mask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f[text] = [masked(t) for t in f[text]]
-            yield f
-
-    return docs.mapInPandas(mask, docs.schema)
+    made = per_text(docs, lambda texts: [[masked(t) for t in texts]], f"`{text}` string", text)
+    return made.select(*[f"`{c}`" for c in docs.columns])

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import WORD
+from .common import WORD, per_text
 
 WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -160,11 +160,10 @@ def repetition_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     each get a row. No shuffle.
     """
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                yield pd.concat([f[["id"]].reset_index(drop=True), measured(f["t"].tolist())], axis=1)
+    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text}` AS t").mapInPandas(judge, schema).withColumnRenamed("id", id_col)
+    def judge(texts: list[str | None]) -> list:
+        got = measured(texts)
+        return [got[c].to_numpy() for c in got.columns]
+
+    return per_text(docs, judge, fields, text, keep=[id_col])

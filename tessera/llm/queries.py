@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mix, pack, pii, quality, secret, shard, subspace
+from . import langid, minhash, mix, pack, pii, quality, secret, shard, subspace, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -49,6 +53,7 @@ QUERIES = {
     for f in (
         op1_subspace_pigeonhole,
         op2_feistel_shards,
+        op3_boosted_urls,
         op4_bbit_minhash,
         op5_kneser_ney_language,
         op6_entropy_secrets,

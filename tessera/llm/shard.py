@@ -10,7 +10,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import fresh, numbered
 
 ROUNDS = 6
 
@@ -88,21 +88,19 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, key: list[str] | None
     number, the row count and the seed alone. Law: ``rows``.
 
     Null keys are numbered like a value; rows equal in key and ties may swap
-    places; an empty table stays empty. Columns of the input with the names of
-    the new ones are refused.
+    places; an empty table stays empty. New columns get underscores in front
+    where the input has their name.
     """
-    clash = {c.lower() for c in df.columns} & {"row", "place", "shard", "slot"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be replaced")
     key = key or ["doc_id"]
-    rows, counts = numbered(df, key, "row", ties=ties, buckets=buckets)
+    row, place, shard, slot = fresh(df, "row", "place", "shard", "slot")
+    rows, counts = numbered(df, key, row, ties=ties, buckets=buckets)
     n = counts.agg(F.sum("n")).first()[0] or 0
     feistel = Feistel(n, seed)
     walks = feistel.walks(df.sparkSession) if n else 0
     return (
-        rows.withColumn("place", feistel.permuted(F.col("row"), walks))
-        .withColumn("shard", (F.col("place") % shards).cast("int"))
-        .withColumn("slot", ((F.col("place") - F.col("place") % shards) / shards).cast("long"))
+        rows.withColumn(place, feistel.permuted(F.col(row), walks))
+        .withColumn(shard, (F.col(place) % shards).cast("int"))
+        .withColumn(slot, ((F.col(place) - F.col(place) % shards) / shards).cast("long"))
     )
 
 
