@@ -1,6 +1,554 @@
-"""Registry of the comparison engine's queries and their SQL."""
+"""Registry of the comparison engine's queries and their SQL.
+
+Each query runs an operator over whole tables; where an operator needs two
+versions of a table, the second one is derived by fixed rules.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import style as S
+from .functions import text as T
+from .functions import values as V
+from .functions import web as W
+from .operators import asof, batch, rows, table_diff, text_diff
+from .options import NormOptions, TableDiffConfig
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- keyed table comparison -------------------------------------------------
+
+CONFIG = TableDiffConfig(keys=("id",), sheet="orders")
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as text cells, and a new version: rows gone, new, changed, and rewritten without change."""
+    o = table(spark, sf_dir, "orders")
+    key, price, day = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(15,2)"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    cells = lambda k, p, d, s, n: [key.alias("row"), k.cast("string").alias("id"), s.alias("status"), p.alias("price"), d.alias("day"), n.alias("note")]
+    old = o.select(*cells(key, price.cast("string"), day, F.col("o_orderstatus"), F.when(key % 5 == 0, "nan").otherwise(F.col("o_orderpriority"))))
+    new_price = F.when(key % 7 == 0, (price + 1).cast("decimal(15,2)").cast("string")).when(key % 4 == 0, F.concat(price.cast("string"), F.lit("0"))).otherwise(price.cast("string"))
+    new_day = F.when(key % 3 == 0, F.replace(day, F.lit("-"), F.lit("/"))).otherwise(day)
+    new_note = F.when(key % 5 == 0, F.lit(None).cast("string")).when(key % 19 == 0, F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).otherwise(F.col("o_orderpriority"))
+    kept = o.where(key % 11 != 0).select(*cells(key, new_price, new_day, F.col("o_orderstatus"), new_note))
+    more = o.where(key % 13 == 0).select(*cells(key + 100_000_000, price.cast("string"), day, F.col("o_orderstatus"), F.col("o_orderpriority")))
+    return old, kept.unionByName(more)
+
+
+ORDER_SQL = """
+old_t AS (SELECT o_orderkey AS rn, o_orderkey::VARCHAR AS id, o_orderstatus AS status, o_totalprice::DECIMAL(15,2)::VARCHAR AS price,
+    strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 5 = 0 THEN 'nan' ELSE o_orderpriority END AS note FROM orders),
+new_t AS (SELECT o_orderkey AS rn, o_orderkey::VARCHAR AS id, o_orderstatus AS status,
+    CASE WHEN o_orderkey % 7 = 0 THEN (o_totalprice::DECIMAL(15,2) + 1)::DECIMAL(15,2)::VARCHAR WHEN o_orderkey % 4 = 0 THEN o_totalprice::DECIMAL(15,2)::VARCHAR || '0' ELSE o_totalprice::DECIMAL(15,2)::VARCHAR END AS price,
+    CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN ' ' || o_orderpriority || ' ' ELSE o_orderpriority END AS note
+    FROM orders WHERE o_orderkey % 11 <> 0
+  UNION ALL SELECT o_orderkey, (o_orderkey + 100000000)::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(15,2)::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority
+    FROM orders WHERE o_orderkey % 13 = 0)
+"""
+
+
+def blank_sql(v: str) -> str:
+    return f"({v} IS NULL OR lower(trim({v})) IN ('', 'nan', 'none', 'null', 'nat'))"
+
+
+def number_sql(v: str) -> str:
+    return f"(CASE WHEN regexp_matches(trim({v}), '{V.NUMBER}') AND isfinite(trim({v})::DOUBLE) THEN trim({v})::DOUBLE END)"
+
+
+def date_sql(v: str) -> str:
+    part = lambda i: f"coalesce(try_cast(regexp_extract(trim({v}), '{V.DATE}', {i}) AS INT), 0)"
+    at = f"(make_timestamp(greatest({part(1)}, 1), 1, 1, 0, 0, 0) + to_months({part(2)} - 1) + to_days({part(3)} - 1) + to_hours({part(4)}) + to_minutes({part(5)}) + to_seconds({part(6)}))"
+    return f"(CASE WHEN regexp_matches(trim({v}), '{V.DATE}') THEN CASE WHEN strftime({at}, '%H:%M:%S') = '00:00:00' THEN strftime({at}, '%Y-%m-%d') ELSE strftime({at}, '%Y-%m-%d %H:%M:%S') END END)"
+
+
+def loose_sql(a: str, b: str) -> str:
+    na, nb, da, db = number_sql(a), number_sql(b), date_sql(a), date_sql(b)
+    return (
+        f"(CASE WHEN {blank_sql(a)} OR {blank_sql(b)} THEN {blank_sql(a)} AND {blank_sql(b)} WHEN {da} IS NOT NULL AND {db} IS NOT NULL THEN {da} = {db} "
+        f"WHEN {na} IS NOT NULL AND {nb} IS NOT NULL THEN {na} = {nb} OR abs({na} - {nb}) < greatest(1e-9, greatest(abs({na}), abs({nb})) * 1e-12) ELSE trim({a}) = trim({b}) END)"
+    )
+
+
+ORDER_COLUMNS = ("id", "status", "price", "day", "note")
+_CHANGED = "list_filter([" + ", ".join(f"CASE WHEN NOT {loose_sql(f'o.{c}', f'n.{c}')} THEN '{c}' END" for c in ORDER_COLUMNS) + "], lambda x: x IS NOT NULL)"
+DIFF_SQL = f"""WITH {ORDER_SQL},
+diff AS (SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted' WHEN len({_CHANGED}) > 0 THEN 'modified' ELSE 'unchanged' END AS category,
+    coalesce(n.id, o.id) AS key, n.rn AS new_row, o.rn AS old_row, CASE WHEN o.id IS NULL OR n.id IS NULL THEN [] ELSE {_CHANGED} END AS changed,
+    o.price AS old_price, n.price AS new_price FROM new_t n FULL JOIN old_t o ON n.id = o.id)
+"""
+
+
+def order_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.table_diff(*order_versions(spark, sf_dir), CONFIG, row="row")
+
+
+@query(DIFF_SQL + "SELECT 'orders' AS sheet, category, count(*) AS n FROM diff GROUP BY category")
+def table_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.diff_counts(order_diff(spark, sf_dir))
+
+
+@query(DIFF_SQL + "SELECT category, key, coalesce(new_row, -1) AS new_row, coalesce(old_row, -1) AS old_row, array_to_string(changed, ',') AS changed FROM diff")
+def table_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_diff(spark, sf_dir).select("category", "key", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("new_row", "old_row")], F.array_join("changed_cols", ",").alias("changed"))
+
+
+@query(DIFF_SQL + "SELECT key, \"column\", old_price AS old_value, new_price AS new_value FROM (SELECT key, unnest(changed) AS \"column\", old_price, new_price FROM diff)")
+def table_diff_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.changed_cells(order_diff(spark, sf_dir)).select("key", "column", "old_value", "new_value")
+
+
+@query(
+    DIFF_SQL + "SELECT count(*) FILTER (category = 'modified') AS modified, count(*) FILTER (category = 'added') AS added, count(*) FILTER (category = 'deleted') AS deleted, "
+    "count(*) FILTER (category = 'unchanged') AS unchanged, 1::BIGINT AS sheets_with_diff, 1::BIGINT AS sheets_compared FROM diff"
+)
+def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.totals(order_diff(spark, sf_dir))
+
+
+@query(DIFF_SQL + "SELECT 'orders' AS sheet, category, count(*) AS n FROM diff WHERE category <> 'unchanged' GROUP BY category")
+def diff_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.overview(order_diff(spark, sf_dir))
+
+
+@query(
+    DIFF_SQL + "SELECT CASE category WHEN 'modified' THEN 0 WHEN 'added' THEN 1 WHEN 'deleted' THEN 2 ELSE 3 END AS category_rank, category, key, "
+    "array_to_string(list_transform(changed, lambda c: c || ': ' || old_price || ' → ' || new_price), '; ') AS changes FROM diff"
+)
+def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_diff.change_summary(order_diff(spark, sf_dir)).select("category_rank", "category", "key", "changes")
+
+
+@query(
+    """WITH old_t AS (SELECT l_orderkey::VARCHAR AS id, l_partkey::VARCHAR AS part, l_linenumber::BIGINT * 1000000000 + l_partkey AS rn FROM lineitem WHERE l_orderkey % 9 <> 0),
+new_t AS (SELECT l_orderkey::VARCHAR AS id, l_partkey::VARCHAR AS part, l_linenumber::BIGINT * 1000000000 + l_partkey AS rn FROM lineitem WHERE l_orderkey % 10 <> 0),
+first_old AS (SELECT * FROM old_t QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn, part) = 1)
+SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN o.part = n.part THEN 'unchanged' ELSE 'modified' END AS category, count(*) AS n
+FROM new_t n LEFT JOIN first_old o ON n.id = o.id GROUP BY 1
+UNION ALL SELECT 'deleted', count(*) FROM old_t WHERE id NOT IN (SELECT id FROM new_t)"""
+)
+def table_diff_dupkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("row"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))
+    diff = table_diff.table_diff(line.where("id % 9 <> 0"), line.where("id % 10 <> 0"), TableDiffConfig(keys=("id",)), row="row")
+    return diff.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINE = "(SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, l_quantity::BIGINT::VARCHAR AS quantity, l_partkey * 1000 + l_suppkey % 1000 AS rn FROM lineitem)"
+
+
+@query(
+    f"""WITH old_t AS (SELECT * FROM {_LINE} WHERE a::BIGINT % 17 <> 0), new_t AS (SELECT * REPLACE (CASE WHEN quantity = '7' THEN '8' ELSE quantity END AS quantity) FROM {_LINE} WHERE b <> '6'),
+first_old AS (SELECT * FROM old_t QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY rn, quantity) = 1)
+SELECT CASE WHEN o.a IS NULL THEN 'added' WHEN o.quantity = n.quantity THEN 'unchanged' ELSE 'modified' END AS category, count(*) AS n FROM new_t n LEFT JOIN first_old o ON n.a = o.a AND n.b = o.b GROUP BY 1
+UNION ALL SELECT 'deleted', count(*) FROM old_t o WHERE NOT EXISTS (SELECT 1 FROM new_t n WHERE n.a = o.a AND n.b = o.b)"""
+)
+def table_diff_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_quantity").cast("long").cast("string").alias("quantity"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("row"))
+    new = line.where("b <> 6").withColumn("quantity", F.when(F.col("quantity") == "7", "8").otherwise(F.col("quantity")))
+    diff = table_diff.table_diff(line.where("a % 17 <> 0"), new, TableDiffConfig(keys=("a", "b")), row="row")
+    return diff.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT 'modified' AS category, c_custkey::VARCHAR AS key, concat_ws(',', CASE WHEN c_custkey % 2 = 0 THEN 'tier' END, '旧_segment') AS changed FROM customer"""
+)
+def table_diff_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    old = c.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = c.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "gold").alias("tier"))
+    return table_diff.table_diff(old, new).select("category", "key", F.array_join("changed_cols", ",").alias("changed"))
+
+
+@query("SELECT 'name,nation' AS common_columns, 'segment' AS deleted_columns, 'tier' AS new_columns, '' AS key_names, false AS auto_key, 'hash' AS match_mode")
+def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    old = c.selectExpr("c_name AS name", "c_nationkey AS nation", "c_mktsegment AS segment")
+    new = c.selectExpr("c_name AS name", "c_nationkey AS nation", "1 AS tier")
+    out = table_diff.structural_diff(old, new)
+    return out.select(*[F.array_join(k, ",").alias(k) for k in ("common_columns", "deleted_columns", "new_columns", "key_names")], "auto_key", "match_mode")
+
+
+@query(
+    """WITH o AS (SELECT p_name AS a, p_brand AS b FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_name AS a, p_brand AS b FROM part WHERE p_partkey % 4 <> 0)
+SELECT 'added' AS category, a, b FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.a = n.a AND o.b = n.b)
+UNION ALL SELECT 'deleted', a, b FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.a = n.a AND o.b = n.b)"""
+)
+def table_diff_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    side = lambda k: p.where(F.col("p_partkey") % k != 0).select(F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
+    diff = table_diff.table_diff(side(3), side(4))
+    values = F.when(F.col("category") == "added", F.col("new_values")).otherwise(F.col("old_values"))
+    return diff.select("category", values["a"].alias("a"), values["b"].alias("b"))
+
+
+_VALUES = """(SELECT p_partkey, unnest(range(0, 8)) AS k, p_size::VARCHAR AS s, p_retailprice::DECIMAL(12,2)::VARCHAR AS r FROM part)"""
+_PAIR = """(SELECT p_partkey, k, CASE k WHEN 0 THEN s WHEN 1 THEN r WHEN 2 THEN ' ' || s WHEN 3 THEN 'nan' WHEN 4 THEN '2024-02-31' WHEN 5 THEN s || '%' WHEN 6 THEN '2024/1/' || s ELSE r || 'e0' END AS a,
+CASE k WHEN 0 THEN s || '.0' WHEN 1 THEN '+' || r || '0' WHEN 2 THEN s || ' ' WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'x' END WHEN 4 THEN '2024-03-02 00:00' WHEN 5 THEN s WHEN 6 THEN '2024-01-' || lpad(s, 2, '0') ELSE r END AS b FROM """ + _VALUES + ")"
+
+
+def value_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of notations of a part's size and price, and of blanks and dates."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"), F.col("p_size").cast("string").alias("s"), F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("r"))
+    pick = lambda *cs: F.element_at(F.array(*cs), (F.col("k") + 1).cast("int"))
+    s, r, cat = F.col("s"), F.col("r"), F.concat
+    a = pick(s, r, cat(F.lit(" "), s), F.lit("nan"), F.lit("2024-02-31"), cat(s, F.lit("%")), cat(F.lit("2024/1/"), s), cat(r, F.lit("e0")))
+    b = pick(cat(s, F.lit(".0")), cat(F.lit("+"), r, F.lit("0")), cat(s, F.lit(" ")), F.when(F.col("p_partkey") % 2 == 0, F.lit(None)).otherwise(F.lit("x")), F.lit("2024-03-02 00:00"), s, cat(F.lit("2024-01-"), F.lpad(s, 2, "0")), r)
+    return p.select("p_partkey", "k", a.alias("a"), b.alias("b"))
+
+
+@query(f"SELECT p_partkey, k, coalesce({loose_sql('a', 'b')}, false) AS loose, trim(coalesce(a, '')) = trim(coalesce(b, '')) AS strict FROM {_PAIR}")
+def loose_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = value_pairs(spark, sf_dir)
+    return v.select("p_partkey", "k", V.loosely_equal(F.col("a"), F.col("b")).alias("loose"), V.strictly_equal(F.col("a"), F.col("b")).alias("strict"))
+
+
+@query(f"SELECT p_partkey, k, {number_sql('a')} AS number, {date_sql('a')} AS day, {blank_sql('b')} AS blank FROM {_PAIR}")
+def value_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = value_pairs(spark, sf_dir)
+    return v.select("p_partkey", "k", V.to_number(F.col("a")).alias("number"), V.date_key(F.col("a")).alias("day"), V.is_blank(F.col("b")).alias("blank"))
+
+
+# --- normalization and lines --------------------------------------------------
+
+NORMS = {
+    "plain": NormOptions(),
+    "case": NormOptions(ignore_case=True),
+    "whitespace": NormOptions(ignore_whitespace=True),
+    "newline": NormOptions(ignore_newline=True),
+    "punct": NormOptions(ignore_punct=True),
+    "all": NormOptions(True, True, True, True, True),
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"md5({T.normalized_sql('text', o)}) AS {k}" for k, o in NORMS.items()) + " FROM documents")
+def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *[F.md5(T.normalized(F.col("text"), o)).alias(k) for k, o in NORMS.items()])
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS tidy_length, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, length(text) - length(replace(text, chr(10), '')) AS newlines FROM documents")
+def tidy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.tidy(t)).cast("long").alias("tidy_length"), F.md5(T.collapse(t)).alias("collapsed"), T.newlines(t).cast("long").alias("newlines"))
+
+
+@query("SELECT doc_id, i AS line_no, md5(l[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) g(i) WHERE i <= len(l)")
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rows.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line"))
+
+
+_LINES = "(SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) g(i) WHERE i <= len(l))"
+
+
+@query(f"SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(line) AS length FROM {_LINES}")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rows.line_offsets(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start", F.col("length").cast("long").alias("length"))
+
+
+@query(
+    "WITH p AS (SELECT doc_id, i - 1 AS para_no, l[i] AS paragraph FROM (SELECT doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents WHERE text <> ''), range(1, 100000) g(i) WHERE i <= len(l)) "
+    "SELECT doc_id, para_no, md5(paragraph) AS paragraph, 1 + coalesce(sum(length(paragraph) - length(replace(paragraph, chr(10), '')) + 2) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line FROM p"
+)
+def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+    out = rows.paragraphs(d, "doc_id")
+    return out.select("doc_id", F.col("para_no").cast("long").alias("para_no"), F.md5("paragraph").alias("paragraph"), "line")
+
+
+@query(
+    f"WITH m AS (SELECT doc_id, line_no, line, sum(CASE WHEN regexp_matches(line, '^[A-D]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM {_LINES}) "
+    "SELECT doc_id, section::BIGINT AS section, md5(left(trim(regexp_replace(arg_min(line, line_no), '\\s+', ' ', 'g')), 24)) AS label, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS body FROM m WHERE section > 0 GROUP BY doc_id, section"
+)
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lined = rows.lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = rows.sections(lined, "doc_id", "^[A-D]")
+    return out.select("doc_id", F.col("section").cast("long").alias("section"), F.md5("label").alias("label"), F.col("n_lines").cast("long").alias("n_lines"), F.md5("body").alias("body"))
+
+
+# --- ordered rows -----------------------------------------------------------------
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in order, numbered from 0."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    first = rows.running_counters(e, ["user_id"], ["ts", "event_id"], F.lit(True), F.lit(True))
+    return first.withColumn("ord", F.col("left_before")).drop("left_before", "right_before")
+
+
+EVENT_SQL = "e AS (SELECT event_id, ts, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord FROM events)"
+_ISLANDS = f"""WITH {EVENT_SQL}, c AS (SELECT *, %s AS eq FROM e),
+m AS (SELECT *, ord - row_number() OVER (PARTITION BY user_id, eq ORDER BY ord) AS isle FROM c)"""
+
+
+@query(
+    _ISLANDS % "event_type IN ('view', 'click')" + ", s AS (SELECT *, count(*) OVER (PARTITION BY user_id, eq, isle) AS n, min(ord) OVER (PARTITION BY user_id, eq, isle) AS first FROM m) "
+    "SELECT user_id, ord, eq AND n >= 3 AS folded, CASE WHEN eq AND n >= 3 THEN n ELSE 1 END AS n FROM s WHERE NOT (eq AND n >= 3) OR ord = first"
+)
+def fold_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.fold_runs(user_events(spark, sf_dir), ["user_id"], "ord", F.col("event_type").isin("view", "click"))
+
+
+@query(
+    _ISLANDS % "event_type = 'purchase'" + ", last AS (SELECT user_id, max(ord) AS last FROM e GROUP BY user_id), "
+    "r AS (SELECT user_id, greatest(min(ord) - 3, 0) AS a, least(max(ord) + 3, any_value(last)) AS b FROM m JOIN last USING (user_id) WHERE eq GROUP BY user_id, isle), "
+    "o AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) AS fresh FROM r), "
+    "g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY a) AS hunk FROM o) SELECT user_id, hunk::BIGINT AS hunk, min(a) AS start, max(b) AS stop FROM g GROUP BY user_id, hunk"
+)
+def change_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.change_hunks(user_events(spark, sf_dir), ["user_id"], "ord", F.col("event_type") == "purchase").select("user_id", F.col("hunk").cast("long").alias("hunk"), "start", "stop")
+
+
+@query(
+    f"WITH {EVENT_SQL} SELECT event_id, coalesce(sum((event_type <> 'purchase')::INT) OVER w, 0)::BIGINT AS left_before, coalesce(sum((event_type <> 'view')::INT) OVER w, 0)::BIGINT AS right_before FROM e "
+    "WINDOW w AS (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+)
+def running_line_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = user_events(spark, sf_dir)
+    return rows.running_counters(e, ["user_id"], ["ord"], F.col("event_type") != "purchase", F.col("event_type") != "view").select("event_id", "left_before", "right_before")
+
+
+@query(
+    f"WITH {EVENT_SQL}, c AS (SELECT *, (lag(event_type) OVER (PARTITION BY user_id ORDER BY ord) IS DISTINCT FROM event_type)::INT AS ch FROM e), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ord) AS run FROM c) "
+    "SELECT user_id, run::BIGINT AS run, event_type, string_agg(event_id::VARCHAR, '' ORDER BY ord) AS ids, count(*) AS n_merged FROM r GROUP BY user_id, run, event_type"
+)
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = user_events(spark, sf_dir).withColumn("ids", F.col("event_id").cast("string"))
+    return rows.merge_runs(e, ["user_id"], ["ord"], ["event_type"], "ids").withColumns({"run": F.col("run").cast("long"), "n_merged": F.col("n_merged").cast("long")})
+
+
+@query(
+    f"WITH {EVENT_SQL}, t AS (SELECT user_id, event_type, sum(1 + event_id % 3) AS total, max(ord) AS last FROM e GROUP BY ALL) "
+    "SELECT user_id, event_type, total::BIGINT AS total FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY total DESC, last) = 1"
+)
+def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.weighted_mode(user_events(spark, sf_dir), ["user_id"], ["ord"], "event_type", 1 + F.col("event_id") % 3)
+
+
+@query(
+    f"WITH {EVENT_SQL}, k AS (SELECT * FROM e QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ord) IS DISTINCT FROM event_type) "
+    "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rank FROM k QUALIFY rank <= 100"
+)
+def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.history(user_events(spark, sf_dir), ["user_id"], ["ord"], ["event_type"]).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations QUALIFY rank <= 3")
+def latest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.latest(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 3).select("conv_id", "turn", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.first_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "WITH s AS (SELECT conv_id, turn, role, i, string_split(text, chr(10)) AS l, coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations, (SELECT 1 AS i)) "
+    "SELECT conv_id, (before + j)::BIGINT AS line_no, turn, j - 1 AS part, role AS cls, md5(l[j]) AS text FROM s, range(1, 10000) g(j) WHERE j <= len(l)"
+)
+def flow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("cls"), "text")
+    return rows.flow_lines(c, "conv_id", "turn").select("conv_id", "line_no", "turn", F.col("part").cast("long").alias("part"), "cls", F.md5("text").alias("text"))
+
+
+# --- anchors ------------------------------------------------------------------------
+
+ANCHOR_SQL = """a AS (SELECT user_id, floor(extract(epoch FROM ts))::DOUBLE AS l, ord * 10.0 AS r FROM e WHERE ord % 4 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, l ORDER BY ord DESC) = 1)"""
+
+
+def event_anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points: every event's second. Anchors: every fourth event of a user, the last one of a second."""
+    e = user_events(spark, sf_dir).withColumn("x", F.unix_timestamp("ts").cast("double"))
+    a = e.where("ord % 4 = 0").groupBy("user_id", F.col("x").alias("l")).agg(F.max(F.col("ord") * F.lit(10.0)).alias("r"))
+    return e.select("user_id", "event_id", "x"), a
+
+
+@query(
+    f"WITH {EVENT_SQL}, {ANCHOR_SQL}, p AS (SELECT user_id, event_id, floor(extract(epoch FROM ts))::DOUBLE AS x FROM e), n AS (SELECT *, lead(l) OVER (PARTITION BY user_id ORDER BY l) AS l1, lead(r) OVER (PARTITION BY user_id ORDER BY l) AS r1 FROM a), "
+    "f AS (SELECT user_id, arg_min(r, l) AS r0, min(l) AS l0 FROM a GROUP BY user_id) "
+    "SELECT p.event_id, round(CASE WHEN n.l IS NULL THEN CASE WHEN f.l0 IS NULL THEN x ELSE f.r0 + (x - f.l0) END WHEN n.l1 IS NULL THEN n.r + (x - n.l) ELSE n.r + (x - n.l) * (n.r1 - n.r) / (n.l1 - n.l) END, 3) AS y "
+    "FROM p ASOF LEFT JOIN n ON p.user_id = n.user_id AND p.x >= n.l LEFT JOIN f ON p.user_id = f.user_id"
+)
+def anchor_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, a = event_anchors(spark, sf_dir)
+    return asof.interpolate(points, a, "user_id").select("event_id", F.round("y", 3).alias("y"))
+
+
+@query(f"WITH {EVENT_SQL}, {ANCHOR_SQL}, p AS (SELECT user_id, event_id, floor(extract(epoch FROM ts))::DOUBLE AS x FROM e) SELECT p.event_id, a.r AS r FROM p ASOF LEFT JOIN a ON p.user_id = a.user_id AND p.x >= a.l")
+def position_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, a = event_anchors(spark, sf_dir)
+    return asof.last_at_or_before(points, a, "user_id", "x", "l", "r").select("event_id", "r")
+
+
+# --- batch planning -----------------------------------------------------------------
+
+
+@query(
+    "SELECT coalesce(a.k, b.k) AS k, a.name AS \"left\", b.name AS \"right\", CASE WHEN a.k IS NULL THEN 'only right' WHEN b.k IS NULL THEN 'only left' END AS warning "
+    "FROM (SELECT lower(p_name) || p_partkey AS k, upper(p_name) || p_partkey AS name FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT lower(p_name) || p_partkey AS k, p_name || p_partkey AS name FROM part WHERE p_partkey % 5 <> 0) b ON a.k = b.k"
+)
+def folder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    a = p.where("p_partkey % 3 <> 0").select(F.concat(F.upper("p_name"), F.col("p_partkey").cast("string")).alias("name"))
+    b = p.where("p_partkey % 5 <> 0").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"))
+    return batch.folder_pairs(a, b)
+
+
+@query(
+    "WITH w AS (SELECT 'F' || s_suppkey AS \"left\", 'f' || (s_suppkey + 1) AS \"right\", s_suppkey AS k FROM supplier) "
+    "SELECT \"left\", \"right\", nullif(concat_ws(', ', CASE WHEN k % 3 = 0 THEN 'left missing' END, CASE WHEN (k + 1) % 2 = 0 OR k + 1 NOT IN (SELECT s_suppkey FROM supplier) THEN 'right missing' END), '') AS warning FROM w"
+)
+def listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    wanted = s.select(F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("left"), name(F.col("s_suppkey") + 1).alias("right"))
+    return batch.listed_pairs(wanted, s.where("s_suppkey % 3 <> 0").select(name(F.col("s_suppkey")).alias("name")), s.where("s_suppkey % 2 <> 0").select(name(F.col("s_suppkey")).alias("name")))
+
+
+@query(
+    "SELECT c_nationkey, a.c_name AS \"left\", s_name AS \"right\" FROM customer a JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0"
+)
+def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select("c_nationkey", F.col("c_name").alias("name"), F.lit(True).alias("l"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_name").alias("name"), F.lit(False).alias("l"))
+    return batch.cross_pairs(c.unionByName(s), ["c_nationkey"], "name", F.col("l"), F.lit(True))
+
+
+_VOLUMES = "SELECT p_brand, p_partkey, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 + 1 AS volume FROM part"
+
+
+@query(f"SELECT p_partkey, volume::INT AS volume, (max(volume) OVER (PARTITION BY p_brand))::INT AS volumes, p_brand || CASE WHEN max(volume) OVER (PARTITION BY p_brand) > 1 THEN '-' || volume ELSE '' END AS output FROM ({_VOLUMES})")
+def volume_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.volumes(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], 10, "p_brand").select("p_partkey", "volume", "volumes", "output")
+
+
+@query("SELECT p_brand, count(*) AS pairs, sum(p_size)::BIGINT AS size, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY ROLLUP (p_brand)")
+def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").selectExpr("p_brand", "p_size AS size", "p_partkey AS keys")
+    return batch.roll_up(p, "p_brand", ["size", "keys"])
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '^http.*\\.(html|net/.*|org/en/.*)$') AS globbed, contains(lower(url), 'blog') AS named, regexp_matches(lower(url), '/e[ns]/[0-9]+') AS matched FROM pages")
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", batch.name_matches(u, "HTTP*.{html,net/*,org/en/*}").alias("globbed"), batch.name_matches(u, "Blog").alias("named"), batch.name_matches(u, "re:/e[ns]/[0-9]+").alias("matched"))
+
+
+@query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_type), 'a')) AND (contains(lower(p_name), 'st') OR contains(lower(p_type), 'st'))")
+def multi_term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(rows.all_terms([F.col("p_name"), F.col("p_type")], F.lit("A　 ST"))).select("p_partkey")
+
+
+@query(
+    "WITH w AS (SELECT page_id, sha1(url) AS key FROM pages), c AS (SELECT sha1(url) AS key, TIMESTAMP '2024-01-02 00:00:00' - to_hours((page_id % 48)::INT) AS fetched_at FROM pages WHERE page_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) "
+    "SELECT page_id, coalesce(fetched_at IS NOT NULL AND epoch(TIMESTAMP '2024-01-02 00:00:00') - epoch(fetched_at) <= 86400, false) AND page_id % 7 <> 0 AS hit FROM w LEFT JOIN c USING (key)"
+)
+def cache_lookup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.sha1("url").alias("key"))
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    cache = rows.first_per_key(p.where("page_id % 3 <> 0"), ["key"], ["page_id"]).select("key", (now - F.make_dt_interval(F.lit(0), (F.col("page_id") % 48).cast("int"))).alias("fetched_at"))
+    return batch.cached(p, cache, "key", now, bypass=F.col("page_id") % 7 == 0).select("page_id", "hit")
+
+
+_IP = "(SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN '10.' WHEN 1 THEN '172.' WHEN 2 THEN '192.' WHEN 3 THEN '169.' WHEN 4 THEN '127.' WHEN 5 THEN '::ffff:10.' WHEN 6 THEN '8.' ELSE '172.' END || (c_custkey % 40) || '.' || (c_custkey % 256) || '.1' AS ip, c_custkey % 40 AS b, c_custkey % 8 AS k FROM customer)"
+
+
+@query(f"SELECT c_custkey, k IN (0, 4, 5) OR (k IN (1, 7) AND b BETWEEN 16 AND 31) AS private FROM {_IP}")
+def private_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    head = F.element_at(F.array(*map(F.lit, ["10.", "172.", "192.", "169.", "127.", "::ffff:10.", "8.", "172."])), (k % 8 + 1).cast("int"))
+    ip = F.concat(head, (k % 40).cast("string"), F.lit("."), (k % 256).cast("string"), F.lit(".1"))
+    return table(spark, sf_dir, "customer").select("c_custkey", batch.private_address(ip).alias("private"))
+
+
+# --- style scalars --------------------------------------------------------------------
+
+_HALF = "floor(({}) * {} + 0.5) / {}"
+
+
+@query(
+    "SELECT p_partkey, floor(p_size * 0.75 * 100 + 0.5) / 100 AS pt, floor(p_size / 2.54 * 10000 + 0.5) / 10000 AS inches, floor(p_size * 10.0 * 10 + 0.5) / 1000.0 AS spacing, "
+    "CASE WHEN p_size <= 10 THEN p_size::DOUBLE END AS plain_spacing, upper(lpad(to_hex(p_partkey % 4096), 3, '0')) AS c3, floor(2 * p_size::DOUBLE / 72 * 10000 + 0.5) / 10000 AS indent FROM part"
+)
+def unit_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size").cast("string")
+    color = S.hex_color(F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("p_partkey") % 4096), 3, "0"))))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        S.to_pt(F.concat(s, F.lit("px"))).alias("pt"),
+        S.to_inches(F.concat(s, F.lit(" CM"))).alias("inches"),
+        S.line_spacing(F.concat(s, F.lit("0%"))).alias("spacing"),
+        S.line_spacing(s).alias("plain_spacing"),
+        F.concat(F.substring(color, 1, 1), F.substring(color, 3, 1), F.substring(color, 5, 1)).alias("c3"),
+        S.indent_inches(F.lit(None).cast("double"), F.lit(2.0), F.col("p_size").cast("double")).alias("indent"),
+    )
+
+
+@query("SELECT page_id, md5(regexp_extract(url, '^[a-z]+://[^/?#]+') || '/') AS origin, CASE WHEN regexp_matches(url, '^https?://') THEN 'web' END AS kind, contains(html, '<script') AS scripted, false AS still_scripted FROM pages")
+def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(W.origin(F.col("url"))).alias("origin"), W.file_kind(F.col("url")).alias("kind"), F.contains(h, F.lit("<script")).alias("scripted"), F.contains(W.sanitized(h), F.lit("<script")).alias("still_scripted"))
+
+
+# --- text alignment (no SQL form) --------------------------------------------------------
+
+
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the next one of its language."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", "text")
+    nxt = rows.running_counters(d.select("doc_id", "lang"), ["lang"], ["doc_id"], F.lit(True), F.lit(True)).select("doc_id", "lang", F.col("left_before").alias("n"))
+    pair = nxt.join(nxt.select("lang", (F.col("n") - 1).alias("n"), F.col("doc_id").alias("other")), ["lang", "n"]).where("n % 2 = 0").select("doc_id", "other")
+    left = pair.join(d.select("doc_id", F.col("text").alias("left")), "doc_id")
+    return left.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("right")), "other").select(F.col("doc_id").alias("pair_id"), "left", "right")
+
+
+@query()
+def text_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = document_pairs(spark, sf_dir)
+    return text_diff.messages(text_diff.grid_stats(p, text_diff.diff_rows(p, NormOptions(ignore_case=True))))
+
+
+@query()
+def text_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_diff.diff_rows(document_pairs(spark, sf_dir)).select("pair_id", "row_ord", "type", "li", "ri")
+
+
+@query()
+def char_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_diff.diff_flow(document_pairs(spark, sf_dir)).select("pair_id", "skipped", "removed_chars", "added_chars")
+
+
+@query()
+def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_diff.unified(text_diff.diff_rows(document_pairs(spark, sf_dir)))
+
+
+@query()
+def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("left"))
+    b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("right"))
+    return text_diff.similarities(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "left", "right"))

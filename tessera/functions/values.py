@@ -16,6 +16,11 @@ NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_blank(v: Column) -> Column:
     """Null, empty, whitespace, or one of the words for nothing in any case."""
     return v.isNull() | F.lower(F.trim(v)).isin("", *BLANK_WORDS)
@@ -34,28 +39,36 @@ def date_key(v: Column) -> Column:
     Parts beyond their range roll over: the 31st of February is the 2nd or
     3rd of March. Midnight drops the time.
     """
-    t = F.trim(v)
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, DATE, i), F.lit("")).cast("int"), F.lit(0))
-    start = F.make_timestamp_ntz(F.greatest(part(1), F.lit(1)), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    at = start + F.make_ym_interval(F.lit(0), part(2) - 1) + F.make_dt_interval(part(3) - 1, part(4), part(5), part(6).cast("decimal(18,6)"))
-    midnight = F.date_format(at, "HH:mm:ss") == "00:00:00"
-    return F.when(t.rlike(DATE), F.when(midnight, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss")))
+
+
+    def form(t: Column) -> Column:
+        part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, DATE, i), F.lit("")).cast("int"), F.lit(0))
+        start = F.make_timestamp_ntz(F.greatest(part(1), F.lit(1)), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        at = start + F.make_ym_interval(F.lit(0), part(2) - 1) + F.make_dt_interval(part(3) - 1, part(4), part(5), part(6).cast("decimal(18,6)"))
+        return F.when(t.rlike(DATE), F.regexp_replace(let(at, lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")), " 00:00:00$", ""))
+
+    return let(F.trim(v), form)
 
 
 def loosely_equal(a: Column, b: Column) -> Column:
     """Equality that ignores notation (F15): blanks alike, dates by key, numbers within a tolerance, else trimmed text."""
-    ba, bb = is_blank(a), is_blank(b)
-    da, db = date_key(a), date_key(b)
-    na, nb = to_number(a), to_number(b)
-    near = (na == nb) | (F.abs(na - nb) < F.greatest(F.lit(1e-9), F.greatest(F.abs(na), F.abs(nb)) * 1e-12))
-    # most cells are identical: the parsing branches run for the rest only
-    return (
-        F.when(a.eqNullSafe(b), True)
-        .when(ba | bb, ba & bb)
-        .when(da.isNotNull() & db.isNotNull(), da == db)
-        .when(na.isNotNull() & nb.isNotNull(), near)
-        .otherwise(F.trim(a) == F.trim(b))
-    )
+
+    def forms(x: Column) -> Column:
+        return F.struct(is_blank(x).alias("blank"), date_key(x).alias("day"), to_number(x).alias("n"), F.trim(x).alias("text"))
+
+    def compare(p: Column) -> Column:
+        l, r = p["l"], p["r"]
+        gap = F.abs(l["n"] - r["n"])
+        near = (l["n"] == r["n"]) | (gap < F.greatest(F.lit(1e-9), F.greatest(F.abs(l["n"]), F.abs(r["n"])) * 1e-12))
+        return (
+            F.when(l["blank"] | r["blank"], l["blank"] & r["blank"])
+            .when(l["day"].isNotNull() & r["day"].isNotNull(), l["day"] == r["day"])
+            .when(l["n"].isNotNull() & r["n"].isNotNull(), near)
+            .otherwise(l["text"] == r["text"])
+        )
+
+    # most cells are identical: only the others are parsed, each form once
+    return F.when(a.eqNullSafe(b), True).otherwise(let(F.struct(forms(a).alias("l"), forms(b).alias("r")), compare))
 
 
 def strictly_equal(a: Column, b: Column) -> Column:

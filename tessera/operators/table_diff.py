@@ -62,12 +62,6 @@ def _text(df: DataFrame, row: str | None, tag: str) -> tuple[DataFrame, list[str
     return df.select(number.alias(f"{tag}_row"), F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).alias(tag)), names
 
 
-def _map(pairs: list[tuple[str, Column, Column]]) -> Column:
-    """Map of the entries (name, wanted, value) that are wanted."""
-    entries = F.array(*[F.when(want, F.struct(F.lit(n).alias("key"), v.alias("value"))) for n, want, v in pairs])
-    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
-
-
 def _cells(side: str, names: list[str]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(side)[n] for n in names]))
 
@@ -94,28 +88,28 @@ def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDi
     left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("old_row")))
     both = right.join(left.where("turn = 1"), "key", "left").drop("turn")
     gone = left.join(right.select("key").distinct(), "key", "left_anti").where(~V.all_blank([F.col("old")[c] for c in old_names]))
-    changes = [(c, ~equal(F.col("old")[c], F.col("new")[c]), F.col("old")[c], F.col("new")[c]) for c in s.common_columns]
-    changes += [(c, ~V.is_blank(F.col("new")[c]), None, F.col("new")[c]) for c in s.new_columns]
-    changes += [(OLD_MARK + c, ~V.is_blank(F.col("old")[c]), F.col("old")[c], F.lit("")) for c in s.deleted_columns]
+    entry = lambda n, d, o, v: F.when(d, F.struct(F.lit(n).alias("name"), o.cast("string").alias("old"), v.alias("new")))
+    changes = [entry(c, ~equal(F.col("old")[c], F.col("new")[c]), F.col("old")[c], F.col("new")[c]) for c in s.common_columns]
+    changes += [entry(c, ~V.is_blank(F.col("new")[c]), F.lit(None), F.col("new")[c]) for c in s.new_columns]
+    changes += [entry(OLD_MARK + c, ~V.is_blank(F.col("old")[c]), F.col("old")[c], F.lit("")) for c in s.deleted_columns]
     matched = F.col("old_row").isNotNull()
-    changed = F.filter(F.array(*[F.when(d, F.lit(n)) for n, d, _, _ in changes]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    judged = both.withColumn("changed_cols", F.when(matched, changed).otherwise(none))
+    # one projection compares all cells; what follows only reads its result
+    judged = both.withColumn("changes", F.when(matched, F.filter(F.array(*changes), lambda x: x.isNotNull())).otherwise(F.array()))
     # a new row that is blank throughout is not reported as added
     judged = judged.where(matched | ~V.all_blank([F.col("new")[c] for c in new_names]))
-    category = F.when(~matched, "added").when(F.size("changed_cols") > 0, "modified").otherwise("unchanged")
+    category = F.when(~matched, "added").when(F.size("changes") > 0, "modified").otherwise("unchanged")
     empty = F.create_map().cast("map<string,string>")
-    old_values = _map([(n, d, o) for n, d, o, _ in changes if o is not None]) if s.common_columns or s.deleted_columns else empty
-    new_values = _map([(n, d, v) for n, d, _, v in changes])
+    names = F.transform("changes", lambda e: e["name"])
     met = judged.select(
         F.lit(config.sheet).alias("sheet"),
         category.alias("category"),
         "key",
         "new_row",
         "old_row",
-        "changed_cols",
-        F.when(category == "modified", old_values).otherwise(empty).alias("old_values"),
-        F.when(category == "modified", new_values).when(category == "added", _cells("new", new_names)).otherwise(empty).alias("new_values"),
+        names.alias("changed_cols"),
+        F.map_from_arrays(names, F.transform("changes", lambda e: e["old"])).alias("old_values"),
+        F.when(category == "added", _cells("new", new_names)).otherwise(F.map_from_arrays(names, F.transform("changes", lambda e: e["new"]))).alias("new_values"),
     )
     lost = gone.select(F.lit(config.sheet), F.lit("deleted"), "key", F.lit(None).cast("long"), "old_row", none, _cells("old", old_names), empty)
     return met.union(lost)
