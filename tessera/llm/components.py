@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,28 @@ def components(links: DataFrame) -> DataFrame:
         )
         labels = stored(labels.join(jump.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
     return labels
+
+
+def forest(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what the links connect, fewer than rows plus columns."""
+    edges, rows_left, columns_left = [], links.any(1), links.any(0)
+    while rows_left.any():
+        todo = [int(rows_left.argmax())]
+        rows_left[todo[0]] = False
+        if same:
+            columns_left[todo[0]] = False
+        while todo:
+            r = todo.pop()
+            for c in np.flatnonzero(links[r] & columns_left):
+                edges.append((r, int(c)))
+                columns_left[c] = False
+                if same:
+                    if rows_left[c]:
+                        rows_left[c] = False
+                        todo.append(int(c))
+                else:
+                    for r2 in np.flatnonzero(links[:, c] & rows_left):
+                        edges.append((int(r2), int(c)))
+                        rows_left[r2] = False
+                        todo.append(int(r2))
+    return edges

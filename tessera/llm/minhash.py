@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, per_text, stored
-from .components import components
+from .components import components, forest
 
 WORDS = re.compile(WORD)
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -31,6 +31,10 @@ PER_LONG = 64 // BITS
 SIGMAS = 6.0
 #: Rounds in which every bucket compares its members with one of them only.
 STAR_ROUNDS = 3
+#: Buckets up to this size pair their members by a join, so a member has fewer pairs than this.
+SMALL = 32
+#: Members of a chunk, in expectation, where larger buckets are compared chunk by chunk.
+CHUNK = 256
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -163,10 +167,11 @@ def near_links(sig: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     A bucket holds the members of one band key. First each bucket's members
     meet one of them only, a different one in every round, and what is linked
-    becomes one component. Then all pairs of a bucket that lie in different
-    components meet, so no component is missed that full comparison would
-    join; pairs inside a component need no comparison, which spares large
-    groups of copies theirs. Estimates prune all candidates.
+    becomes one component. Then members that lie in different components meet,
+    so no component is missed that full comparison would join; pairs inside a
+    component need no comparison, which spares large groups of copies theirs.
+    Small buckets meet by a join; in larger ones chunks meet chunks inside a
+    task, which hands on links only. Estimates prune all candidates.
     """
     spark = sig.sparkSession
     least = least_estimate(percent / 100)
@@ -184,31 +189,111 @@ def near_links(sig: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     links = spark.createDataFrame([], "a long, b long")
     tried = links
     labelled = members.withColumn("component", F.col("id"))
-    for i in range(STAR_ROUNDS + 1):
-        if i < STAR_ROUNDS:
-            order = F.struct(F.when(F.lit(i == 0), F.col("id")).otherwise(F.xxhash64(F.lit(i), "id")).alias("o"), F.col("id").alias("c"), F.col("component").alias("cc"))
-            centres = labelled.groupBy("band", "key").agg(F.min(order).alias("m")).select("band", "key", F.col("m.c").alias("c"), F.col("m.cc").alias("cc"))
-            met = labelled.join(centres, ["band", "key"]).where("component <> cc").select("id", "c")
-        else:
-            other = labelled.select("band", "key", F.col("id").alias("c"), F.col("component").alias("cc"))
-            met = labelled.join(other, ["band", "key"]).where("component < cc").select("id", "c")
-        fresh_pairs = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        candidates = stored(pruned(fresh_pairs), "candidates")
+    for i in range(STAR_ROUNDS):
+        order = F.struct(F.when(F.lit(i == 0), F.col("id")).otherwise(F.xxhash64(F.lit(i), "id")).alias("o"), F.col("id").alias("c"), F.col("component").alias("cc"))
+        centres = labelled.groupBy("band", "key").agg(F.min(order).alias("m")).select("band", "key", F.col("m.c").alias("c"), F.col("m.cc").alias("cc"))
+        met = labelled.join(centres, ["band", "key"]).where("component <> cc").select("id", "c")
+        new = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        candidates = stored(pruned(new), "candidates")
         found = stored(verified(candidates, texts, size, percent), "near_links")
         tried = tried.unionByName(candidates)
         if not found.limit(1).count():
             continue
         links = links.unionByName(found)
-        if i == STAR_ROUNDS:
-            break
         label = components(links).withColumnRenamed("node", "id")
         joined = labelled.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # buckets that lie in one component are done
         open_ = joined.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
         labelled = stored(joined.join(open_, ["band", "key"]), "open_buckets")
-        if not labelled.limit(1).count():
-            break
-    return links
+    sizes = labelled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    few_members = labelled.join(sizes.where(F.col("n") <= SMALL).select("band", "key"), ["band", "key"])
+    other = few_members.select("band", "key", F.col("id").alias("c"), F.col("component").alias("cc"))
+    met = few_members.join(other, ["band", "key"]).where("component < cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    candidates = stored(pruned(met.join(tried, ["a", "b"], "left_anti")), "candidates")
+    found = stored(verified(candidates, texts, size, percent), "near_links")
+    many = labelled.join(sizes.where(F.col("n") > SMALL), ["band", "key"])
+    return links.unionByName(found).unionByName(stored(block_links(many, sig, texts, size, percent, least), "block_links"))
+
+
+def _columns(f: pd.DataFrame, name: str, kind: type) -> np.ndarray:
+    return np.array(f[name].tolist(), np.int64).view(kind)
+
+
+def open_pairs(one: pd.DataFrame, two: pd.DataFrame, same: bool, band: int, percent: int, least: float) -> np.ndarray:
+    """Matrix of the pairs of two chunks that this band's bucket must compare.
+
+    Those lie in different components, may be similar by size and estimate,
+    and have no earlier band in common, where they meet otherwise.
+    """
+    x = _columns(one, "bits", np.uint64)[:, None, :] ^ _columns(two, "bits", np.uint64)[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    off = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1)
+    chance = 2.0**-BITS
+    ok = (1 - off / MINIMA - chance) / (1 - chance) >= least
+    first = (_columns(one, "bands", np.int64)[:, None, :] == _columns(two, "bands", np.int64)[None, :, :]).argmax(-1)
+    n, m = one["n_shingles"].to_numpy()[:, None], two["n_shingles"].to_numpy()
+    ok &= (first == band) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    ok &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()
+    return np.triu(ok, 1) if same else ok
+
+
+def sides(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    same = bool(f["i"].iloc[0] == f["j"].iloc[0])
+    one = f[f["side"] == 0]
+    return one, one if same else f[f["side"] == 1], same
+
+
+def block_links(many: DataFrame, sig: DataFrame, texts: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between components inside large buckets.
+
+    A bucket is cut into chunks by a hash and every two chunks meet in a task
+    of their own. A first pass over the signatures tells which members have
+    open pairs in a task; only their texts are sent there, and a second pass
+    compares the full sets. Links leave it as a spanning forest.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = many.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("chunks")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    task = ["band", "key", "i", "j"]
+    dealt = met.select("id", "component", "band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    signed = dealt.join(sig.select("id", "n_shingles", "bands", "bits"), "id")
+
+    def mark(f: pd.DataFrame) -> pd.DataFrame:
+        one, two, same = sides(f)
+        if not len(one) or not len(two):
+            return f.iloc[:0]
+        ok = open_pairs(one, two, same, int(f["band"].iloc[0]), percent, least)
+        if same:
+            return one[ok.any(1) | ok.any(0)]
+        return pd.concat([one[ok.any(1)], two[ok.any(0)]])
+
+    marked = stored(signed.groupBy(*task).applyInPandas(mark, signed.schema), "open_members")
+    need = marked.select("id").distinct()
+    few = stored(texts.join(need, "id", "left_semi"), "block_texts")
+    full = marked.join(few, "id")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        one, two, same = sides(f)
+        ok = open_pairs(one, two, same, int(f["band"].iloc[0]), percent, least) if len(one) and len(two) else np.zeros((0, 0), bool)
+        links = np.zeros(ok.shape, bool)
+        where: dict[tuple, list[int]] = {}
+        sizes = []
+        for c, t in enumerate(two["t"] if ok.any() else ()):
+            s = shingles(words(t), size)
+            sizes.append(len(s))
+            for x in s:
+                where.setdefault(x, []).append(c)
+        for r in np.flatnonzero(ok.any(1)):
+            s = shingles(words(one["t"].iloc[r]), size)
+            hits = [c for x in s if x in where for c in where[x]]
+            common = np.bincount(hits, minlength=len(two)) if hits else np.zeros(len(two), np.int64)
+            links[r] = ok[r] & (100 * common >= percent * (len(s) + np.array(sizes) - common))
+        edges = forest(links | links.T if same else links, same)
+        a, b = one["id"].to_numpy(), two["id"].to_numpy()
+        return pd.DataFrame({"a": [int(a[r]) for r, _ in edges], "b": [int(b[c]) for _, c in edges]})
+
+    return full.groupBy(*task).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:

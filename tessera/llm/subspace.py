@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .components import components
+from .components import components, forest
 
 BLOCK = 8
 #: Vectors of a cell in one chunk, in expectation; a task compares two chunks.
@@ -110,31 +110,6 @@ def compare(own: np.ndarray, other: np.ndarray | None, dims: int, block: int, co
     return links | links.T if same else links
 
 
-def forest(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Edges (row, column) that connect what the links connect, fewer than rows plus columns."""
-    edges, rows_left, columns_left = [], links.any(1), links.any(0)
-    while rows_left.any():
-        todo = [int(rows_left.argmax())]
-        rows_left[todo[0]] = False
-        if same:
-            columns_left[todo[0]] = False
-        while todo:
-            r = todo.pop()
-            for c in np.flatnonzero(links[r] & columns_left):
-                edges.append((r, int(c)))
-                columns_left[c] = False
-                if same:
-                    if rows_left[c]:
-                        rows_left[c] = False
-                        todo.append(int(c))
-                else:
-                    for r2 in np.flatnonzero(links[:, c] & rows_left):
-                        edges.append((int(r2), int(c)))
-                        rows_left[r2] = False
-                        todo.append(int(r2))
-    return edges
-
-
 def pair_tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
     """Rows (a, b, n): n links of a (b null), or one edge a-b of a spanning forest (n 0).
 
