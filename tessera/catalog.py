@@ -15,7 +15,7 @@ from .functions import style as S
 from .functions import text as T
 from .functions import values as V
 from .functions import web as W
-from .operators import asof, batch, rows, table_diff, text_diff
+from .operators import asof, batch, rows, style, table_diff, text_diff
 from .options import NormOptions, TableDiffConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,3 +552,71 @@ def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("left"))
     b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("right"))
     return text_diff.similarities(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "left", "right"))
+
+
+# --- styles, positions, images -------------------------------------------------------------
+
+
+def page_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Style vectors of pages, and what a small specification expects of them."""
+    found = style.html_vectors(table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("doc_id"), "html"))
+    spec = {"defaults": {"size_pt": 10.0, "line_spacing": 1.5}, "rules": [{"match": {"i": 0}, "set": {"size_pt": 16.0, "align": "center"}}, {"match": {"text_includes": "the"}, "set": {"indent_in": 0.29}}]}
+    return found, style.apply_spec(found, spec)
+
+
+@query()
+def html_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_vectors(spark, sf_dir)[0].drop("runs")
+
+
+@query()
+def style_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_vectors(spark, sf_dir)[1].select("doc_id", "i", "size_pt", "align", "indent_in", "line_spacing")
+
+
+@query()
+def style_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style.style_diff(style.compared(*page_vectors(spark, sf_dir)))
+
+
+@query()
+def style_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = style.compared(*page_vectors(spark, sf_dir))
+    return style.style_summary(met, style.style_diff(met))
+
+
+@query(
+    "WITH i AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS item, l_quantity AS top, l_extendedprice AS left_, l_suppkey % 9 + 4.0 AS height FROM lineitem), "
+    "m AS (SELECT page, list_sort(list(height))[len(list(height)) // 2 + 1] AS median FROM i GROUP BY page), "
+    "g AS (SELECT *, coalesce(top - lag(top) OVER (PARTITION BY page ORDER BY top, left_) > median * 0.5, false)::INT AS fresh FROM i JOIN m USING (page)), "
+    "l AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY top, left_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM g) "
+    "SELECT page, n, item, line::BIGINT AS line, row_number() OVER (PARTITION BY page ORDER BY line, left_, top) AS position FROM l"
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height = F.col("l_suppkey") % 9 + F.lit(4.0)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("top"), F.col("l_extendedprice").alias("left"), height.alias("height"))
+    out = rows.reading_order(items, "page")
+    return out.select("page", "n", "item", F.col("line").cast("long").alias("line"), F.col("position").cast("long").alias("position"))
+
+
+@query(
+    "WITH i AS (SELECT conv_id, turn, text, turn % 2 = 1 AS eol FROM conversations), "
+    "l AS (SELECT *, 1 + coalesce(sum(eol::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM i) "
+    "SELECT conv_id, turn, line::BIGINT AS line, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, line ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS col FROM l"
+)
+def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("str"), (F.col("turn") % 2 == 1).alias("has_eol"))
+    out = rows.text_positions(items, ["conv_id"], ["turn"])
+    return out.select("conv_id", "turn", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
+
+
+@query("SELECT p_partkey, left(regexp_replace(p_name, '\\.[^.]+$', ''), 5) AS short, CASE WHEN length(p_name) > 10 THEN left(p_name, 10) || '…' ELSE p_name END AS brief, replace(replace(p_type, '&', '&amp;'), '<', '&lt;') AS escaped, length(p_name) AS units FROM part")
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.short_name(n).alias("short"), T.brief(n, 10).alias("brief"), T.escape_html(F.col("p_type")).alias("escaped"), T.width_units(n).cast("long").alias("units"))
+
+
+@query()
+def anchors_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = text_diff.anchors(document_pairs(spark, sf_dir), NormOptions())
+    return a.groupBy("pair_id", "level").agg(F.count(F.lit(1)).alias("n"), F.max("coverage").alias("coverage"))
