@@ -16,11 +16,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, per_text
+from .common import id_text, per_text, stored
 
 ORDER = 4
 #: Training texts per language, in expectation: those of the least hashes.
 DOCS_PER_LANGUAGE = 400
+#: Training texts of all languages, in expectation; with very many languages each gives fewer.
+MOST_DOCS = 20_000
+#: Languages up to which their shares are broadcast.
+MOST_BROADCAST = 10_000
 #: Every so many-th training text is held back to set the rejection limits.
 HELD_BACK = 5
 #: Letters scored at a time.
@@ -28,6 +32,8 @@ STRIDE = 1_000_000
 #: Letters after which more text makes the score no surer.
 SURE = 100
 UNKNOWN = "und"
+#: Least probability, per language, that a letter was never seen; margin of the rejection limit in nats.
+UNSEEN, MARGIN = 0.01, 0.75
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,9 +100,8 @@ class Model:
             live = live[~hit]
             if not len(live):
                 return total
-            if n > 1:
-                ctx = find(self.contexts[n - 1], h[n - 1][live - 1])
-                total += self.weights[n - 1].take(ctx[ctx >= 0], 0).sum(0, dtype=np.float64)
+            ctx = find(self.contexts[n - 1], h[n - 1][live - 1])
+            total += self.weights[n - 1].take(ctx[ctx >= 0], 0).sum(0, dtype=np.float64)
         return total + self.floor * len(live)
 
     def entropies(self, s: np.ndarray) -> np.ndarray:
@@ -173,7 +178,7 @@ def train(samples: dict[str, list[str]]) -> Model:
         for j, k in enumerate(languages):
             keys, p, own_ctx, w, _ = parts[k][0][n - 1]
             at = find(own_ctx, ctx)
-            back[:, j] = np.where(at >= 0, np.log(np.maximum(w[at], 1e-12)), 0.0)
+            back[:, j] = np.where(at >= 0, np.log(np.maximum(w[at], UNSEEN if n == 1 else 1e-12)), 0.0)
             at = find(keys, union)
             below = logs[n - 2][find(grams[n - 2], suffix), j] if n > 1 else np.full(len(union), np.log(floor_p))
             fall = back[find(ctx, context), j] + below
@@ -189,7 +194,7 @@ def train(samples: dict[str, list[str]]) -> Model:
         n = np.array([len(t) for t in held])
         mean = np.average(e, weights=n)
         z = (e - mean) * np.sqrt(n)  # spread falls as the root of the length
-        model.limit[j] = mean + 6 * np.sqrt(np.average((e - mean) ** 2, weights=n)) + 0.25
+        model.limit[j] = mean + 6 * np.sqrt(np.average((e - mean) ** 2, weights=n)) + MARGIN
         model.slack[j] = 6 * float(np.sqrt(np.mean(z**2))) + 2
     return model
 
@@ -198,14 +203,18 @@ def training_texts(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE)
     """(doc_id, text, lang) of a bounded sample of the documents that may teach.
 
     Those have a text, a language, and crc32(doc_id) mod 5 not 0. From each
-    language those with the least hashes come, ``docs_per_language`` expected:
-    the bound of the sample is that number times the languages. Whole texts.
+    language those with the least hashes come, ``docs_per_language`` expected
+    and ``MOST_DOCS`` in all: the bound of the sample. Whole texts.
     """
     may = docs.where((F.crc32(id_text("doc_id")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = may.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("share"))
+    sizes = stored(may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = sizes.count()
+    each = float(min(docs_per_language, MOST_DOCS / max(1, languages)))
+    share = sizes.select("lang", (F.lit(each) / F.col("n")).alias("share"))
     point = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    # one row per language
-    return may.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where(point < F.col("share")).select("doc_id", "text", "lang")
+    rows = may.select("doc_id", "text", "lang")
+    joined = rows.join(F.broadcast(share) if languages <= MOST_BROADCAST else share, "lang")
+    return joined.where(point < F.col("share")).select("doc_id", "text", "lang")
 
 
 def fitted(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
