@@ -81,9 +81,10 @@ def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDi
         return _whole_rows(left, right, s, old_names, new_names, config)
     equal = V.loosely_equal if config.equality == "loose" else V.strictly_equal
     key = lambda side: V.make_key([F.col(side)[k] for k in s.keys])
-    usable = lambda c: F.lit(True) if len(s.keys) > 1 and config.blank_composite_is_key else ~V.is_blank(c)
-    left = left.withColumn("key", key("old")).where(usable(F.col("key")))
-    right = right.withColumn("key", key("new")).where(usable(F.col("key")))
+    composite = len(s.keys) > 1 and config.blank_composite_is_key
+    usable = lambda side: F.lit(True) if composite else ~V.all_blank([F.col(side)[k] for k in s.keys])
+    left = left.withColumn("key", key("old")).where(usable("old"))
+    right = right.withColumn("key", key("new")).where(usable("new"))
     # number of the row within its key on the old side; only the first can be met
     left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("old_row")))
     both = right.join(left.where("turn = 1"), "key", "left").drop("turn")
