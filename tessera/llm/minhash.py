@@ -34,7 +34,9 @@ STAR_ROUNDS = 3
 #: Buckets up to this size pair their members by a join, so a member has fewer pairs than this.
 SMALL = 32
 #: Members of a chunk, in expectation, where larger buckets are compared chunk by chunk.
-CHUNK = 256
+CHUNK = 1024
+#: Rows of a chunk that meet the other chunk at a time.
+STRIP = 64
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -225,16 +227,19 @@ def open_pairs(one: pd.DataFrame, two: pd.DataFrame, same: bool, band: int, perc
     Those lie in different components, may be similar by size and estimate,
     and have no earlier band in common, where they meet otherwise.
     """
-    x = _columns(one, "bits", np.uint64)[:, None, :] ^ _columns(two, "bits", np.uint64)[None, :, :]
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    off = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1)
+    bits, other_bits = _columns(one, "bits", np.uint64), _columns(two, "bits", np.uint64)
+    bands, other_bands = _columns(one, "bands", np.int64), _columns(two, "bands", np.int64)
     chance = 2.0**-BITS
-    ok = (1 - off / MINIMA - chance) / (1 - chance) >= least
-    first = (_columns(one, "bands", np.int64)[:, None, :] == _columns(two, "bands", np.int64)[None, :, :]).argmax(-1)
     n, m = one["n_shingles"].to_numpy()[:, None], two["n_shingles"].to_numpy()
-    ok &= (first == band) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-    ok &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()
+    ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (one["component"].to_numpy()[:, None] != two["component"].to_numpy())
+    for at in range(0, len(one), STRIP):
+        part = slice(at, at + STRIP)
+        x = bits[part, None, :] ^ other_bits
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        off = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1)
+        ok[part] &= (1 - off / MINIMA - chance) / (1 - chance) >= least
+        ok[part] &= (bands[part, None, :] == other_bands).argmax(-1) == band
     return np.triu(ok, 1) if same else ok
 
 
