@@ -52,19 +52,25 @@ class Feistel:
         return F.pmod(F.xxhash64(half.cast("long"), F.lit(i), F.lit(self.seed)), F.lit(modulus))
 
     def walks(self, spark, tries: int = 64) -> int:
-        """The most steps that a walk needs, found on the < a points outside."""
-        if self.n == self.a * self.b:
-            return 0
-        while True:
+        """The most steps that a walk from inside needs, found on the < a points outside.
+
+        A point that is still outside after as many steps as there are such
+        points is on a cycle of its own, which no walk from inside enters.
+        """
+        outside = self.a * self.b - self.n
+        tries = min(tries, outside)
+        while outside:
             walked = F.aggregate(
                 F.sequence(F.lit(1), F.lit(tries)),
                 F.struct(F.col("id").alias("at"), F.lit(0).alias("steps")),
                 lambda acc, _: F.when(acc["at"] < self.n, acc).otherwise(F.struct(self.step(acc["at"]).alias("at"), (acc["steps"] + 1).alias("steps"))),
             )
-            got = spark.range(self.n, self.a * self.b).select(walked.alias("w")).agg(F.max("w.steps").alias("most"), F.max("w.at").alias("at")).first()
-            if got["at"] < self.n:
-                return got["most"]
-            tries *= 2
+            ended = F.col("w.at") < self.n
+            got = spark.range(self.n, self.a * self.b).select(walked.alias("w")).agg(F.max(F.when(ended, F.col("w.steps"))).alias("most"), F.count_if(~ended).alias("open")).first()
+            if not got["open"] or tries == outside:
+                return got["most"] or 0
+            tries = min(2 * tries, outside)
+        return 0
 
     def permuted(self, x: Column, walks: int) -> Column:
         return self._walk(x, walks, self.step)
