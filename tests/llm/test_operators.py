@@ -234,7 +234,7 @@ def test_secrets(spark, sf_dir, docs, odd, none):
         base = brute.secrets(t)
         assert by.base_sha256[i] == brute.sha(base)
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(by.spans[i].split(","))
-    assert by.spans[4] == "entropy:4:32" and by.spans[5] == "" and by.spans[6] == ""
+    assert by.spans[4] == "entropy:4:32" and by.spans[5] == "hex:40:76" and by.spans[6] == ""
     assert secret.secret_digest(odd).count() == 10 and secret.secret_digest(none).count() == 0
 
 
