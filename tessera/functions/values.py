@@ -57,7 +57,7 @@ def loosely_equal(a: Column, b: Column) -> Column:
         return F.struct(is_blank(x).alias("blank"), date_key(x).alias("day"), to_number(x).alias("n"), F.trim(x).alias("text"))
 
     def compare(p: Column) -> Column:
-        l, r = p["l"], p["r"]
+        l, r = p[0], p[1]
         gap = F.abs(l["n"] - r["n"])
         near = (l["n"] == r["n"]) | (gap < F.greatest(F.lit(1e-9), F.greatest(F.abs(l["n"]), F.abs(r["n"])) * 1e-12))
         return (
@@ -68,7 +68,7 @@ def loosely_equal(a: Column, b: Column) -> Column:
         )
 
     # most cells are identical: only the others are parsed, each form once
-    return F.when(a.eqNullSafe(b), True).otherwise(let(F.struct(forms(a).alias("l"), forms(b).alias("r")), compare))
+    return F.when(a.eqNullSafe(b), True).otherwise(let(F.transform(F.array(a, b), forms), compare))
 
 
 def strictly_equal(a: Column, b: Column) -> Column:

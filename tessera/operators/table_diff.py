@@ -89,14 +89,18 @@ def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDi
     left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("old_row")))
     both = right.join(left.where("turn = 1"), "key", "left").drop("turn")
     gone = left.join(right.select("key").distinct(), "key", "left_anti").where(~V.all_blank([F.col("old")[c] for c in old_names]))
-    entry = lambda n, d, o, v: F.when(d, F.struct(F.lit(n).alias("name"), o.cast("string").alias("old"), v.alias("new")))
-    changes = [entry(c, ~equal(F.col("old")[c], F.col("new")[c]), F.col("old")[c], F.col("new")[c]) for c in s.common_columns]
-    changes += [entry(c, ~V.is_blank(F.col("new")[c]), F.lit(None), F.col("new")[c]) for c in s.new_columns]
-    changes += [entry(OLD_MARK + c, ~V.is_blank(F.col("old")[c]), F.col("old")[c], F.lit("")) for c in s.deleted_columns]
+    # cells as one array, so the comparison is one expression however many columns there are
+    cell = lambda n, o, v: F.struct(F.lit(n).alias("name"), o.cast("string").alias("old"), v.cast("string").alias("new"))
+    listed = lambda cells, keep: F.filter(F.array(*cells), keep) if cells else F.array().cast("array<struct<name:string,old:string,new:string>>")
+    changes = F.concat(
+        listed([cell(c, F.col("old")[c], F.col("new")[c]) for c in s.common_columns], lambda e: ~equal(e["old"], e["new"])),
+        listed([cell(c, F.lit(None), F.col("new")[c]) for c in s.new_columns], lambda e: ~V.is_blank(e["new"])),
+        listed([cell(OLD_MARK + c, F.col("old")[c], F.lit("")) for c in s.deleted_columns], lambda e: ~V.is_blank(e["old"])),
+    )
     matched = F.col("old_row").isNotNull()
     none = F.array().cast("array<string>")
     # one projection compares all cells; what follows only reads its result
-    judged = both.withColumn("changes", F.when(matched, F.filter(F.array(*changes), lambda x: x.isNotNull())).otherwise(F.array()))
+    judged = both.withColumn("changes", F.when(matched, changes).otherwise(F.array()))
     # a new row that is blank throughout is not reported as added
     judged = judged.where(matched | ~V.all_blank([F.col("new")[c] for c in new_names]))
     category = F.when(~matched, "added").when(F.size("changes") > 0, "modified").otherwise("unchanged")
