@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, mix, pack, pii
-from tessera.llm.common import fresh, stored, table
+from tessera.llm.common import fresh, release, stored, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences of the whole table; scratch tables go as soon as a later stage is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = written() - (name != STAGES[0][0])  # from the previous stage's result on
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, mark)
     return docs

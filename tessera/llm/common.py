@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SETTING = "spark.checkpoint.dir"
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,16 +50,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a frame that ``stored`` returned."""
-    spark = df.sparkSession
+def written() -> int:
+    """How many scratch tables this process has written so far, as a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the scratch tables written after the mark ``since``, but for the last one.
+
+    For callers that have just stored their result and need no table before it.
+    """
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+    for path in _written[since:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+    del _written[since:-1]
 
 
 def id_text(col: str | Column) -> Column:
