@@ -193,7 +193,7 @@ def train(samples: dict[str, list[str]]) -> Model:
         e = np.array([model.entropies(t)[j] for t in held])
         n = np.array([len(t) for t in held])
         mean = np.average(e, weights=n)
-        z = (e - mean) * np.sqrt(n)  # spread falls as the root of the length
+        z = (e - mean) * np.sqrt(np.minimum(n, SURE))  # short texts spread more, as the root of their length
         model.limit[j] = mean + 6 * np.sqrt(np.average((e - mean) ** 2, weights=n)) + MARGIN
         model.slack[j] = 6 * float(np.sqrt(np.mean(z**2))) + 2
     return model
