@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import style as S
@@ -517,10 +517,10 @@ def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the next one of its language."""
+    """Each document with the next one of its language; those without language follow each other."""
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", "text")
-    nxt = rows.running_counters(d.select("doc_id", "lang"), ["lang"], ["doc_id"], F.lit(True), F.lit(True)).select("doc_id", "lang", F.col("left_before").alias("n"))
-    pair = nxt.join(nxt.select("lang", (F.col("n") - 1).alias("n"), F.col("doc_id").alias("other")), ["lang", "n"]).where("n % 2 = 0").select("doc_id", "other")
+    other = F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id"))
+    pair = d.select("doc_id", other.alias("other")).where("other IS NOT NULL")
     left = pair.join(d.select("doc_id", F.col("text").alias("left")), "doc_id")
     return left.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("right")), "other").select(F.col("doc_id").alias("pair_id"), "left", "right")
 

@@ -47,6 +47,13 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
 
 
+def test_every_document_meets_its_successor(spark, tmp_path):
+    docs = [(1, "en"), (2, "de"), (3, "en"), (5, None), (6, "en"), (7, "de"), (8, None), (9, "en"), (10, None), (11, "fr")]
+    spark.createDataFrame([(i, k, f"text {i}") for i, k in docs], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.document_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(a, f"text {a}", f"text {b}") for a, b in [(1, 3), (3, 6), (6, 9), (2, 7), (5, 8), (8, 10)]}
+
+
 def values(spark, pairs):
     return spark.createDataFrame(pairs, "a string, b string")
 
