@@ -549,7 +549,7 @@ def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    a = c.where("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("left"))
+    a = c.select("conv_id", "turn", F.col("text").alias("left"))
     b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("right"))
     return text_diff.similarities(a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "left", "right"))
 

@@ -54,6 +54,13 @@ def test_every_document_meets_its_successor(spark, tmp_path):
     assert got == {(a, f"text {a}", f"text {b}") for a, b in [(1, 3), (3, 6), (6, 9), (2, 7), (5, 8), (8, 10)]}
 
 
+def test_every_turn_meets_the_one_two_places_on(spark, tmp_path):
+    turns = [(1, 0), (1, 1), (1, 2), (1, 3), (1, 5), (2, 1), (2, 2), (3, 1), (3, 3)]
+    spark.createDataFrame([(c, t, "user", f"text {c} {t}") for c, t in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(r["pair_id"] for r in catalog.QUERIES["similar_turns"](spark, str(tmp_path)).collect())
+    assert got == [1000, 1001, 1003, 3001]
+
+
 def values(spark, pairs):
     return spark.createDataFrame(pairs, "a string, b string")
 
