@@ -13,6 +13,7 @@ import json
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -23,11 +24,12 @@ from .common import numbered, per_text, stored
 
 CAPACITY = 1024
 EOS = 2
-ROUNDS = 800
 #: Fraction of its scarcest length that a round's configuration covers.
 STEP = 0.5
 #: Fall of a length's weight when it is covered once.
 RATE = 3.0
+#: Sum of such fractions that counts as all of a length, whatever their rounding.
+COVERED = 1 - 1e-9
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -56,17 +58,21 @@ def best_config(value: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """Configurations and how often to use them, by multiplicative weights."""
+def fractional(counts: np.ndarray, capacity: int, rounds: int | None = None) -> dict[Config, float]:
+    """Configurations and how often to use them, by multiplicative weights.
+
+    Rounds go on until all lengths are covered, or as many as given. Each one
+    covers ``STEP`` of some length, so there are at most a few per length.
+    """
     n = counts.astype(float)
     have = n > 0
     weight = np.where(have, np.arange(len(n)) / capacity, -np.inf)
     covered = np.zeros(len(n))
     x: dict[Config, float] = defaultdict(float)
-    for _ in range(rounds):
-        if not have.any() or covered[have].min() >= 1:
+    for _ in count() if rounds is None else range(rounds):
+        if not have.any() or covered[have].min() >= COVERED:
             break
-        times = Counter(best_config(np.where(have & (covered < 1), weight, -np.inf), capacity))
+        times = Counter(best_config(np.where(have & (covered < COVERED), weight, -np.inf), capacity))
         lengths, mult = np.array(list(times)), np.array(list(times.values()))
         uses = STEP * (n[lengths] / mult).min()
         x[tuple(sorted(times.items(), reverse=True))] += uses
@@ -77,30 +83,43 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Counter[Config]:
-    """Longest first, each into the fullest open sequence that has room."""
-    open_: dict[int, list[list[int]]] = defaultdict(list)
-    mask = 0
-    done: list[list[int]] = []
+    """Longest first, each into the fullest open sequence that has room.
+
+    Equal sequences are one entry with their number. A sequence takes pieces of
+    one length until it has no room for another, so the work follows the
+    lengths and not the pieces.
+    """
+    open_: dict[int, Counter[Config]] = defaultdict(Counter)  # by room
+    done: Counter[Config] = Counter()
+
+    def put(config: Config, space: int, length: int, mult: int, times: int) -> None:
+        if times and mult:
+            config, space = (*config, (length, mult)), space - length * mult
+        if times:
+            (open_[space] if space else done)[config] += times
+
     for length in range(len(left) - 1, 0, -1):
-        for _ in range(int(left[length])):
-            room = mask >> length
-            if room:
-                space = length + ((room & -room).bit_length() - 1)
-                held = open_[space].pop()
-                if not open_[space]:
-                    mask &= ~(1 << space)
-            else:
-                held, space = [], capacity
-                done.append(held)
-            held.append(length)
-            space -= length
-            if space:
-                open_[space].append(held)
-                mask |= 1 << space
-    return Counter(tuple(sorted(Counter(h).items(), reverse=True)) for h in done)
-
-
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Counter[Config]:
+        n = int(left[length])
+        for space in sorted(s for s in open_ if s >= length):
+            each = space // length
+            for config, times in sorted(open_.pop(space).items()):
+                full = min(times, n // each)
+                rest = min(n - full * each, each) if full < times else 0
+                put(config, space, length, each, full)
+                put(config, space, length, rest, int(full < times))
+                put(config, space, length, 0, max(times - full - 1, 0))
+                n -= full * each + rest
+            if not n:
+                break
+        each = capacity // length
+        put((), capacity, length, each, n // each)
+        put((), capacity, length, n % each, int(n % each > 0))
+    for held in open_.values():
+        done += held
+    return done
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> Counter[Config]:
     """How many sequences of each configuration pack ``counts[length]`` pieces of each length."""
     left = counts.astype(np.int64).copy()
     out: Counter[Config] = Counter()
@@ -191,14 +210,14 @@ def tokenized(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text",
     return made.select(id_col, F.inline("pieces"))
 
 
-def packed(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def packed(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces.
 
     The driver sees the histogram of lengths (at most ``capacity`` rows) and
     plans configurations; each piece finds its place by its rank among the
     pieces of its length. The plan has a row per configuration and length: at
-    most capacity x (rounds + rounding's rest), independent of the corpus, so
-    it is broadcast. An empty table stays empty.
+    most capacity x (rounds + best fit's configurations), independent of the
+    corpus, so it is broadcast. An empty table stays empty.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)

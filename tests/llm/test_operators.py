@@ -355,6 +355,33 @@ def test_plan_covers_every_piece_once():
         assert sum(plan.values()) <= np.ceil((counts * np.arange(65)).sum() / 64) * 1.05 + 1
 
 
+def test_every_length_is_covered():
+    counts = np.r_[0, np.random.default_rng(5).integers(1, 10_000, 1023), 0]
+    covered = np.zeros(1025)
+    for config, uses in pack.fractional(counts, 1024).items():
+        for length, mult in config:
+            covered[length] += mult * uses
+    assert (covered >= counts * (1 - 1e-6)).all()
+
+
+def test_best_fit_of_counts_is_that_of_single_pieces():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 100, 400):
+        for low in (1, 20):
+            counts = np.bincount(rng.integers(low, 65, n), minlength=65)
+            rooms = []
+            for length in range(64, 0, -1):
+                for _ in range(counts[length]):
+                    fits = [r for r in rooms if r >= length]
+                    if fits:
+                        rooms.remove(min(fits))
+                    rooms.append((min(fits) if fits else 64) - length)
+            got = pack.best_fit(counts, 64)
+            assert sorted(rooms) == sorted(64 - sum(a * b for a, b in config) for config, times in got.items() for _ in range(times))
+    many = pack.best_fit(np.r_[0, np.full(64, 10**9)], 64)
+    assert sum(a * b * times for config, times in many.items() for a, b in config) == 10**9 * 64 * 65 // 2
+
+
 # op10
 
 
