@@ -166,20 +166,21 @@ def encoder(path: str, pattern: str):
 
     Merges of such a vocabulary are ranked by id, so a rank encoder gives the
     file's ids several times as fast; the tests hold it against the file's own
-    library. Strings of special tokens in a text are ordinary text.
+    library. It knows the file's added tokens, too; ``ids_of`` tells whether
+    their strings in a text count as such.
     """
     import tiktoken
 
     vocabulary = json.loads(Path(path).read_text("utf-8"))
     letters = byte_letters()
-    special = {t["content"] for t in vocabulary["added_tokens"]}
+    special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def ids_of(text: str, encode) -> bytes:
-    """Ids as little-endian unsigned 32-bit bytes."""
-    return np.asarray(encode.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+def ids_of(text: str, encode, added: bool = False) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes; with ``added``, added tokens in the text get their own ids."""
+    return np.asarray(encode.encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=()), "<u4").tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -193,14 +194,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenized(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32 (and ids).
 
-    A null or empty text is the end mark alone. No shuffle.
+    A null or empty text is the end mark alone; added tokens of the vocabulary
+    in a text get their ids, as its library does. No shuffle.
     """
     end = np.array([eos], "<u4").tobytes()
 
     def pieces(texts: list[str | None]) -> list:
         encode, out = encoder(tokenizer, pattern), []
         for t in texts:
-            ids = (ids_of(t, encode) if t else b"") + end
+            ids = (ids_of(t, encode, added=True) if t else b"") + end
             parts = [(i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             out.append([{"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(p)} | ({"ids": np.frombuffer(p, "<u4").tolist()} if with_ids else {}) for i, s, n, p in parts])
         return [out]

@@ -355,6 +355,17 @@ def test_plan_covers_every_piece_once():
         assert sum(plan.values()) <= np.ceil((counts * np.arange(65)).sum() / 64) * 1.05 + 1
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = ["x <|endoftext|> y", mark, mark * 3, f"a  {mark}  b\n{mark}\n", f"<|endoftext {mark[:-1]}", f"don{mark}'t 12{mark}34 ", f"x  {mark}"]
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = pack.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tk.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_every_length_is_covered():
     counts = np.r_[0, np.random.default_rng(5).integers(1, 10_000, 1023), 0]
     covered = np.zeros(1025)
