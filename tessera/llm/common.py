@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,20 +89,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, key: list[str], into: str, by: list[str] | None = None, ties: list[str] | None = None, buckets: int = 8192) -> tuple[DataFrame, DataFrame]:
+def numbered(df: DataFrame, key: list[str], into: str, by: list[str] | None = None, ties: list[str] | None = None, buckets: int | Column = 8192) -> tuple[DataFrame, DataFrame]:
     """Gapless row numbers from 0, over all rows or in each group ``by``.
 
-    Rows are dealt into ``buckets`` by a hash of ``key`` and numbered there;
-    counts of the buckets give each its offset. The number depends on the
+    Rows are dealt into ``buckets`` (a number, or a column of them that is
+    the same in a group) by a hash of key and ties and numbered there; counts
+    of the buckets give each its offset. The number depends on the
     rows only, not on partitions, and no step brings a group together: a
-    group that holds most rows is spread over all buckets. Rows equal in key
-    and ties may swap numbers. The offsets have at most buckets x groups
+    group, or a key, that holds most rows is spread over all buckets. Rows
+    equal in key and ties share a bucket and may swap numbers. The offsets have at most buckets x groups
     rows, so their broadcast is bounded by the callers' choice of both.
     Returns the numbered frame and the counts (by, n).
     """
     by = by or []
     b, off, n = fresh(df, "bucket", "offset", "n")
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*key, *(ties or [])), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
     counts = dealt.groupBy(*by, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
@@ -115,16 +117,53 @@ def numbered(df: DataFrame, key: list[str], into: str, by: list[str] | None = No
     return out, counts.groupBy(*by).agg(F.sum(n).alias("n"))
 
 
-def per_text(docs: DataFrame, judge, fields: str, text: str, keep: list[str] | None = None, step: int = 1000) -> DataFrame:
+#: Rows of one key beyond which it is dealt over several tasks.
+PER_TASK = 1024
+#: At most so many keys can be hot, whatever the table's size: a key is hot only with over 1 / MOST_HOT of all rows.
+MOST_HOT = 50_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """(keys, salts) of the keys that hold many of all ``total`` rows; at most ``MOST_HOT``, so it may be broadcast."""
+    most = max(PER_TASK, total // MOST_HOT)
+    return stored(counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / PER_TASK).cast("int").alias("salts")), "hot_keys")
+
+
+def salted(df: DataFrame, hot: DataFrame, keys: list[str], by: str, salt: str = "salt") -> DataFrame:
+    """Add ``salt``: rows of a hot key are dealt by a hash of ``by``, others have 0."""
+    dealt = F.pmod(F.xxhash64(F.lit(7), by), F.col("salts")).cast("int")
+    return df.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(dealt, F.lit(0))).drop("salts")
+
+
+def for_salts(df: DataFrame, hot: DataFrame, keys: list[str], salt: str = "salt") -> DataFrame:
+    """A row per key, repeated for every salt of a hot key."""
+    last = F.coalesce(F.col("salts"), F.lit(1)) - 1
+    return df.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), last))).drop("salts")
+
+
+def slices(sizes: np.ndarray, step: int, most: int) -> list[tuple[int, int]]:
+    """Cuts (start, length) of rows with these sizes: at most ``step`` rows and, but for single rows, ``most`` bytes."""
+    out, at, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and (i - at >= step or held + n > most):
+            out.append((at, i - at))
+            at, held = i, 0
+        held += n
+    return [*out, (at, len(sizes) - at)] if len(sizes) > at else out
+
+
+def per_text(docs: DataFrame, judge, fields: str, text: str, keep: list[str] | None = None, step: int = 1000, most: int = 1 << 23) -> DataFrame:
     """``keep`` (default: all columns) as they are, plus columns made from each text.
 
     ``judge`` takes a list of texts (None for null) and returns one list per
     field of ``fields`` (a DDL string). Columns that are kept never leave
     Arrow, so nulls, large ids and nested values pass unchanged. Texts are
-    turned into Python strings ``step`` at a time. A field with the name of a
-    kept column takes its place.
+    turned into Python strings ``step`` at a time, and no more than ``most``
+    bytes of them unless one alone is longer. A field with the name of a kept
+    column takes its place.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = docs.columns if keep is None else keep
@@ -138,8 +177,9 @@ def per_text(docs: DataFrame, judge, fields: str, text: str, keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            for at, rows in slices(sizes, step, most):
+                part = batch.slice(at, rows)
                 made = judge(part.column(part.num_columns - 1).to_pylist())
                 arrays = [*part.columns[:-1], *(pa.array(m, k) for m, k in zip(made, types, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
