@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The base kinds in the order of the digest, with the least
 #: length of the group given (0: the whole match).
 BASE = (
@@ -18,23 +20,19 @@ BASE = (
 KINDS = tuple(k for k, *_ in BASE) + ("entropy",)
 
 #: Candidates: long unbroken strings of the widest alphabet.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE, LEAST_CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Character classes: name, pattern of the whole candidate, window, least entropy in bits.
 CLASSES = (
-    ("hex", r"[0-9A-Fa-f]+", 24, 3.2),
+    ("hex", r"[0-9A-Fa-f]+", 20, 3.1),
     ("alnum", r"[A-Za-z0-9]+", 20, 3.75),
     ("base64", r"[A-Za-z0-9+/_=-]+", 20, 3.85),
 )
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates that are no secrets: identifiers of known form, placeholders, runs and paths of words.
-ALLOW = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|xxxxx|abcdefgh|12345678)",
-    r"(.)\1{5,}",
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
-    r"^[/_=-]*([A-Za-z]+|[0-9]+)([/_=-]+([A-Za-z]+|[0-9]+)*)*$",
-)
+#: Candidates that are no secrets: identifiers of known form.
+ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",)
+#: Placeholders; a span with fewer characters than a candidate beside them is no secret.
+ALLOW_SPANS = (r"(?i)(example|sample|dummy|placeholder|changeme|xxxxx|abcdefgh|12345678)",)
+#: Words and numbers never touch in a path of words; a capital follows a small letter at most once in so many letters.
+MINGLED, LETTERS_PER_CAPITAL = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[+]", 6
 
 
 def pieces(text: Column, pattern: str, group: int) -> Column:
@@ -67,45 +65,52 @@ def bits(n: Column) -> Column:
 def window_reach(s: Column, window: int, least: float) -> Column:
     """struct<first, last>: starts of the first and last window of at least that entropy.
 
-    One pass: each step counts one character in and the one ``window`` back
-    out, and changes the sum of n * log2(n) by those two counts alone; the
-    entropy of a full window is log2(window) - sum / window.
+    One pass: each step takes one character in and the one ``window`` back
+    out, and changes the sum of n * log2(n) by the counts of those two alone;
+    the entropy of a full window is log2(window) - sum / window. The state
+    holds the window itself, so a step costs the same at any length.
     """
-    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    leaving = F.concat(F.array_repeat(F.lit(0), window), F.slice(codes, 1, F.greatest(F.size(codes) - window, F.lit(0))))
-    # split gives a last empty string for some patterns; code 0 marks it
-    moves = F.filter(F.arrays_zip(codes.alias("come"), leaving.alias("go")), lambda z: z["come"] > 0)
     start = F.struct(
         F.lit(0).alias("i"),
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"),
+        F.lit("").alias("held"),
         F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
 
-    def slide(acc: Column, z: Column) -> Column:
-        come, go = F.element_at(acc["n"], z["come"]), F.when(z["go"] > 0, F.element_at(acc["n"], z["go"]))
-        same = z["come"] == z["go"]
-        change = F.when(same, F.lit(0.0)).otherwise(bits(come + 1) - bits(come) + F.when(z["go"] > 0, bits(go - 1) - bits(go)).otherwise(0.0))
+    def times(held: Column, c: Column) -> Column:
+        return F.length(held) - F.length(F.replace(held, c, F.lit("")))
+
+    def slide(acc: Column, come: Column) -> Column:
+        full = acc["i"] >= window
+        go = F.when(full, F.substring(acc["held"], 1, 1)).otherwise("")
+        n, m = times(acc["held"], come), times(acc["held"], go)
+        change = F.when(come == go, F.lit(0.0)).otherwise(bits(n + 1) - bits(n) + F.when(full, bits(m - 1) - bits(m)).otherwise(0.0))
         total = acc["sum"] + change
-        counts = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda v, j: v + (j + 1 == z["come"]).cast("int") - (j + 1 == z["go"]).cast("int")))
         at = acc["i"] + 1 - window
         high = (at >= 0) & (F.log2(F.lit(float(window))) - total / window >= least)
         return F.struct(
             (acc["i"] + 1).alias("i"),
-            counts.alias("n"),
+            F.concat(F.when(full, F.substring(acc["held"], 2, window)).otherwise(acc["held"]), come).alias("held"),
             total.alias("sum"),
             F.when(high, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"),
             F.when(high, at).otherwise(acc["last"]).alias("last"),
         )
 
-    return F.aggregate(moves, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    characters = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.aggregate(characters, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def plain_words(s: Column) -> Column:
+    """Whether ``s`` reads as words, numbers and separators: a path, an identifier, a ruler."""
+    return ~s.rlike(MINGLED) & (F.regexp_count(s, F.lit("[a-z][A-Z]")) * LETTERS_PER_CAPITAL <= F.length(s))
 
 
-def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans from the first to the last high window of each candidate not allowed.
+def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ALLOW, allow_spans: tuple[str, ...] = ALLOW_SPANS) -> Column:
+    """Spans from the first to the last high window of each candidate, unless allowed.
 
-    Candidates that overlap a base span are that span's already.
+    A span that lies inside a base span is that one's already; one that
+    reaches out of it stays.
     """
     rank = len(BASE)
 
@@ -115,16 +120,26 @@ def entropy_spans(text: Column, base: Column, allow: tuple[str, ...] = ALLOW) ->
             fits = c["hit"].rlike(f"^{whole}$")
             reach = F.when(fits, window_reach(c["hit"], size, least)).otherwise(reach)
             window = F.when(fits, F.lit(size)).otherwise(window)
-        return F.struct((c["start"] + reach["first"]).alias("start"), F.lit(rank).alias("rank"), (c["start"] + reach["last"] + window).alias("end"), c["hit"].alias("hit"))
+        return F.struct(c["start"].alias("from"), reach["first"].alias("first"), (reach["last"] + window).alias("end"), c["hit"].alias("hit"))
 
-    def wanted(c: Column) -> Column:
-        ok = ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def cut(c: Column) -> Column:
+        part = F.substr(c["hit"], c["first"] + 1, c["end"] - c["first"])
+        return F.struct((c["from"] + c["first"]).alias("start"), F.lit(rank).alias("rank"), (c["from"] + c["end"]).alias("end"), part.alias("hit"))
+
+    def candidate(c: Column) -> Column:
+        ok = ~plain_words(c["hit"]) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
         for pattern in allow:
             ok = ok & ~c["hit"].rlike(pattern)
         return ok
 
-    candidates = F.filter(spans(text, rank, CANDIDATE, 0, 20), wanted)
-    return F.filter(F.transform(candidates, judged), lambda s: s["start"].isNotNull())
+    def wanted(c: Column) -> Column:
+        ok = ~plain_words(c["hit"]) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+        for pattern in allow_spans:
+            ok = ok & (F.length(F.regexp_replace(c["hit"], pattern, "")) >= F.least(F.length(c["hit"]), F.lit(LEAST_CANDIDATE)))
+        return ok
+
+    high = F.filter(F.transform(F.filter(spans(text, rank, CANDIDATE, 0, LEAST_CANDIDATE), candidate), judged), lambda c: c["first"].isNotNull())
+    return F.filter(F.transform(high, cut), wanted)
 
 
 def written(found: Column) -> Column:
@@ -133,14 +148,18 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """Add ``base_spans`` and ``entropy_spans``: arrays of (start, rank, end, hit).
+def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, into: tuple[str, str] = ("base_spans", "entropy_spans")) -> DataFrame:
+    """Add ``into``: two arrays of (start, rank, end, hit), base spans and those the entropy adds.
 
-    A null or empty text has none; repeated rows each get theirs. No shuffle.
+    A null or empty text has none; repeated rows each get theirs; an empty
+    table stays empty. New columns get underscores in front where the input
+    has their names. Texts and candidates of any length are read whole, in
+    time proportional to their length. No shuffle.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    first, second = fresh(docs, *into)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = F.array_sort(F.concat(*[spans(t, i, p, g, n) for i, (_, p, g, n) in enumerate(BASE)]))
-    return docs.withColumn("base_spans", base).withColumn("entropy_spans", entropy_spans(t, F.col("base_spans"), allow))
+    return docs.withColumn(first, base).withColumn(second, entropy_spans(t, F.col(first), allow))
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
