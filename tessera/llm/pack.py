@@ -3,8 +3,8 @@
 The program has one variable per way to fill a sequence (a configuration of
 lengths) and one covering constraint per length. Multiplicative weights solve
 it: a weight per length prices configurations, knapsack dynamic programming
-finds the best one, and the weights of the lengths it covers fall. The
-solution is rounded to whole sequences; best fit places what rounding leaves.
+finds the best one, and the weights of the lengths it covers fall. Uses are
+rounded down to whole sequences as they are added.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from .common import numbered, per_text, stored
 
 CAPACITY = 1024
 EOS = 2
-#: Fraction of its scarcest length that a round's configuration covers.
-STEP = 0.5
-#: Fall of a length's weight when it is covered once.
-RATE = 3.0
-#: Sum of such fractions that counts as all of a length, whatever their rounding.
-COVERED = 1 - 1e-9
+#: Fall of a length's weight by the time all of it is covered: a factor of exp(-RATE).
+RATE = 0.3
+#: Power of its length by which a piece is priced at first; above 1, long pieces, hard to place, come first.
+SLOPE = 1.2
+#: Pieces of one length in a bucket where pieces are numbered, and the most buckets in all.
+PER_BUCKET, MOST_BUCKETS = 50_000, 500_000
 
 Config = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -58,32 +58,52 @@ def best_config(value: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int | None = None) -> dict[Config, float]:
-    """Configurations and how often to use them, by multiplicative weights.
+def filling(price: np.ndarray, left: np.ndarray, capacity: int) -> Counter[int]:
+    """The most valuable filling of a sequence by pieces that are left: length -> times.
 
-    Rounds go on until all lengths are covered, or as many as given. Each one
-    covers ``STEP`` of some length, so there are at most a few per length.
+    The knapsack has no bound on a length's pieces; one that runs out stays
+    as it is, and the rest of the room is filled without it.
     """
-    n = counts.astype(float)
-    have = n > 0
-    weight = np.where(have, np.arange(len(n)) / capacity, -np.inf)
-    covered = np.zeros(len(n))
-    x: dict[Config, float] = defaultdict(float)
+    price, config, room = price.copy(), Counter(), capacity
+    while room:
+        times = Counter(best_config(price, room))
+        for length, mult in times.items():
+            took = min(mult, int(left[length]) - config[length])
+            config[length] += took
+            room -= took * length
+            if config[length] == left[length]:
+                price[length] = -np.inf
+        if not times or all(price[length] > -np.inf for length in times):
+            break
+    return Counter({length: mult for length, mult in config.items() if mult})
+
+
+def program(counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[Counter[Config], np.ndarray]:
+    """Configurations with whole numbers of uses, and the pieces of each length that they leave.
+
+    A weight per length prices configurations, knapsack dynamic programming
+    finds the best one, and it is used as long as its scarcest length lasts;
+    the weights of what it covers fall by a factor. So nothing is covered
+    twice, every round ends a length or a part of one, and rounds follow the
+    lengths and not the pieces. All is covered at the end, unless ``rounds``
+    stops before.
+    """
+    n, left = np.maximum(counts, 1).astype(float), counts.astype(np.int64).copy()
+    start = (np.arange(len(n)) / capacity) ** SLOPE
+    out: Counter[Config] = Counter()
     for _ in count() if rounds is None else range(rounds):
-        if not have.any() or covered[have].min() >= COVERED:
+        if not left.any():
             break
-        times = Counter(best_config(np.where(have & (covered < COVERED), weight, -np.inf), capacity))
-        lengths, mult = np.array(list(times)), np.array(list(times.values()))
-        uses = STEP * (n[lengths] / mult).min()
-        x[tuple(sorted(times.items(), reverse=True))] += uses
-        gained = mult * uses / n[lengths]
-        covered[lengths] += gained
-        weight[lengths] *= np.exp(-RATE * gained)
-    return x
+        config = filling(np.where(left > 0, start * np.exp(-RATE * (1 - left / n)), -np.inf), left, capacity)
+        lengths, mult = np.array(list(config)), np.array(list(config.values()))
+        uses = int((left[lengths] // mult).min())
+        out[tuple(sorted(config.items(), reverse=True))] += uses
+        left[lengths] -= uses * mult
+    return out, left
 
 
-def best_fit(left: np.ndarray, capacity: int) -> Counter[Config]:
-    """Longest first, each into the fullest open sequence that has room.
+def best_fit(left: np.ndarray, capacity: int, begun: Counter[Config] | None = None) -> Counter[Config]:
+    """Longest first, each into the fullest open sequence that has room; ``begun`` are open at first.
 
     Equal sequences are one entry with their number. A sequence takes pieces of
     one length until it has no room for another, so the work follows the
@@ -91,6 +111,9 @@ def best_fit(left: np.ndarray, capacity: int) -> Counter[Config]:
     """
     open_: dict[int, Counter[Config]] = defaultdict(Counter)  # by room
     done: Counter[Config] = Counter()
+    for config, times in (begun or {}).items():
+        room = capacity - sum(a * b for a, b in config)
+        (open_[room] if room else done)[config] += times
 
     def put(config: Config, space: int, length: int, mult: int, times: int) -> None:
         if times and mult:
@@ -120,20 +143,13 @@ def best_fit(left: np.ndarray, capacity: int) -> Counter[Config]:
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> Counter[Config]:
-    """How many sequences of each configuration pack ``counts[length]`` pieces of each length."""
-    left = counts.astype(np.int64).copy()
-    out: Counter[Config] = Counter()
-    if len(left) > capacity and left[capacity]:
-        out[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    for config, uses in sorted(fractional(left, capacity, rounds).items(), key=lambda kv: (-kv[1], kv[0])):
-        times = min([int(np.ceil(uses)), *(int(left[length]) // mult for length, mult in config)])
-        # a filling with room to spare is left to best fit
-        if times and sum(length * mult for length, mult in config) == capacity:
-            out[config] += times
-            for length, mult in config:
-                left[length] -= times * mult
-    return out + best_fit(left, capacity)
+    """How many sequences of each configuration pack ``counts[length]`` pieces of each length.
+
+    Best fit places what a program cut short by ``rounds`` leaves, first into
+    the room of the program's own sequences.
+    """
+    out, left = program(counts, capacity, rounds)
+    return best_fit(left, capacity, out) if left.any() else out
 
 
 def plan_rows(configs: Counter[Config]) -> list[tuple[int, int, int, int, int, int]]:
@@ -217,28 +233,39 @@ def packed(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
 
     The driver sees the histogram of lengths (at most ``capacity`` rows) and
     plans configurations; each piece finds its place by its rank among the
-    pieces of its length. The plan has a row per configuration and length: at
-    most capacity x (rounds + best fit's configurations), independent of the
-    corpus, so it is broadcast. An empty table stays empty.
+    pieces of its length, dealt over more buckets the more there are. The
+    plan has a row per configuration and length, a few thousand however
+    large the corpus, so it is broadcast. Pieces that fill a sequence need
+    neither rank nor plan: each has a sequence of its own, numbered below 0.
+    An empty table stays empty.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().toLocalIterator():
         counts[row["length"]] = row["count"]
+    counts[capacity] = 0
     rows = plan_rows(plan(counts, capacity, rounds))
     places = spark.createDataFrame(rows, "length long, low long, high long, first long, copies long, base long")
-    ranked, _ = numbered(pieces, [id_col, "piece"], "rank", by=["length"], ties=["ids_crc32"], buckets=64)
-    at = ranked.join(F.broadcast(places), "length").where("rank >= low AND rank < high")
+    per = max(PER_BUCKET, int(counts.sum()) // MOST_BUCKETS)
+    buckets = spark.createDataFrame([(n, int(-(-counts[n] // per))) for n in np.flatnonzero(counts).tolist()], "length long, buckets int")
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    part = pieces.where(F.col("length") < capacity).join(F.broadcast(buckets), "length")
+    ranked, _ = numbered(part, [id_col, "piece"], "rank", by=["length"], ties=["ids_crc32"], buckets=F.col("buckets"))
+    at = ranked.drop("buckets").join(F.broadcast(places), "length").where("rank >= low AND rank < high")
     place = (F.col("rank") - F.col("low"))
     inner = place % F.col("copies")
-    return at.withColumn("sequence_id", F.col("first") + ((place - inner) / F.col("copies")).cast("long")).withColumn("offset", F.col("base") + inner * F.col("length")).drop("rank", "low", "high", "first", "copies", "base")
+    placed = at.withColumn("sequence_id", F.col("first") + ((place - inner) / F.col("copies")).cast("long")).withColumn("offset", F.col("base") + inner * F.col("length"))
+    return placed.drop("rank", "low", "high", "first", "copies", "base").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack; the pieces are stored once, as two passes read them.
 
     ``tokenizer`` is the path of a byte-level vocabulary on the executors.
-    Repeated rows give repeated pieces, each with a place of its own.
+    Repeated rows give repeated pieces, each with a place of its own; a null
+    id is an id like others; a null or empty text is the end mark alone; an
+    empty table gives an empty result. Strings of the vocabulary's added
+    tokens count as those tokens. ``with_ids`` adds the token ids.
     """
     import public_tokenizers
 
