@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessera.llm import langid, minhash, mix, pack, pii, quality, queries, secret, shard, subspace, urls
+from tessera.llm import common, langid, minhash, mix, pack, pii, quality, queries, secret, shard, subspace, urls
 from tessera.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, copy string, score double"
@@ -151,21 +151,47 @@ def test_rules_and_trees(spark, sf_dir):
 # op4
 
 
-@pytest.mark.parametrize("small,chunk", [(32, 256), (1, 4)])
-def test_near_documents_as_all_pairs_do(spark, sf_dir, docs, small, chunk):
+@pytest.mark.parametrize("small,chunk,shingles", [(32, 256, 1 << 20), (1, 4, 1 << 20), (1, 1024, 2000)])
+def test_near_documents_as_all_pairs_do(spark, sf_dir, docs, small, chunk, shingles):
     more = [(10_000 + k, " ".join(w for j, w in enumerate((docs[1][1] or "").split()) if j % 40 != k % 40), "en") for k in range(30)]
     rows = [(i, t) for i, t, _ in docs[:120]] + [(i, t) for i, t, _ in more]
-    old = minhash.SMALL, minhash.CHUNK, minhash.STAR_ROUNDS
-    minhash.SMALL, minhash.CHUNK, minhash.STAR_ROUNDS = small, chunk, 1
+    held = minhash.SMALL, minhash.CHUNK, minhash.CHUNK_SHINGLES, minhash.STAR_ROUNDS, common.PER_TASK
+    minhash.SMALL, minhash.CHUNK, minhash.CHUNK_SHINGLES, minhash.STAR_ROUNDS, common.PER_TASK = small, chunk, shingles, 1, 8
     try:
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).toPandas().set_index("doc_id")
     finally:
-        minhash.SMALL, minhash.CHUNK, minhash.STAR_ROUNDS = old
+        minhash.SMALL, minhash.CHUNK, minhash.CHUNK_SHINGLES, minhash.STAR_ROUNDS, common.PER_TASK = held
     sizes, parts = brute.near_documents(rows, 3, 85)
     assert got.n_shingles.to_dict() == sizes and got.component_id.to_dict() == parts
     assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_near_documents_of_a_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).toPandas().set_index("doc_id")
+    sizes, parts = brute.near_documents(rows, 3, 85)
+    assert got.n_shingles.to_dict() == sizes and got.component_id.to_dict() == parts
+
+
+def test_different_texts_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (None, b + " z"), (None, None), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(df, 3, 85).collect()), key=str)
+    assert got == sorted([(5, 38, 5, True)] * 3 + [(6, 39, 5, False), (7, 39, 5, False), (None, 39, 5, False), (None, 0, None, True)], key=str)
+    one = minhash.one_of_each(df.withColumn("row", F.lit("x")).withColumn("at", F.lit(1)).withColumn("cluster", F.lit(2)))
+    assert one.columns == ["doc_id", "text", "row", "at", "cluster"]
+    assert sorted(map(str, (tuple(r)[:2] for r in one.collect()))) == sorted(map(str, [(5, a), (5, b), (None, None)]))
+
+
+def test_words_as_bytes_are_the_contract_words():
+    texts = ["", None, " \t\n ", "a", "A b", " x y", "\u00c9 \u00e9 \u0130", "abcdefgh ijklmnopq abcdefgh", "abcdefghi abcdefgh\x00 abcdefgh", "x" * 300 + " " + "x" * 299, "a\x0bb\x1cc\u00a0d\u2003e", "q" * 100_000]
+    flat, lens = minhash.word_hashes(texts)
+    want = brute.shingle_sets(list(enumerate(texts)), 2)
+    assert [len(s) for s in minhash.shingle_sets(flat, lens, 2)] == [len(want[i]) for i in range(len(texts))]
+    assert lens.tolist() == [len(brute.WORD.findall(t or "")) for t in texts]
+
+
 def test_near_documents_odd(odd, none):
     got = minhash.near_duplicates(odd, 3, 85).toPandas()
     assert len(got) == 10
@@ -181,7 +207,7 @@ def test_estimate_is_near_the_similarity():
         both = rng.integers(0, 2**63, 2000, dtype=np.uint64)
         n = int(2000 * share)
         a, b = both, np.r_[both[:n], rng.integers(0, 2**63, 2000 - n, dtype=np.uint64)]
-        x, y = (minhash.signature(np.unique(v))[1].view(np.uint64) for v in (a, b))
+        x, y = minhash.signature(np.array([minhash.minima(np.unique(v)) for v in (a, b)]))[1].view(np.uint64)
         off = sum(int(((p >> np.uint64(4 * k)) & low) != ((q >> np.uint64(4 * k)) & low)) for p, q in zip(x, y, strict=True) for k in range(16))
         estimate = (1 - off / minhash.MINIMA - 1 / 16) / (1 - 1 / 16)
         assert abs(estimate - n / (4000 - n)) < 0.15
@@ -238,6 +264,23 @@ def test_secrets(spark, sf_dir, docs, odd, none):
     assert secret.secret_digest(odd).count() == 10 and secret.secret_digest(none).count() == 0
 
 
+def test_long_and_hostile_candidates(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n, letters: "".join(rng.choice(list(letters), n))
+    small, every = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["k-" + draw(8000, every + "-_"), "q-" + draw(36, small + small.upper()) + "+1z", draw(200_000, every), "a/" * 50_000, "ruler " + "=" * 100_000, "getAccountBalanceFromRemoteDatabase", draw(22, "0123456789abcdef").upper(), "password=hunter22 " + "A" * 12 + draw(30, every), "token: abcdef12/" + draw(40, every), "AKIA" + draw(20, "ABCDEFGH0123456789") + "x" + draw(30, every)]
+    by = secret.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert all(by.base_sha256[i] == brute.sha(brute.secrets(t)) for i, t in enumerate(texts))
+    assert by.spans[0] == f"entropy:0:{len(texts[0])}" and by.spans[2] == f"entropy:0:{len(texts[2])}"
+    assert "entropy" in by.spans[1] and by.spans[3] == by.spans[4] == by.spans[5] == "" and by.spans[6] == "entropy:0:22"
+    assert by.spans[7].startswith("assign:0:17,entropy:") and by.spans[8] == "assign:0:56" and "access:0:24,entropy:" in by.spans[9]
+
+
+def test_added_columns_leave_the_input_alone(spark):
+    df = spark.createDataFrame([("x", 1, 2)], "text string, base_spans int, entropy_spans int")
+    assert secret.scan_secrets(df).columns == ["text", "base_spans", "entropy_spans", "_base_spans", "_entropy_spans"]
+
+
 def test_window_entropy_equals_direct(spark):
     s = "aZ3bQ9xK2mL7pR4tV8wY1cD6fG0haaaaaaaaaaaaaaaaaaaaaaaa"
     w, least = 20, 3.5
@@ -313,7 +356,6 @@ def test_packing(spark, sf_dir, docs):
     assert brute.offsets_fit(list(zip(got.sequence_id, got.offset, got.length, strict=True)), 1024)
     assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 1024 + 2
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     by = dict(list(got.sort_values("piece").groupby("doc_id")))
     for (i, t, _), e in zip(docs, tk.encode_batch([t or "" for _, t, _ in docs], add_special_tokens=False), strict=True):
         ids, g = np.array([*e.ids, 2], "<u4"), by[i]
@@ -335,10 +377,9 @@ def test_ids_of_odd_characters():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk, enc = Tokenizer.from_file(path), pack.encoder(path, public_tokenizers.PATTERN)
-    tk.encode_special_tokens = True
     texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}\n" for c in range(0, 0x3000, 7)] + ["<|endoftext|>", "a  b\n\n c \n", "  ", "it's I'LL 12ab \U0001f600"]
     for t, e in zip(texts, tk.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.array(e.ids, "<u4").tobytes() == pack.ids_of(t, enc)
+        assert np.array(e.ids, "<u4").tobytes() == pack.ids_of(t, enc, added=True)
 
 
 def test_plan_covers_every_piece_once():
@@ -366,13 +407,18 @@ def test_added_tokens_as_the_library_has_them(spark):
     assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tk.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
 
 
-def test_every_length_is_covered():
-    counts = np.r_[0, np.random.default_rng(5).integers(1, 10_000, 1023), 0]
-    covered = np.zeros(1025)
-    for config, uses in pack.fractional(counts, 1024).items():
-        for length, mult in config:
-            covered[length] += mult * uses
-    assert (covered >= counts * (1 - 1e-6)).all()
+def test_program_covers_every_piece_of_every_length():
+    rng = np.random.default_rng(5)
+    for counts in (np.r_[0, rng.integers(1, 10_000, 255), 0], np.bincount(np.full(200, 150), minlength=257), np.bincount([180, 76] * 100, minlength=257), np.zeros(257, int)):
+        configs, left = pack.program(counts, 256)
+        back = np.zeros(len(counts), int)
+        for config, uses in configs.items():
+            assert sum(a * b for a, b in config) <= 256
+            for length, mult in config:
+                back[length] += mult * uses
+        assert (back == counts).all() and not left.any()
+    many = np.bincount(np.clip(rng.lognormal(4, 1, 100_000), 1, 255).astype(int), minlength=257)
+    assert sum(pack.program(many, 256)[0].values()) <= 1.002 * (many * np.arange(257)).sum() / 256
 
 
 def test_best_fit_of_counts_is_that_of_single_pieces():
