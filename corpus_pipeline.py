@@ -23,11 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    Rows that repeat an id are one document; rows without id all stay.
+    Groups are made of texts, not of ids: of a group one row stays, that of
+    the smallest id; different texts of one id are documents of their own.
     """
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return minhash.one_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +36,21 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target share asks, in one random order."""
+    """Every document as often as its source's target share asks, in one random order.
+
+    A null source is the empty source, a null text has size 1, and no rows
+    give none.
+    """
     return mix.poisson_mix(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of at most 1024."""
-    return pack.pack_documents(docs)
+    """Token pieces with their ids and their places in sequences of at most 1024.
+
+    A null text is the end mark alone; repeated documents have pieces of their
+    own; no rows give none.
+    """
+    return pack.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
