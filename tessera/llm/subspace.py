@@ -2,8 +2,10 @@
 
 Unit vectors are rotated and split into blocks of few dimensions. Two vectors
 within the squared distance of the threshold are, in at least one block,
-within that block's share of it. A range join per block finds the pairs so
-near in it; the union over the blocks is verified on the full vectors.
+within that block's share of it. A range join per block, on the block's
+coordinates alone, finds the pairs so near in it; the union over the blocks
+is verified on the full vectors. A pair counts in the first block in which it
+keeps the budget, so the union needs no further aggregation.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import for_salts, hot_keys, salted, stored
 from .components import components, forest
 
 BLOCK = 8
-#: Vectors of a cell in one chunk, in expectation; a task compares two chunks.
+#: Vectors in one chunk, in expectation; a task compares two chunks.
 CHUNK = 1024
+#: Rows that meet the others in their band of the third coordinate at a time.
+STRIP = 64
+#: Near pairs per row beyond which a task hands on no pairs, but compares the full vectors itself.
+DENSE = 32
 #: Relative slack of the budgets, far above rounding and far below any gap that matters.
 SLACK = 1e-9
 
@@ -56,110 +62,174 @@ def budget(dims: int, block: tuple[int, int], cosine: float) -> float:
     return (2 - 2 * cosine) * (1 + SLACK) * (block[1] - block[0]) / dims + SLACK
 
 
-def cells(vectors: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(id, label, v, block, cx, cy): a row per vector and block, with its grid cell there.
-
-    The grid spans the block's first two dimensions; its side is the root of
-    the budget, so partners lie in the same or an adjoining cell.
-    """
+def place(vectors: DataFrame, dims: int) -> DataFrame:
+    """(node, label, weight, x, y): the unit vector and its rotation."""
     q = rotation(dims)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 2000):
                 part = f.iloc[at : at + 2000]
-                y = rotated(unit(np.array(part["v"].tolist(), np.float64)), q)
-                for i, (s, e) in enumerate(blocks(dims)):
-                    side = np.sqrt(budget(dims, (s, e), cosine))
-                    cell = np.floor(y[:, s : s + 2] / side).astype(np.int32)
-                    yield part.assign(block=i, cx=cell[:, 0], cy=cell[:, 1] if e - s > 1 else 0)
+                x = unit(np.array(part["v"].tolist(), np.float64))
+                yield part.drop(columns="v").assign(x=list(x), y=list(rotated(x, q)))
 
-    return vectors.mapInPandas(place, "id long, label string, weight long, v array<float>, block int, cx int, cy int")
+    return vectors.select("node", "label", "weight", "v").mapInPandas(turn, "node long, label string, weight long, x array<double>, y array<double>")
 
 
-def compare(own: np.ndarray, other: np.ndarray | None, dims: int, block: int, cosine: float) -> np.ndarray:
-    """Matrix of links between the rows of ``own`` and ``other`` (None: itself) that this block accounts for.
+def tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(node, c, role, label, block, hx, hy, i, j): the rows of each task of the range joins.
 
-    A pair counts in the first block in which it keeps the budget, so the
-    blocks' sums count every link once.
+    A grid spans the block's first two dimensions; its side is the root of the
+    budget, so partners lie in the same or an adjoining cell. A task belongs
+    to a home cell: its rows (role 0) meet each other and those of the four
+    later neighbours (role 1); role 2 is both. Where a cell and its guests
+    are many, chunk i of the home rows meets chunk j of all rows. A hot cell
+    is dealt by salts when rows learn the numbers of chunks.
     """
-    q = rotation(dims)
-    same = other is None
-    x = unit(own)
-    z = x if same else unit(other)
-    rx, rz = rotated(x, q), rotated(z, q)
     spans = blocks(dims)
-    s, e = spans[block]
-    near = (rx[:, s:e] ** 2).sum(1)[:, None] + (rz[:, s:e] ** 2).sum(1) - 2 * rx[:, s:e] @ rz[:, s:e].T <= budget(dims, spans[block], cosine) + 1e-9
-    if same:
-        near = np.triu(near, 1)
-    links = np.zeros(near.shape, bool)
-    at, to = np.nonzero(near)
-    for c in range(0, len(at), 50_000):
-        i, j = at[c : c + 50_000], to[c : c + 50_000]
-        ok = np.ones(len(i), bool)
-        for k, (s, e) in enumerate(spans[: block + 1]):
-            d = np.zeros(len(i))
-            for m in range(s, e):
-                d += (rx[i, m] - rz[j, m]) ** 2
-            within = d <= budget(dims, spans[k], cosine)
-            ok &= within if k == block else ~within
-        i, j = i[ok], j[ok]
-        dot = np.einsum("ij,ij->i", x[i], z[j])
-        links[i[dot >= cosine], j[dot >= cosine]] = True
-    return links | links.T if same else links
-
-
-def pair_tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """Rows (a, b, n): n links of a (b null), or one edge a-b of a spanning forest (n 0).
-
-    Cells are split into chunks by a hash, so a cell that holds a third of the
-    vectors is as many chunks as it needs; a task compares one chunk with
-    another of the same or a later adjoining cell.
+    side = [float(np.sqrt(budget(dims, b, cosine))) for b in spans]
+    block = F.explode(
+        F.array(*[
+            F.struct(F.lit(k).alias("block"), F.slice("y", s + 1, e - s).alias("c"), F.floor(F.get("y", F.lit(s)) / side[k]).cast("int").alias("cx"), (F.floor(F.get("y", F.lit(s + 1)) / side[k]).cast("int") if e - s > 1 else F.lit(0)).alias("cy"))
+            for k, (s, e) in enumerate(spans)
+        ])
+    )
+    rows = placed.select("node", "label", block.alias("b")).select("node", "label", "b.*")
+    cell = ["label", "block", "hx", "hy"]
+    homes = F.explode(F.array(*[F.struct((F.col("cx") - x).alias("hx"), (F.col("cy") - y).alias("hy"), F.lit((x, y) == (0, 0)).alias("own")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    sent = rows.withColumn("h", homes).select("node", "label", "block", "c", "h.*")
+    sizes = sent.groupBy(*cell).agg(F.count_if("own").alias("own_n"), F.count(F.lit(1)).alias("n")).where("own_n > 0 AND n > 1")
+    sizes = stored(sizes.select(*cell, "n", F.ceil(F.col("own_n") / CHUNK).cast("int").alias("ni"), F.ceil(F.col("n") / CHUNK).cast("int").alias("nj")), "cell_sizes")
+    hot = hot_keys(sizes, cell, "n", placed.count() * len(spans))
+    known = salted(sent, hot, cell, "node").join(for_salts(sizes, hot, cell), [*cell, "salt"])
+    i, j = (F.pmod(F.xxhash64(F.lit(3), "node"), F.col(n)).cast("int") for n in ("ni", "nj"))
+    every_j = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(0).alias("role")))
+    every_i = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(1).alias("role")))
+    both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role")))
+    task = F.when(~F.col("own"), every_i).when((F.col("ni") == 1) & (F.col("nj") == 1), both).otherwise(F.concat(every_j, every_i))
+    return known.withColumn("t", F.explode(task)).select("node", "c", "own", *cell, "t.*")
+
+
+TASK = ["label", "block", "hx", "hy", "i", "j"]
+
+
+def two_sides(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return f[f["role"] != 1], f[f["role"] != 0]
+
+
+def in_range(home: np.ndarray, other: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (home, other) of the pairs within the squared distance ``most``, strip by strip.
+
+    Both are swept along their last swept coordinate: a strip of home rows
+    meets only the rows of its band there.
     """
-    place = ["label", "block", "cx", "cy"]
-    sizes = placed.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    half = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    neighbours = sizes.select("*", F.explode(half).alias("d")).select(*place, "chunks", (F.col("cx") + F.col("d.dx")).alias("nx"), (F.col("cy") + F.col("d.dy")).alias("ny"))
-    there = sizes.select("label", "block", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("chunks").alias("nchunks"))
-    # (cell, next cell): both non-empty; the first is the home of the comparison
-    meet = neighbours.join(there, ["label", "block", "nx", "ny"])
-    own = (F.col("cx") == F.col("nx")) & (F.col("cy") == F.col("ny"))
-    here = meet.select(*place, "nx", "ny", "chunks", "nchunks", own.alias("own"), F.lit(0).alias("side"))
-    guest = meet.where(~own).select("label", "block", F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("cx").alias("hx"), F.col("cy").alias("hy"), "chunks", "nchunks", F.lit(False).alias("own"), F.lit(1).alias("side"))
-    roles = here.select(*place, F.col("cx").alias("hx"), F.col("cy").alias("hy"), "nx", "ny", "chunks", "nchunks", "own", "side").unionByName(
-        guest.withColumn("nx", F.col("cx")).withColumn("ny", F.col("cy"))
-    )
-    point = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30))
-    sent = placed.join(roles, place).withColumn("mine", F.pmod(point, F.when(F.col("side") == 0, F.col("chunks")).otherwise(F.col("nchunks"))).cast("int"))
-    # a chunk of the home meets every chunk of the other cell; inside one cell each two chunks meet once
-    last = F.when(F.col("own"), F.col("chunks")).when(F.col("side") == 0, F.col("nchunks")).otherwise(F.col("chunks"))
-    with_other = sent.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
-    first = F.when(F.col("own"), F.least("mine", "other")).when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other"))
-    second = F.when(F.col("own"), F.greatest("mine", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
-    side = F.when(F.col("own"), (F.col("mine") != F.least("mine", "other")).cast("int")).otherwise(F.col("side"))
-    tiles = with_other.select("id", "weight", "v", "label", "block", "hx", "hy", "nx", "ny", first.alias("i"), second.alias("j"), side.alias("side"), "own")
-
-    def meet_up(f: pd.DataFrame) -> pd.DataFrame:
-        block, same = int(f["block"].iloc[0]), bool(f["own"].iloc[0]) and f["i"].iloc[0] == f["j"].iloc[0]
-        one = f[f["side"] == 0]
-        two = one if same else f[f["side"] == 1]
-        empty = pd.DataFrame({"a": [], "b": [], "n": []})
-        if len(one) == 0 or len(two) == 0 or (same and len(one) < 2):
-            return empty
-        left = np.array(one["v"].tolist(), np.float64)
-        links = compare(left, None if same else np.array(two["v"].tolist(), np.float64), dims, block, cosine)
+    axis = min(2, home.shape[1] - 1)
+    ho, oo = np.argsort(home[:, axis], kind="stable"), np.argsort(other[:, axis], kind="stable")
+    along, squares = other[oo, axis], (other**2).sum(1)[oo]
+    reach = float(np.sqrt(most)) + 1e-9
+    for at in range(0, len(ho), STRIP):
+        mine = ho[at : at + STRIP]
+        x = home[mine]
+        low, high = np.searchsorted(along, x[0, axis] - reach, "left"), np.searchsorted(along, x[-1, axis] + reach, "right")
+        d = (x**2).sum(1)[:, None] + squares[low:high] - 2 * x @ other[oo[low:high]].T
+        r, c = np.nonzero(d <= most + 1e-9)
+        yield mine[r], oo[low + c]
+
+
+def near_pairs(placed_tiles: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """Candidates (a, b, block), a row per pair near in the block; or, of a dense task, its key alone (dense)."""
+    most = [budget(dims, b, cosine) for b in blocks(dims)]
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        home, other = two_sides(f)
+        key = f[TASK].iloc[:1]
+        a, b = [], []
+        if len(home) and len(other):
+            mine, theirs, same = home["node"].to_numpy(), other["node"].to_numpy(), other["own"].to_numpy()
+            held = 0
+            for r, c in in_range(np.array(home["c"].tolist()), np.array(other["c"].tolist()), most[int(key["block"].iloc[0])]):
+                ok = ~same[c] | (mine[r] < theirs[c])  # rows of the home cell meet once
+                a.append(mine[r[ok]])
+                b.append(theirs[c[ok]])
+                held += int(ok.sum())
+                if held > DENSE * len(f):
+                    return key.assign(a=0, b=0, dense=True)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pd.DataFrame({c: key[c].iloc[0] for c in TASK}, index=range(len(a))).assign(a=a, b=b, dense=False)
+
+    return placed_tiles.groupBy(*TASK).applyInPandas(meet, "label string, block int, hx int, hy int, i int, j int, a long, b long, dense boolean")
+
+
+def linked(x: np.ndarray, z: np.ndarray, dims: int, block: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of rows (x, z) of unit vectors reach the cosine and have ``block`` as the first that keeps its budget."""
+    q = rotation(dims)
+    square = (rotated(x, q) - rotated(z, q)) ** 2
+    ok = np.zeros(len(x), bool)
+    open_ = np.ones(len(x), bool)
+    for k, (s, e) in enumerate(blocks(dims)):
+        d = np.zeros(len(x))
+        for m in range(s, e):
+            d += square[:, m]
+        within = open_ & (d <= budget(dims, (s, e), cosine))
+        ok |= within & (block == k)
+        open_ &= ~within
+    return ok & (np.einsum("ij,ij->i", x, z) >= cosine)
+
+
+def sparse_links(pairs: DataFrame, placed: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """Rows (a, b, n) of the verified candidates: the edge with n 0, and each end's links (b null)."""
+    side = lambda c: placed.select(F.col("node").alias(c), F.col("x").alias(f"x{c}"), F.col("weight").alias(f"w{c}"))
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.loc[linked(np.array(f["xa"].tolist()), np.array(f["xb"].tolist()), dims, f["block"].to_numpy(), cosine), ["a", "b", "wa", "wb"]]
+
+    found = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "block", "wa", "wb", "xa", "xb").mapInPandas(check, "a long, b long, wa long, wb long")
+    three = F.array(*[F.struct(F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("long")).alias("b"), n.alias("n")) for a, b, n in (("a", "b", F.lit(0).cast("long")), ("a", None, F.col("wb")), ("b", None, F.col("wa")))])
+    return found.select(F.inline(three))
+
+
+def dense_links(rows: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """The same rows from tasks that hold full vectors; edges are a spanning forest, so no group gives all its pairs."""
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        home, other = two_sides(f)
+        none = pd.DataFrame({"a": [], "b": [], "n": []})
+        if not len(home) or not len(other):
+            return none
+        k = int(f["block"].iloc[0])
+        x, z = np.array(home["x"].tolist()), np.array(other["x"].tolist())
+        mine, theirs, same = home["node"].to_numpy(), other["node"].to_numpy(), other["own"].to_numpy()
+        links = np.zeros((len(x), len(z)), bool)
+        for r, c in in_range(np.array(home["c"].tolist()), np.array(other["c"].tolist()), budget(dims, blocks(dims)[k], cosine)):
+            ok = ~same[c] | (mine[r] < theirs[c])
+            r, c = r[ok], c[ok]
+            for at in range(0, len(r), 20_000):
+                p, o = r[at : at + 20_000], c[at : at + 20_000]
+                good = linked(x[p], z[o], dims, np.full(len(p), k), cosine)
+                links[p[good], o[good]] = True
         if not links.any():
-            return empty
-        ids, jds = one["id"].to_numpy(), two["id"].to_numpy()
-        edges = forest(links, same)
-        counts = pd.DataFrame({"a": ids, "n": links @ two["weight"].to_numpy()})
-        if not same:
-            counts = pd.concat([counts, pd.DataFrame({"a": jds, "n": links.T @ one["weight"].to_numpy()})])
+            return none
+        counts = pd.DataFrame({"a": np.r_[mine, theirs], "n": np.r_[links @ other["weight"].to_numpy(), links.T @ home["weight"].to_numpy()]})
+        edges = forest(links, False)
         counts = counts[counts["n"] > 0].assign(b=pd.NA)
-        return pd.concat([counts, pd.DataFrame({"a": [ids[r] for r, _ in edges], "b": [jds[c] for _, c in edges], "n": 0})])[["a", "b", "n"]].astype({"b": "Int64"})
+        return pd.concat([counts, pd.DataFrame({"a": [mine[r] for r, _ in edges], "b": [theirs[c] for _, c in edges], "n": 0})])[["a", "b", "n"]].astype({"b": "Int64"})
+
+    return rows.groupBy(*TASK).applyInPandas(meet, "a long, b long, n long")
 
-    return tiles.groupBy("label", "block", "hx", "hy", "nx", "ny", "i", "j").applyInPandas(meet_up, "a long, b long, n long")
+
+def vector_links(vectors: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """Rows (a, b, n): n links of a (b null), or an edge a-b (n 0); edges join what the links join."""
+    placed = stored(place(vectors, dims), "placed")
+    dealt = tiles(placed, dims, cosine)
+    found = stored(near_pairs(dealt, dims, cosine), "near_pairs")
+    out = stored(sparse_links(found.where("NOT dense").select("a", "b", "block"), placed, dims, cosine), "sparse_links")
+    dense = found.where("dense").select(*TASK)
+    if dense.limit(1).count():
+        rows = dealt.join(dense, TASK, "left_semi").join(placed.select("node", "weight", "x"), "node")
+        out = out.unionByName(stored(dense_links(rows, dims, cosine), "dense_links"))
+    return out
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
@@ -168,29 +238,33 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     Vectors of equal, non-null labels are linked if their cosine in double
     precision is at least ``cosine`` (above 0). Null and zero vectors, and
     those with null or non-finite components, have no links. Exact copies
-    (label, values) stand for one vector with a weight. Vectors of different
-    lengths are no partners. Repeated ids are vectors of their own that share
-    a node. An empty table gives an empty result.
+    (label, values) are one node with a weight; rows are told apart by label
+    and values, never by id, so rows that repeat an id have links of their
+    own, and a null id is in a component without naming it. Vectors of
+    different lengths are no partners. An empty table gives an empty result.
     """
     v = F.col("v")
-    sound = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(":", F.size(vector_col).cast("string"), F.col(label_col).cast("string")).alias("tag"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
-    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("k1", F.xxhash64(F.lit(1), "tag", "v")).withColumn("k2", F.xxhash64(F.lit(2), "tag", "v"))
+    sound = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    label = F.col(f"`{label_col}`").cast("string")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), label.alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    rows = rows.withColumn("label", F.when(F.col("label").isNotNull(), F.concat_ws(":", F.size("v").cast("string"), "label")))
+    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("k1", F.xxhash64(F.lit(1), "label", "v")).withColumn("k2", F.xxhash64(F.lit(2), "label", "v"))
     keys = ["k1", "k2"]
-    classes = stored(rows.where("ok").groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = rows.where("ok").join(classes.withColumnRenamed("rep", "id"), [*keys, "id"]).dropDuplicates(keys)
-    reps = stored(reps.select("id", F.col("tag").alias("label"), F.col("copies").alias("weight"), "v"), "vectors")
+    grouped = rows.where("ok").groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
+    nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "vector_classes")
     links = None
-    for dims in sorted(r[0] for r in reps.select(F.size("v")).distinct().collect()):
-        placed = stored(cells(reps.where(F.size("v") == dims), dims, cosine), "cells")
-        part = stored(pair_tiles(placed, dims, cosine), "vector_links")
+    for dims in sorted(r[0] for r in nodes.select(F.size("v")).distinct().collect()):
+        part = vector_links(nodes.where(F.size("v") == dims), dims, cosine)
         links = part if links is None else links.unionByName(part)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
-    counts = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    label = components(links.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    per = classes.join(counts, "rep", "left").join(label, "rep", "left").select(*keys, (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "ok", *keys).join(per, keys, "left")
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    of = nodes.select(*keys, "node", "rep", "weight").join(counts, "node", "left").join(components(links.where("b IS NOT NULL").select("a", "b")), "node", "left")
+    clusters = stored(of.select(*keys, "rep", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("cluster")), "vector_clusters")
+    least = clusters.groupBy("cluster").agg(F.min("rep").alias("component"))
+    per = clusters.join(least, "cluster").select(*keys, "n_links", "component")
+    hot = hot_keys(clusters, keys, "weight", nodes.count())
+    out = salted(rows.select("id", "ok", *keys), hot, keys, "id").join(for_salts(per, hot, keys), [*keys, "salt"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("ok"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),

@@ -59,18 +59,20 @@ def rows_of(df):
 # op1
 
 
-def test_vectors_link_as_all_pairs_do(spark):
+@pytest.mark.parametrize("chunk,dense,strip", [(16, 0, 4), (1024, 32, 64), (16, 32, 7)])
+def test_vectors_link_as_all_pairs_do(spark, chunk, dense, strip):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((6, 20))
     rows = [(i, [float(x) for x in base[i % 6] + rng.standard_normal(20) * (0.05 + 0.06 * (i % 4))], i % 2) for i in range(240)]
     rows += [(300 + i, rows[0][1], 0) for i in range(5)]
     rows += [(400, None, 0), (401, [0.0] * 20, 0), (402, [float("nan")] * 20, 0), (403, [None] + [1.0] * 19, 0), (404, rows[0][1], None), (405, [2 * x for x in rows[0][1]], 0), (406, [1.0, 2.0], 0), (407, [1.0, 2.0], 0), (408, [], 0)]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows]
-    old, subspace.CHUNK = subspace.CHUNK, 16  # many chunks
+    held = subspace.CHUNK, subspace.DENSE, subspace.STRIP, common.PER_TASK
+    subspace.CHUNK, subspace.DENSE, subspace.STRIP, common.PER_TASK = chunk, dense, strip, 8
     try:
         got = subspace.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).toPandas().set_index("vec_id")
     finally:
-        subspace.CHUNK = old
+        subspace.CHUNK, subspace.DENSE, subspace.STRIP, common.PER_TASK = held
     links, parts = brute.near_vectors(rows, 0.93)
     assert got.n_links.to_dict() == links
     assert got.component_id.to_dict() == parts
@@ -78,6 +80,22 @@ def test_vectors_link_as_all_pairs_do(spark):
     assert got.n_links.sum() > 100
 
 
+def test_vectors_that_share_an_id(spark):
+    near = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    rows = [(1, near(0.0)), (1, near(1.0)), (2, near(0.1)), (3, near(0.2)), (4, near(1.1)), (None, near(1.2)), (4, near(1.1))]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, subspace.near_vectors(df).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 3, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 3, 1, False), (4, 3, 1, False), (None, 3, 1, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    x = 1 + 1e-12
+    rows = [(1, [1.0, 0.0], 0), (2, [x, 0.0], 0), (3, [0.93, float(np.sqrt(1 - 0.93**2)) * (1 + 1e-9)], 0), (4, [0.93, float(np.sqrt(1 - 0.93**2)) * (1 - 1e-9)], 0)]
+    got = {r["vec_id"]: r["n_links"] for r in subspace.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 2, 2: 2, 3: 1, 4: 3}
+
+
 def test_no_vectors(spark):
     assert subspace.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
