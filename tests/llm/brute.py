@@ -85,6 +85,24 @@ def secrets(text):
     return [(SECRET[r][0], s, e) for s, r, e in sorted(found)]
 
 
+def url_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = rest[:end].translate(LOWER), rest[end:]
+    return host, rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+
+
+def url_rule(host, path):
+    best = None
+    for rule in ("net/", "example.net/en/", "example.com/de/", "org/fr/"):
+        h, p = rule.split("/", 1)
+        if ("." + host).endswith("." + h) and path.startswith("/" + p) and len(rule) > len(best or ""):
+            best = rule
+    return best
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
 

@@ -152,18 +152,31 @@ def test_rules_and_trees(spark, sf_dir):
         (11, "http://h" + "a" * 5000 + ".com/" + "b/" * 5000, None, None),
     ]
     pages = spark.createDataFrame([(i, u) for i, u, *_ in made], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("label", F.lit(1))
-    model = urls.train(spark)
+    pages = pages.withColumn("_keep", F.lit(1)).withColumn("_x0", F.lit("x")).withColumn("a.b", F.lit(2)).withColumn("_input", F.lit(3))
+    real = urls.rule_labelled(table(spark, "/root/testdata/sf0.1", "pages"))
+    model = urls.train(real)
     got = urls.filter_urls(pages, model).toPandas()
-    assert len(got) == len(made) and set(got.verdict) <= {"allow", "block"} and "label" in got
+    assert len(got) == len(made) and set(got.verdict) <= {"allow", "block"} and {"label", "_keep", "_x0", "a.b", "_input"} <= set(got)
     by = got.drop_duplicates("page_id").set_index("page_id")
     for i, _, verdict, rule in made:
         assert (by.rule[i] or None) == rule and (verdict is None or by.verdict[i] == verdict)
     assert by.host[1] == "a.example.net" and by.path[1] == "/en/x" and by.host[10] == "x.net" and by.path[10] == "" and by.host[7] == "" == by.path[9]
-    # held-out accuracy on URLs the model has not seen
-    seen = spark.createDataFrame(urls.seed_urls(300, seed=99), "url string, label int")
-    scored = model.score(seen, "url", "p").toPandas()
-    assert ((scored.p > 0.5) == (scored.label == 1)).mean() > 0.93
+    # held-out figures on real pages
+    n, accuracy, precision, recall = urls.held_out_figures(real, model)
+    assert n > 300 and accuracy > 0.8 and precision > 0.8 and recall > 0.6, (n, accuracy, precision, recall)
     assert urls.filter_urls(pages.limit(0), model).count() == 0
+    assert urls.judged_pages(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in urls.judged_pages(pages.where("page_id >= 6")).collect()} == {"allow"}
+
+
+def test_host_path_and_rule_as_read_by_hand(spark, sf_dir):
+    got = run(spark, sf_dir, 3).set_index("page_id")
+    for r in table(spark, sf_dir, "pages").collect():
+        host, path = brute.url_parts(r["url"])
+        rule = brute.url_rule(host, path)
+        assert (got.host[r["page_id"]], got.path[r["page_id"]], got.rule[r["page_id"]]) == (host, path, rule)
+        if rule:
+            assert got.verdict[r["page_id"]] == dict((b, a) for a, b in urls.RULES)[rule]
 
 
 # op4
