@@ -429,10 +429,10 @@ def listed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT c_nationkey, a.c_name AS \"left\", s_name AS \"right\" FROM customer a JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0"
+    "SELECT c_nationkey, a.c_name AS \"left\", s_name AS \"right\" FROM customer a JOIN supplier ON c_nationkey = s_nationkey"
 )
 def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select("c_nationkey", F.col("c_name").alias("name"), F.lit(True).alias("l"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_name").alias("name"), F.lit(True).alias("l"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_name").alias("name"), F.lit(False).alias("l"))
     return batch.cross_pairs(c.unionByName(s), ["c_nationkey"], "name", F.col("l"), F.lit(True))
 
@@ -507,7 +507,7 @@ def unit_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, md5(regexp_extract(url, '^[a-z]+://[^/?#]+') || '/') AS origin, CASE WHEN regexp_matches(url, '^https?://') THEN 'web' END AS kind, contains(html, '<script') AS scripted, false AS still_scripted FROM pages")
+@query("SELECT page_id, md5(regexp_extract(url, '^[a-z]+://[^/?#]+') || '/') AS origin, CASE WHEN regexp_matches(url, '^https?://') THEN 'web' END AS kind, contains(html, '<script') AS scripted, contains(regexp_replace(html, '<script[^>]*>.*?</script[^>]*>', '', 'gis'), '<script') AS still_scripted FROM pages")
 def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", F.md5(W.origin(F.col("url"))).alias("origin"), W.file_kind(F.col("url")).alias("kind"), F.contains(h, F.lit("<script")).alias("scripted"), F.contains(W.sanitized(h), F.lit("<script")).alias("still_scripted"))
@@ -517,18 +517,25 @@ def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the next one of its language; those without language follow each other."""
+    """Each document with the next one of its language; those without language follow each other.
+
+    The successor is sought in ranges of 1,000 ids; only the first ids of the
+    ranges meet in a window per language.
+    """
     d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "lang", "text")
-    other = F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id"))
-    pair = d.select("doc_id", other.alias("other")).where("other IS NOT NULL")
+    ids = d.select("doc_id", F.coalesce("lang", F.lit("")).alias("l"), F.floor(F.col("doc_id") / 1000).alias("range"))
+    inside = F.lead("doc_id").over(Window.partitionBy("l", "range").orderBy("doc_id"))
+    firsts = ids.groupBy("l", "range").agg(F.min("doc_id").alias("first"))
+    after = firsts.select("l", "range", F.lead("first").over(Window.partitionBy("l").orderBy("range")).alias("after"))
+    pair = ids.withColumn("inside", inside).join(after, ["l", "range"]).select("doc_id", F.coalesce("inside", "after").alias("other")).where("other IS NOT NULL")
     left = pair.join(d.select("doc_id", F.col("text").alias("left")), "doc_id")
-    return left.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("right")), "other").select(F.col("doc_id").alias("pair_id"), "left", "right")
+    both = left.join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("right")), "other").select(F.col("doc_id").alias("pair_id"), "left", "right")
+    return text_diff.spread(both, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @query()
 def text_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = document_pairs(spark, sf_dir)
-    return text_diff.messages(text_diff.grid_stats(p, text_diff.diff_rows(p, NormOptions(ignore_case=True))))
+    return text_diff.messages(text_diff.line_stats(document_pairs(spark, sf_dir), NormOptions(ignore_case=True)))
 
 
 @query()
@@ -538,7 +545,7 @@ def text_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def char_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_diff.diff_flow(document_pairs(spark, sf_dir)).select("pair_id", "skipped", "removed_chars", "added_chars")
+    return text_diff.flow_stats(document_pairs(spark, sf_dir))
 
 
 @query()

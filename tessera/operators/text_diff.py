@@ -51,9 +51,19 @@ def diff_rows(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
     return _per_pair(pairs, lambda a, b: align.grid(a, b, o), ROWS)
 
 
-def diff_flow(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True)) -> DataFrame:
-    """Character comparison of whole texts (D7): one row per pair."""
-    return _per_pair(pairs, lambda a, b: [align.flow(a, b, o)], FLOW)
+def diff_flow(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True), limit: int | None = align.PRODUCT_LIMIT) -> DataFrame:
+    """Character comparison of whole texts (D7): one row per pair; no ``limit``: no pair is skipped."""
+    return _per_pair(pairs, lambda a, b: [align.flow(a, b, o, limit)], FLOW)
+
+
+def flow_stats(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True), limit: int | None = align.PRODUCT_LIMIT) -> DataFrame:
+    """The counts of ``diff_flow`` (G2) without its segments, so without a trace."""
+    return _per_pair(pairs, lambda a, b: [align.flow_counts(a, b, o, limit)], "pair_id long, skipped boolean, removed_chars long, added_chars long")
+
+
+def line_stats(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
+    """The counts of ``grid_stats`` in one pass over the pairs (G1)."""
+    return _per_pair(pairs, lambda a, b: [align.grid_counts(a, b, o)], "pair_id long, equal long, modified long, added long, removed long")
 
 
 def text_diff(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
