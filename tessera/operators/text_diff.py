@@ -166,3 +166,8 @@ def messages(stats: DataFrame) -> DataFrame:
     """A sentence per pair."""
     differs = F.col("modified") + F.col("added") + F.col("removed") > 0
     return stats.withColumn("message", F.when(differs, F.format_string("%d modified, %d added, %d removed, %d equal", "modified", "added", "removed", "equal")).otherwise("identical"))
+
+
+def offset_maps(pairs: DataFrame) -> DataFrame:
+    """For every offset of the left text, and its end, the offset in the right one (D17): pair_id, at, to."""
+    return _per_pair(pairs, lambda a, b: [{"at": i, "to": j} for i, j in enumerate(align.offset_map(a, b))], "pair_id long, at int, to int")

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -40,8 +40,19 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "length", "modificationTime", "content")
 
 
-def workbook_cells(spark: SparkSession, path: str, sheets: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """All cells as text (S10): book, sheet, row_no, col_no, text."""
+def texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Whole files as UTF-8 text (S1): path, text."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def held(df: DataFrame, name: str, content: str) -> DataFrame:
+    """Files that are held in a table instead of a store (S6), in the form of ``files``."""
+    n = F.col(name)
+    return df.select(n.alias("path"), F.element_at(F.split(n, "/"), -1).alias("name"), F.lower(F.regexp_extract(n, r"\.([^.]+)$", 1)).alias("ext"), F.octet_length(content).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col(content).cast("binary").alias("content"))
+
+
+def cells_of(found: DataFrame, sheets: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
+    """All cells of workbooks (path, content) as text (S10): book, sheet, row_no, col_no, text."""
 
     def make(p: str, content: bytes) -> Iterator[tuple]:
         book = ooxml.Workbook(content, p)
@@ -51,7 +62,11 @@ def workbook_cells(spark: SparkSession, path: str, sheets: list[str] | None = No
                     for c, text in row.items():
                         yield p, name, r, c, text
 
-    return _each_file(files(spark, path, "*.xlsx"), make, CELLS)
+    return _each_file(found, make, CELLS)
+
+
+def workbook_cells(spark: SparkSession, path: str, sheets: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
+    return cells_of(files(spark, path, "*.xlsx"), sheets, max_rows)
 
 
 def preview(spark: SparkSession, path: str, rows: int = 10) -> DataFrame:
@@ -59,16 +74,76 @@ def preview(spark: SparkSession, path: str, rows: int = 10) -> DataFrame:
     return workbook_cells(spark, path, max_rows=rows)
 
 
+def head_errors(found: DataFrame) -> DataFrame:
+    """Why files (path, content) are no workbooks (S11): path, error; null where they may be one. JVM only."""
+    n, name = F.octet_length("content"), F.col("path")
+    why = (
+        F.when(F.coalesce(n, F.lit(0)) == 0, F.concat(name, F.lit(": the file is empty")))
+        .when(n < 4, F.concat(name, F.lit(": the file is cut short ("), n.cast("string"), F.lit(" bytes)")))
+        .when(F.hex(F.substring("content", 1, 2)) != "504B", F.concat(name, F.lit(": not an Office Open XML file")))
+    )
+    return found.select("path", why.alias("error"))
+
+
+def header_cells(cells: DataFrame, header_start: int = 1, header_end: int | None = None) -> DataFrame:
+    """Headers of each sheet (S15): book, sheet, col_no, header; parts of several rows joined, a number where there are none, repeats counted."""
+    last = max(header_start, header_end or header_start)
+    used = cells.where(F.trim("text") != "")
+    width = used.groupBy("book", "sheet").agg(F.max("col_no").alias("width"))
+    columns = width.select("book", "sheet", F.explode(F.sequence(F.lit(1), "width")).alias("col_no"))
+    part = F.when(F.col("row_no").between(header_start, last), F.struct("row_no", F.trim("text").alias("t")))
+    named = used.groupBy("book", "sheet", "col_no").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    full = columns.join(named, ["book", "sheet", "col_no"], "left")
+    name = F.coalesce(F.nullif(F.array_join(F.transform("p", lambda x: x["t"]), " / "), F.lit("")), F.concat(F.lit("列"), F.col("col_no").cast("string")))
+    seen = F.row_number().over(Window.partitionBy("book", "sheet", "name").orderBy("col_no"))
+    return full.withColumn("name", name).withColumn("n", seen).select("book", "sheet", "col_no", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("#", "name", F.col("n").cast("string"))).alias("header"))
+
+
+def column_choices(headers: DataFrame) -> DataFrame:
+    """Names to pick key columns from (S18): each once, in order, blanks dropped: book, sheet, choices."""
+    listed = headers.where(F.trim("header") != "").groupBy("book", "sheet").agg(F.array_sort(F.collect_list(F.struct("col_no", "header"))).alias("h"))
+    return listed.select("book", "sheet", F.array_distinct(F.transform("h", lambda x: x["header"])).alias("choices"))
+
+
+def sheet_rows(cells: DataFrame, headers: DataFrame, header_end: int = 1) -> DataFrame:
+    """Rows below the header (S14): book, sheet, row_no, cells (header -> text); blank rows are passed over."""
+    body = cells.where(F.col("row_no") > header_end).join(headers, ["book", "sheet", "col_no"])
+    pairs = F.map_from_entries(F.collect_list(F.struct("header", "text")))
+    return body.groupBy("book", "sheet", "row_no").agg(pairs.alias("cells"), F.max((F.trim("text") != "").cast("int")).alias("filled")).where("filled = 1").drop("filled")
+
+
+def above_rows(cells: DataFrame, header_start: int) -> DataFrame:
+    """Rows above the header (R5): book, sheet, row_no, cells (texts from the first column on)."""
+    above = cells.where(F.col("row_no") < header_start)
+    per = above.groupBy("book", "sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("m"), F.max("col_no").alias("width"))
+    return per.select("book", "sheet", "row_no", F.transform(F.sequence(F.lit(1), "width"), lambda c: F.coalesce(F.col("m")[c], F.lit(""))).alias("cells"))
+
+
+def guessed_headers(cells: DataFrame) -> DataFrame:
+    """The most header-like of the first rows of each sheet's preview (S17): book, sheet, header_row."""
+    filled = cells.where(F.trim("text") != "").withColumn("t", F.trim("text"))
+    last = cells.groupBy("book", "sheet").agg(F.countDistinct("row_no").alias("n"))
+    word = (~F.col("t").rlike(r"^[+-]?([0-9]|\.[0-9])")).cast("int")
+    per = filled.groupBy("book", "sheet", "row_no").agg((F.count(F.lit(1)) + 2 * F.sum(word) + 10 * F.countDistinct("t") / F.count(F.lit(1))).alias("score"))
+    tried = per.join(last, ["book", "sheet"]).where(F.col("row_no") <= F.least(F.lit(5), F.greatest(F.lit(1), F.col("n") - 1)))
+    return tried.groupBy("book", "sheet").agg(F.max_by("row_no", F.struct("score", (-F.col("row_no")).alias("first"))).cast("int").alias("header_row"))
+
+
 def sheet_table(spark: SparkSession, path: str, sheet: str, header_start: int = 1, header_end: int | None = None) -> DataFrame:
-    """One sheet as a table of texts (S14) with ``_row``, its row numbers."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    got = ooxml.extract(ooxml.Workbook(bytes(content), path).sheet(sheet), header_start, header_end)
-    schema = ", ".join(["_row long", *(f"`{h.replace('`', '``')}` string" for h in got["headers"])])
-    return spark.createDataFrame([(n, *r) for n, r in zip(got["row_numbers"], got["rows"], strict=True)], schema)
+    """One sheet of the workbooks at a path as a table of texts (S14) with ``_book`` and ``_row``, its row numbers.
 
+    The driver sees the headers, at most a sheet's columns; rows stay distributed.
+    """
+    end = max(header_start, header_end or header_start)
+    cells = workbook_cells(spark, path, [sheet])
+    headers = header_cells(cells, header_start, end)
+    names = [r["header"] for r in headers.groupBy("header").agg(F.min("col_no").alias("n")).orderBy("n", "header").collect()]
+    rows = sheet_rows(cells, headers, end)
+    return rows.select(F.col("book").alias("_book"), F.col("row_no").cast("long").alias("_row"), *[F.coalesce(F.col("cells")[n], F.lit("")).alias(n) for n in names])
 
-def sheet_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Widths, hidden columns, heights, freeze and merges of each sheet."""
+
+def meta_of(found: DataFrame) -> DataFrame:
+    """Widths, hidden columns, heights, freeze and merges of each sheet of workbooks (path, content)."""
 
     def make(p: str, content: bytes) -> Iterator[tuple]:
         book = ooxml.Workbook(content, p)
@@ -85,11 +160,15 @@ def sheet_meta(spark: SparkSession, path: str) -> DataFrame:
             for p, content in f.itertuples(index=False):
                 yield pd.DataFrame(list(make(p, bytes(content))), columns=names)
 
-    return files(spark, path, "*.xlsx").select("path", "content").mapInPandas(run, schema.replace(";", ","))
+    return found.select("path", "content").mapInPandas(run, schema.replace(";", ","))
 
 
-def document_parts(spark: SparkSession, path: str) -> DataFrame:
-    """XML parts of each document (S20): path, document, styles."""
+def sheet_meta(spark: SparkSession, path: str) -> DataFrame:
+    return meta_of(files(spark, path, "*.xlsx"))
+
+
+def parts_of(found: DataFrame) -> DataFrame:
+    """XML parts of documents (path, content) (S20): path, document, styles."""
 
     def make(p: str, content: bytes) -> Iterator[tuple]:
         if error := ooxml.head_error(content, p):
@@ -97,12 +176,19 @@ def document_parts(spark: SparkSession, path: str) -> DataFrame:
         z = zipfile.ZipFile(io.BytesIO(content))
         yield p, z.read("word/document.xml").decode(), z.read("word/styles.xml").decode() if "word/styles.xml" in z.namelist() else None
 
-    return _each_file(files(spark, path, "*.docx"), make, "path string, document string, styles string")
+    return _each_file(found, make, "path string, document string, styles string")
+
+
+def document_parts(spark: SparkSession, path: str) -> DataFrame:
+    return parts_of(files(spark, path, "*.docx"))
 
 
 def document_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Plain paragraphs of each document."""
-    parts = document_parts(spark, path)
+    return paragraphs_of(document_parts(spark, path))
+
+
+def paragraphs_of(parts: DataFrame) -> DataFrame:
+    """Plain paragraphs of documents (path, document) (S19): doc, para_no, text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
