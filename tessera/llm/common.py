@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,9 +126,16 @@ MOST_HOT = 50_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """(keys, salts) of the keys that hold many of all ``total`` rows; at most ``MOST_HOT``, so it may be broadcast."""
+    """(keys, salts) of the keys that hold many of all ``total`` rows; at most ``MOST_HOT``, so it may be broadcast.
+
+    One key of zeros, with one salt, is always there, so that plans are the
+    same with and without hot keys; that key itself is never salted.
+    """
     most = max(PER_TASK, total // MOST_HOT)
-    return stored(counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / PER_TASK).cast("int").alias("salts")), "hot_keys")
+    zeros = [F.lit("" if t == "string" else 0).cast(t).alias(c) for c, t in counts.select(*keys).dtypes]
+    zero = reduce(and_, [F.col(c) == z for c, z in zip(keys, zeros, strict=True)])
+    found = counts.where((F.col(n) > most) & ~zero).select(*keys, F.ceil(F.col(n) / PER_TASK).cast("int").alias("salts"))
+    return stored(found.unionByName(counts.sparkSession.range(1).select(*zeros, F.lit(1).alias("salts"))), "hot_keys")
 
 
 def salted(df: DataFrame, hot: DataFrame, keys: list[str], by: str, salt: str = "salt") -> DataFrame:
