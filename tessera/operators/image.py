@@ -88,7 +88,7 @@ def item_text(items: DataFrame) -> DataFrame:
 
 def scanned(texts: DataFrame) -> DataFrame:
     """Documents with pages but no text, which need recognition."""
-    return texts.where("pages > 0 AND trim(regexp_replace(text, '[[:space:]]', '')) = ''")
+    return texts.where((F.col("pages") > 0) & (F.regexp_replace("text", r"\s", "") == ""))
 
 
 def affine(a: list[Column], b: list[Column]) -> list[Column]:
