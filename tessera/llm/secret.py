@@ -165,7 +165,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = A
 def secret_digest(docs: DataFrame) -> DataFrame:
     """Query op6: counts, digest of the base spans, all spans."""
     found = scan_secrets(docs.select("doc_id", "text"))
-    count = [F.size(F.filter("base_spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
+
+    def of_rank(i: int) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["rank"] == i)).cast("long")
+
+    count = [of_rank(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
     return found.select(
         "doc_id", *count,
         F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"),
