@@ -67,32 +67,52 @@ def kinds(a, b, **o):
     return out
 
 
-def test_text_pairs():
-    rows = align.grid("a\nb\nc", "a\nB\nc\nd", O())
+def test_lines_by_option():
+    rows = align.grid("north\nsouth gate\nwest", "north\nsouth gates\nwest\neast", O())
     change = next(r for r in rows if r["type"] == "change")
-    assert (change["li"], change["ri"]) == (1, 1) and change["seg_l"] == [{"text": "b", "cls": "rm"}] and any(r["type"] == "add" for r in rows)
-    assert kinds("Hello World\nfoo", "hello world\nfoo", ignore_case=True)["equal"] == 2
-    assert kinds("hello   world\nkeep", "hello world\nkeep", ignore_whitespace=True)["equal"] == 2
-    assert kinds("hello   world", "hello world")["change"] == 1
-    assert kinds("（测试）：ＡＢＣ", "(测试):ABC")["equal"] == 1
-    assert kinds("你好，世界", "你好，世界。", ignore_punct=True)["equal"] == 1
-    assert kinds("你好，世界", "你好，地球", ignore_punct=True)["change"] == 1
-    assert kinds("a\r\nb\r\nc\r\n", "a\nb\nc\n")["equal"] == 4
-    assert kinds("x\nx\nx\nx\ny", "x\nx\nx\nx\nz") == {"equal": 4, "change": 1, "add": 0, "remove": 0}
-    assert kinds("", "x\ny")["add"] == 2 and align.grid("", "", O()) == []
-    flow = align.flow("第一行\n第二行第三行", "第一行 第二行 第三行", O(ignore_newline=True))
-    assert (flow["removed_chars"], flow["added_chars"]) == (0, 0)
-    flow = align.flow("第一行\n第二行", "第一行\n改变的段落", O(ignore_newline=True))
-    assert (flow["removed_chars"], flow["added_chars"]) == (3, 5)
-
-
-def test_anchors_of_shifted_lines():
-    left = [f"Line {i:03d} shared content alpha beta" for i in range(1, 81)]
-    right = left[:20] + [f"Inserted extra line {k} of ten" for k in range(10)] + left[20:45] + left[50:]
-    pairs, coverage = align.line_anchors("\n".join(left), "\n".join(right), O(ignore_newline=True))
-    to = dict(pairs)
-    assert to[60] == 65 and to[40] == 50 and {b: a for a, b in pairs}[40] == 30 and coverage > 0.8
-    assert align.char_anchors("\n".join(left), "\n".join(right), O(ignore_newline=True))
+    assert (change["li"], change["ri"]) == (1, 1) and change["seg_r"] == [{"text": "south gate", "cls": "eq"}, {"text": "s", "cls": "ad"}]
+    assert [r["type"] for r in rows] == ["equal", "change", "equal", "add"]
+    shout = ("River Bank\nOak", "RIVER bank\noak")
+    assert kinds(*shout)["equal"] == 0 and kinds(*shout, ignore_case=True)["equal"] == 2
+    gaps = ("two\t blanks", "twoblanks")
+    assert kinds(*gaps)["change"] == 1 and kinds(*gaps, ignore_whitespace=True)["equal"] == 1
+    assert kinds("ｋｍ／ｈ　７", "km/h 7")["equal"] == 1
+    marks = ("well, then (maybe)", "well then maybe!")
+    assert kinds(*marks)["change"] == 1 and kinds(*marks, ignore_punct=True)["equal"] == 1
+    assert kinds("p\r\nq\r\n", "p\nq\n")["equal"] == 3
+    assert kinds("r\nr\nr\ns", "r\nr\nr\nt") == {"equal": 3, "change": 1, "add": 0, "remove": 0}
+    assert kinds("m\nn", "")["remove"] == 2 and align.grid("", "", O()) == []
+
+
+def test_flow_counts_are_those_of_the_flow():
+    free = O(ignore_newline=True)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = ("".join(rng.choice(list("ab c\n"), rng.integers(0, 30))) for _ in range(2))
+        flow, counts = align.flow(a, b, free), align.flow_counts(a, b, free)
+        assert counts == {k: flow[k] for k in counts}
+        kept = [sum(len(align.normal(s["text"], free)) for s in flow[side] if s["cls"] == "eq") for side in ("seg_l", "seg_r")]
+        assert kept[0] == kept[1] == len(align.normal(a, free)) - counts["removed_chars"]
+    assert align.flow_counts("one two\nthree", "one\ntwo three", free)["removed_chars"] == 0
+    assert align.flow_counts("abcde", "xabye", free) == {"skipped": False, "removed_chars": 2, "added_chars": 2}
+    assert align.flow_counts("abcde", "ab", free, limit=9)["skipped"] and not align.flow_counts("abcde", "ab", free, limit=None)["skipped"]
+
+
+def test_grid_counts_are_those_of_the_grid():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a, b = ("\n".join(rng.choice(["red", "red fox", "blue", "bluer", ""], rng.integers(1, 9))) for _ in range(2))
+        want = kinds(a, b)
+        assert align.grid_counts(a, b, O()) == {"equal": want["equal"], "modified": want["change"], "added": want["add"], "removed": want["remove"]}
+
+
+def test_anchors_around_a_move():
+    left = [f"stanza {k * k} of the long poem" for k in range(50)]
+    right = [f"preface {k}" for k in range(6)] + left[:30] + left[33:]
+    pairs, coverage = align.line_anchors("\n".join(left), "\n".join(right), O())
+    assert pairs == [(k + 1, k + 7) for k in range(30)] + [(k + 1, k + 4) for k in range(33, 50)]
+    assert coverage == 47 / 50
+    assert align.char_anchors("xyz", "wxz", O()) == [(0, 1), (2, 2)]
 
 
 def test_similarity_and_redline():
@@ -104,13 +124,13 @@ def test_similarity_and_redline():
 
 
 def test_declarations_and_measures():
-    d = markup.declarations("font-family:宋体;:12px;: 10pt;color:#00000a")
-    assert d["lost-size"] == "10pt" and markup.color(d["color"]) == "00000A"
-    assert [markup.points(v) for v in ("12px", "10pt", "garbage")] == [9, 10, None]
-    assert [markup.inches(v) for v in ("0.29in", "21.5pt")] == [0.29, 0.2986]
-    assert [markup.spacing(v) for v in ("150%", "100%", "1.5", "24pt")] == [1.5, 1, 1.5, None]
-    assert markup.families("Times New Roman, serif") == (None, "Times New Roman") and markup.families("宋体") == ("宋体", None)
-    assert markup.color("abc") == "AABBCC"
+    d = markup.declarations("line-height: 2 ; : 14pt; COLOR : #0f0")
+    assert d["line-height"] == "2" and d["lost-size"] == "14pt" and markup.color(d["color"]) == "00FF00"
+    assert [markup.points(v) for v in ("16px", "7.5pt", "large")] == [12, 7.5, None]
+    assert [markup.inches(v) for v in ("36pt", "2.54cm", "25.4mm", "1em")] == [0.5, 1, 1, None]
+    assert [markup.spacing(v) for v in ("120%", "2", "30pt")] == [1.2, 2, None]
+    assert markup.families("Georgia, serif") == (None, "Georgia")
+    assert markup.color("#12AbcD") == "12ABCD"
 
 
 PAGE = """<html><body><div>menu</div><div id="content"><!-- <p>no</p> --><p align=center style="font-size:16pt;font-family:黑体">标题</p>

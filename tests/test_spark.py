@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import catalog
+from tessera import catalog, catalog_books, catalog_texts, catalog_views  # noqa: F401
 from tessera.functions import style as S
 from tessera.functions import values as V
 from tessera.functions import web as W
@@ -44,7 +44,32 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
+    got = catalog.QUERIES[name](spark, sf_dir)
+    assert got.count() > 0 and len(set(got.columns)) == len(got.columns)
+
+
+def test_alignment_queries_equal_plain_versions(spark, sf_dir):
+    """What SQL cannot tell of arbitrary texts, told by a table of common subsequences."""
+    from difflib import SequenceMatcher
+
+    from test_kernel import table_length
+
+    pairs = {r["pair_id"]: (r["left"] or "", r["right"] or "") for r in catalog.document_pairs(spark, sf_dir).collect()}
+    stats = {r["pair_id"]: r for r in catalog.QUERIES["text_diff_stats"](spark, sf_dir).collect()}
+    assert set(stats) == set(pairs)
+    for p, (left, right) in pairs.items():
+        a, b = (t.replace("\r", "").lower().split("\n") if t else [] for t in (left, right))
+        s = stats[p]
+        assert s["equal"] + s["modified"] + s["removed"] == len(a) and s["equal"] + s["modified"] + s["added"] == len(b)
+        if SequenceMatcher(None, a, b, autojunk=False).quick_ratio() == 0:
+            assert s["equal"] == 0
+        if len(a) * len(b) < 10_000:
+            assert s["equal"] == table_length(a, b)
+    flows = {r["pair_id"]: r for r in catalog.QUERIES["char_diff_stats"](spark, sf_dir).collect()}
+    short = sorted(pairs, key=lambda p: len(pairs[p][0]) * len(pairs[p][1]))[:12]
+    for p in short:
+        a, b = ("".join(t.split()) for t in pairs[p])
+        assert len(a) - flows[p]["removed_chars"] == len(b) - flows[p]["added_chars"] == table_length(a, b)
 
 
 def test_every_document_meets_its_successor(spark, tmp_path):
@@ -85,12 +110,12 @@ def counts(diff):
 
 
 def test_table_cases(spark):
-    old = sheet(spark, ["批号", "v"], [("P1", "1"), ("P2", "97.0"), ("P3", "3")])
-    new = sheet(spark, ["批号", "v"], [("P1", "1.0"), ("P2", "97.5"), ("P4", "4")])
+    old = sheet(spark, ["批号", "v"], [("K7", "8"), ("K8", "12.50"), ("K9", "x")])
+    new = sheet(spark, ["批号", "v"], [("K7", "8.00"), ("K8", "12.75"), ("L1", "y")])
     diff = table_diff.table_diff(old, new, row="_row")
     assert counts(diff) == {"added": 1, "deleted": 1, "modified": 1, "unchanged": 1}
     (cell,) = table_diff.changed_cells(diff).collect()
-    assert (cell["column"], cell["old_value"], cell["new_value"], cell["new_row"]) == ("v", "97.0", "97.5", 3)
+    assert (cell["column"], cell["old_value"], cell["new_value"], cell["new_row"]) == ("v", "12.50", "12.75", 3)
     strict = table_diff.table_diff(old, new, TableDiffConfig(equality="strict"), "_row")
     assert counts(strict)["modified"] == 2
     whole = table_diff.table_diff(sheet(spark, ["a", "b"], [("1", "2"), ("3", "4")]), sheet(spark, ["a", "b"], [("1", "2"), ("3", "9")]), row="_row")
