@@ -1,15 +1,15 @@
 """Keyed comparison of two tables, row by row and cell by cell.
 
-One full outer join on the key text classifies all rows. Only the probe sides
-are reduced to the first row of a key; duplicate rows of the driving side all
-meet that row.
+The new rows meet the first old row of their key in a left join; an anti join
+gives the old rows whose key is gone. Duplicate rows of the driving side all
+meet that first row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -85,9 +85,9 @@ def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDi
     usable = lambda side: F.lit(True) if composite else ~V.all_blank([F.col(side)[k] for k in s.keys])
     left = left.withColumn("key", key("old")).where(usable("old"))
     right = right.withColumn("key", key("new")).where(usable("new"))
-    # number of the row within its key on the old side; only the first can be met
-    left = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("old_row")))
-    both = right.join(left.where("turn = 1"), "key", "left").drop("turn")
+    # only the first old row of a key can be met; a minimum combines before the shuffle, so a key of many rows is no task of its own
+    first = left.groupBy("key").agg(F.min(F.struct("old_row", "old")).alias("first")).select("key", "first.old_row", "first.old")
+    both = right.join(first, "key", "left")
     gone = left.join(right.select("key").distinct(), "key", "left_anti").where(~V.all_blank([F.col("old")[c] for c in old_names]))
     # cells as one array, so the comparison is one expression however many columns there are
     cell = lambda n, o, v: F.struct(F.lit(n).alias("name"), o.cast("string").alias("old"), v.cast("string").alias("new"))
