@@ -263,3 +263,30 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha1(concat_ws('|', p_name, p_size::VARCHAR, p_partkey::VARCHAR)) AS key, p_partkey, contains(list_extract(string_split_regex(p_type, '[- ]+'), -1), 'E') AS named FROM part")
 def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(batch.file_key(F.col("p_name"), F.col("p_size"), F.col("p_partkey")).alias("key"), "p_partkey", batch.last_segment_has(F.col("p_type"), "E").alias("named"))
+
+
+@query(_BOOKS + "SELECT 'book-' || k || '.xlsx' AS sheet, 3::INT AS header_start, 3::INT AS header_end, false AS only_old FROM books WHERE k % 2 = 0 UNION ALL SELECT 'book-' || k || '.xlsx', 1, 1, true FROM books WHERE k % 2 = 1")
+def sheet_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's customers as one sheet; the new workbook has those of even number."""
+    cells = office.cells_of(books(spark, sf_dir), ["customers"], 10).withColumn("sheet", F.col("book")).withColumn("book", F.lit("b"))
+    return office.sheet_configs(cells, cells.where(F.regexp_extract("sheet", r"(\d+)", 1).cast("int") % 2 == 0))
+
+
+@query(
+    DIFF_SQL + "SELECT 'orders' AS sheet, CASE category WHEN 'modified' THEN 0 WHEN 'added' THEN 1 WHEN 'deleted' THEN 2 ELSE 3 END::BIGINT AS category_rank, category, coalesce(n.id, o.id) AS id, "
+    "coalesce(n.status, o.status, '') AS status, CASE category WHEN 'modified' THEN o.price || ' → ' || n.price WHEN 'deleted' THEN o.price ELSE n.price END AS price, CASE category WHEN 'deleted' THEN o.day ELSE n.day END AS day, "
+    "coalesce(CASE category WHEN 'deleted' THEN o.note ELSE n.note END, '') AS note, coalesce(n.id::BIGINT, -1) AS \"新文件行号\", coalesce(o.id::BIGINT, -1) AS \"旧文件行号\" FROM diff d LEFT JOIN new_t n ON n.id = d.key LEFT JOIN old_t o ON o.id = d.key"
+)
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = (v.withColumn("row", F.col("id").cast("long")) for v in order_versions(spark, sf_dir))
+    out = report.summary_table(table_diff.table_diff(old, new, CONFIG, row="row"), new, list(ORDER_COLUMNS), ["id"], "row")
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("" if t == "string" else -1)).cast("string" if t == "string" else "long").alias(c) for c, t in out.dtypes])
+
+
+@query("SELECT 'id' AS name, 21.5::DOUBLE AS width UNION ALL SELECT 's_name', 33.0")
+def restored_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column widths of a source sheet in a report written and read again."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name")
+    content = report.workbook({"added": s}, {"added": [21.5, 33.0]})
+    m = office.meta_of(spark.createDataFrame([("r.xlsx", content)], FILE))
+    return m.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col("widths")[i].alias("width")) for i, n in ((1, "id"), (2, "s_name"))])))

@@ -144,3 +144,23 @@ def offsets_to_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_anchor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blanks do not count where newlines don't, so the fourth character has no anchor."""
     return text_diff.anchors(numbered_names(spark, sf_dir)).where("level = 'char'").select("pair_id", "l", "r")
+
+
+@query(_ROWS + "SELECT pair_id, row_ord::INT AS row_ord, type, coalesce(nullif(li + 1, 0), -1)::INT AS left_no, coalesce(left_text, '') AS left_text, coalesce(nullif(ri + 1, 0), -1)::INT AS right_no, coalesce(right_text, '') AS right_text FROM d")
+def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = text_diff.side_by_side(event_rows(spark, sf_dir))
+    return out.select("pair_id", "row_ord", "type", *[F.coalesce(c, F.lit(-1 if c.endswith("no") else "")).alias(c) for c in ("left_no", "left_text", "right_no", "right_text")])
+
+
+@query(_STATS + "SELECT * FROM s2 WHERE pair_id % 3 <> 0")
+def compared_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of every third user were not edited."""
+    p = event_pairs(spark, sf_dir).withColumn("left_edited", F.when(F.col("pair_id") % 3 == 0, F.col("left")).otherwise("old")).withColumn("right_edited", F.col("right"))
+    return text_diff.compared_again(p)
+
+
+@query("SELECT doc_id AS pair_id, 0::BIGINT AS removed_chars, 0::BIGINT AS added_chars, n AS equal, 0::BIGINT AS modified, CASE WHEN n > 0 THEN n - 1 ELSE 0 END AS added, 0::BIGINT AS removed FROM (SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n FROM documents WHERE length(text) < 6000)")
+def tidy_and_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against themselves with every line end doubled: nothing for the tidied view, blank lines for the raw one."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") < 6000)
+    return text_diff.both_views(d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("right")))

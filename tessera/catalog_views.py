@@ -14,7 +14,7 @@ from .functions import text as T
 from .functions import values as V
 from .functions import web as W
 from .kernel import image as K
-from .operators import asof, image, style, views
+from .operators import asof, image, rows, style, views
 from .sources import office
 
 
@@ -414,3 +414,34 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = styled_pages(spark, sf_dir)
     v = style.docx_vectors(p.select("doc_id", document.alias("document"), styles.alias("styles")))
     return v.select("doc_id", "i", "text", "align", "size_pt", "bold_runs")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS total, 1::BIGINT AS aligned FROM ({_STYLED})")
+def style_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that declare a size against documents of which every third one is a point larger."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = styled_pages(spark, sf_dir)
+    html = F.concat(F.lit('<div id="content"><p style="font-size:'), text_of("size"), F.lit('pt">key '), text_of("doc_id"), F.lit("</p></div>"))
+    half = ((F.col("size") + (F.col("doc_id") % 3 == 0).cast("int")) * 2).cast("string")
+    document = F.concat(F.lit(f'<w:document {ns}><w:body><w:p><w:r><w:rPr><w:sz w:val="'), half, F.lit('"/></w:rPr><w:t>key '), text_of("doc_id"), F.lit("</w:t></w:r></w:p></w:body></w:document>"))
+    _, totals = style.check(p.select("doc_id", html.alias("html")), p.select("doc_id", document.alias("document"), F.lit(None).cast("string").alias("styles")), container="content")
+    return totals.select("doc_id", F.col("total").cast("long").alias("total"), F.col("aligned").cast("long").alias("aligned"))
+
+
+@query(
+    "SELECT p_partkey AS id, base64(encode(p_name)) AS coded, p_name AS plain, ceil(length(p_name)::DOUBLE / greatest(2, p_size - 1))::INT AS lines, greatest(18.0, ceil(length(p_name)::DOUBLE / greatest(2, p_size - 1)) * 15 + 4)::DOUBLE AS height, "
+    "(CASE WHEN p_size > 0 AND p_size % 3 = 0 THEN p_size WHEN p_size % 3 = 1 THEN p_size + 1 ELSE 1 END)::INT AS header_start, CASE p_partkey % 4 WHEN 0 THEN 'panel' WHEN 1 THEN 'editor' WHEN 2 THEN 'mixed' ELSE 'line' END AS place FROM part"
+)
+def codes_and_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k3, k4 = parts(spark, sf_dir), F.col("size") % 3, F.col("id") % 4
+    coded = T.to_base64(F.col("name").cast("binary"))
+    lines = T.wrapped_lines(F.col("name"), F.col("size"))
+    place = asof.translated(F.when(k4 == 0, "panel"), F.when(k4 < 2, "editor"), F.lit("mixed"), k4 == 2, F.lit("line"))
+    header = office.header_range(F.when(k3 == 0, F.col("size")), F.lit(None).cast("int"), F.when(k3 == 1, F.col("size")))
+    return p.select("id", coded.alias("coded"), T.from_base64(coded).cast("string").alias("plain"), lines.alias("lines"), T.header_height(lines).alias("height"), header["start"].cast("int").alias("header_start"), place.alias("place"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, (SELECT count(*) FROM part) AS total FROM part ORDER BY p_name, p_partkey LIMIT 100")
+def capped_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a hundred names and how many there are."""
+    return rows.capped(parts(spark, sf_dir).select("id", "name"), ["name", "id"])

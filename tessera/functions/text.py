@@ -144,3 +144,32 @@ def sheet_name(name: Column, suffixes: tuple[str, ...] = ("新增", "修改", "
 def width_units(text: Column) -> Column:
     """Display width: characters from U+2E80 on count two."""
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\u2E80-\uFFFF]", ""))
+
+
+def to_base64(content: Column) -> Column:
+    """Bytes as base64 text."""
+    return F.regexp_replace(F.base64(content), r"[\r\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """Bytes of a base64 text."""
+    return F.unbase64(text)
+
+
+def wrapped_lines(text: Column, width: Column) -> Column:
+    """Lines that a header takes in a column of ``width`` characters (G16); characters above U+00FF count two."""
+    usable = F.greatest(F.lit(2.0), width.cast("double") - 1)
+    start = F.struct(F.lit(1).alias("lines"), F.lit(0.0).alias("held"))
+
+    def step(acc: Column, c: Column) -> Column:
+        size = F.when(F.ascii(c) > 255, 2.0).otherwise(1.0)
+        over = acc["held"] + size > usable
+        return F.struct((acc["lines"] + over.cast("int")).alias("lines"), F.when(over, size).otherwise(acc["held"] + size).alias("held"))
+
+    letters = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+    return F.aggregate(letters, start, step, lambda acc: acc["lines"])
+
+
+def header_height(lines: Column, line_height: float = 15.0) -> Column:
+    """Height of a header row of so many lines."""
+    return F.greatest(F.lit(18.0), lines * line_height + 4)

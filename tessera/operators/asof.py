@@ -60,3 +60,8 @@ def translate_line(points: DataFrame, line_anchors: DataFrame, char_anchors: Dat
 def overlap(start: Column, stop: Column, at: Column, length: Column) -> tuple[Column, Column]:
     """Part of [start, stop) inside [at, at + length), relative to ``at`` (J11); empty if begin >= end."""
     return F.greatest(start, at) - at, F.least(stop, at + length) - at
+
+
+def translated(panel: Column, editor: Column, mixed: Column, same_text: Column, fallback: Column) -> Column:
+    """A place on the other side (X24): by the panels' table, the editors', a mixed one only if the texts are equal, else by line."""
+    return F.coalesce(panel, editor, F.when(same_text, mixed), fallback)

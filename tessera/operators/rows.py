@@ -154,3 +154,8 @@ def all_terms(text: list[Column], query: Column) -> Column:
     """Every whitespace-separated term of the query is in one of the texts."""
     terms = F.filter(F.split(F.lower(query), T.JS_WS + "+"), lambda t: t != "")
     return F.forall(terms, lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(x), t) for x in text]))
+
+
+def capped(df: DataFrame, order: list[str], most: int = 100) -> DataFrame:
+    """The first ``most`` rows with ``total``, the number of all (P2), counted at once."""
+    return df.orderBy(*order).limit(most).withColumn("total", F.lit(df.count()).cast("long"))

@@ -144,3 +144,16 @@ def vectors_text(vectors: DataFrame, by: str = "doc_id") -> DataFrame:
 def jump_line(vectors: DataFrame, prefix: Column, by: str = "doc_id") -> DataFrame:
     """First paragraph that starts with the prefix, or that the prefix starts with."""
     return vectors.where(F.startswith("text", prefix) | F.startswith(prefix, F.col("text"))).groupBy(by).agg(F.min("i").alias("i"))
+
+
+def check(pages: DataFrame, documents: DataFrame, spec: dict | None = None, container: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Differences and summaries of documents against pages (V9).
+
+    The page's styles (doc_id, html) are what is expected, those of the
+    document (doc_id, document, styles) what is there; with a ``spec`` its
+    expectations are laid over the page's paragraphs.
+    """
+    expected = html_vectors(pages, container)
+    met = compared(docx_vectors(documents), apply_spec(expected, spec) if spec else expected)
+    found = style_diff(met)
+    return found, style_summary(met, found)

@@ -9,6 +9,7 @@ them by cost where a few long pairs would share a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -171,3 +172,24 @@ def messages(stats: DataFrame) -> DataFrame:
 def offset_maps(pairs: DataFrame) -> DataFrame:
     """For every offset of the left text, and its end, the offset in the right one (D17): pair_id, at, to."""
     return _per_pair(pairs, lambda a, b: [{"at": i, "to": j} for i, j in enumerate(align.offset_map(a, b))], "pair_id long, at int, to int")
+
+
+def both_views(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
+    """Counts of the tidied comparison beside those of the raw lines (D19): pair_id, removed_chars, added_chars, equal, modified, added, removed."""
+    flow = flow_stats(pairs, replace(o, ignore_newline=True)).select("pair_id", "removed_chars", "added_chars")
+    return flow.join(line_stats(pairs, replace(o, ignore_newline=False)), "pair_id")
+
+
+def side_by_side(rows: DataFrame) -> DataFrame:
+    """Rows as two columns (X11): numbers from 1 and texts of either side, null where a side has no line."""
+    number = lambda c: F.when(F.col(c) >= 0, F.col(c) + 1)
+    return rows.select("pair_id", "row_ord", "type", number("li").alias("left_no"), "left_text", number("ri").alias("right_no"), "right_text")
+
+
+def compared_again(panels: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
+    """Counts for pairs of which a side's extracted text differs from the edited one.
+
+    ``panels``: pair_id, left, right (extracted), left_edited, right_edited.
+    """
+    differs = ~(F.col("left").eqNullSafe(F.col("left_edited")) & F.col("right").eqNullSafe(F.col("right_edited")))
+    return line_stats(panels.where(differs), o)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from html import escape
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import ooxml
@@ -19,7 +19,7 @@ from ..operators import text_diff
 
 #: Rows that one report file may hold; larger results go to tables.
 MOST_ROWS = 200_000
-TITLES = {"added": "新增", "modified": "修改", "deleted": "删除", "summary": "变更汇总", "overview": "总览"}
+TITLES = {"above": "表头上方", "added": "新增", "modified": "修改", "deleted": "删除", "summary": "变更汇总", "overview": "总览"}
 
 
 def bounded(df: DataFrame, most: int = MOST_ROWS) -> list:
@@ -58,9 +58,24 @@ def modified_table(diff: DataFrame, new: DataFrame, headers: list[str], row: str
     return joined.select("sheet", *columns, F.array_join("changed_cols", "、").alias("变化情况"), F.col("new_row").alias("新文件行号"), F.col("old_row").alias("旧文件行号"))
 
 
-def tables(diff: DataFrame, new: DataFrame, old_headers: list[str], new_headers: list[str], row: str) -> dict[str, DataFrame]:
-    """All report tables by name."""
-    return {
+def summary_table(diff: DataFrame, new: DataFrame, headers: list[str], keys: list[str], row: str) -> DataFrame:
+    """All categories in one table (R4): rank, category, key columns first, the rest, row numbers; changed cells as ``old → new``."""
+    cells = new.select(F.col(row).cast("long").alias("new_row"), F.struct(*[F.col(f"`{h}`").cast("string").alias(h) for h in headers]).alias("cells"))
+    joined = diff.join(cells, "new_row", "left")
+    order = [*keys, *(h for h in headers if h not in keys)]
+
+    def cell(h: str) -> Column:
+        old, now = F.coalesce(F.col("old_values")[h], F.lit("")), F.coalesce(F.col("new_values")[h], F.lit(""))
+        changed = (F.col("category") == "modified") & F.array_contains("changed_cols", h)
+        kept = F.when(F.col("category") == "deleted", old).otherwise(F.coalesce(F.col("cells")[h], now))
+        return F.when(changed, F.concat(old, F.lit(" → "), now)).otherwise(kept).alias(h)
+
+    return joined.select("sheet", D.rank_of(F.col("category")).alias("category_rank"), "category", *map(cell, order), F.col("new_row").alias("新文件行号"), F.col("old_row").alias("旧文件行号"))
+
+
+def tables(diff: DataFrame, new: DataFrame, old_headers: list[str], new_headers: list[str], row: str, above: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All report tables by name (R1-R6); ``above``: rows above the header, as ``sources.office.above_rows`` gives them."""
+    return ({"above": above} if above is not None else {}) | {
         "overview": D.overview(diff),
         "modified": modified_table(diff, new, new_headers, row),
         "added": added_table(diff, new_headers),
@@ -75,13 +90,13 @@ def write_tables(found: dict[str, DataFrame], path: str, form: str = "parquet")
         df.write.mode("overwrite").format(form).save(f"{path}/{name}")
 
 
-def workbook(found: dict[str, DataFrame]) -> bytes:
-    """The tables as one workbook."""
+def workbook(found: dict[str, DataFrame], widths: dict[str, list[float]] | None = None) -> bytes:
+    """The tables as one workbook (R8); ``widths`` (table -> column widths) restores those of a source, others follow the content."""
     sheets = {}
     for name, df in found.items():
         rows = bounded(df)
         sheets[TITLES.get(name, name)] = (df.columns, [["" if v is None else str(v) for v in r] for r in rows])
-    return ooxml.write(sheets)
+    return ooxml.write(sheets, {TITLES.get(k, k): w for k, w in (widths or {}).items()})
 
 
 STYLE = """body{font:14px/1.6 sans-serif;margin:24px}table{border-collapse:collapse;width:100%;table-layout:fixed}

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -245,3 +245,21 @@ class _XlsxReader(DataSourceReader):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
+
+
+def sheet_configs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What to compare of two workbooks' previews (T11): sheet, header_start, header_end, only_old.
+
+    The sheets of both, the header guessed on the new side; a sheet that only
+    the old one has starts at its first row.
+    """
+    a, b = old.select("sheet").distinct().withColumn("is_old", F.lit(True)), guessed_headers(new).select("sheet", "header_row")
+    both = b.join(a, "sheet", "full_outer")
+    start = F.coalesce("header_row", F.lit(1))
+    return both.select("sheet", start.alias("header_start"), start.alias("header_end"), F.col("header_row").isNull().alias("only_old"))
+
+
+def header_range(start: Column, end: Column, legacy_row: Column) -> Column:
+    """struct<start, end> of a configured header (T9): rows from 1; the legacy row counts from 0; the end is no earlier than the start."""
+    first = F.coalesce(F.when(start >= 1, start), F.when(legacy_row >= 0, legacy_row + 1), F.lit(1))
+    return F.struct(first.alias("start"), F.when(end >= first, end).otherwise(first).alias("end"))
