@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mix, pack, pii, quality, secret, shard, subspace, urls
+from . import langid, minhash, mix, pack, pii, quality, secret, shard, shard_sql, subspace, urls
 from .common import table
 
 
@@ -132,6 +132,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 ORACLE = {
     "op1_subspace_pigeonhole": OP1_SQL,
+    "op2_feistel_shards": shard_sql.oracle_sql(),
     "op4_bbit_minhash": OP4_SQL,
     "op6_entropy_secrets": OP6_SQL,
     "op8_poisson_mix": mix.ORACLE_SQL,
