@@ -130,11 +130,41 @@ said AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*)
   string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY start, rank) FILTER (rank < 3) AS base_, string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY start, rank) AS spans FROM found GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN said USING (doc_id)"""
 
+def _places(kind: str, rank: int, pattern: str) -> str:
+    """All matches of a pattern with their places, in table t."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, hits[k] AS hit, list_sum(list_transform(gaps[1:k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0)::BIGINT AS start, gaps[k + 1] AS after
+  FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits FROM t), range(1, 100000) g(k) WHERE k <= len(hits)"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i]::INT ELSE 2 * {_DIGITS}[i]::INT - CASE WHEN {_DIGITS}[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_MOD_97 = "list_reduce(list_prepend(0, list_transform(string_split(raw[5:] || raw[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+
+#: The base kinds as written in the contract; credentials, account and identity numbers behind their cues.
+OP7_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+email AS ({_places('email', 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")}),
+ip AS (SELECT * FROM ({_places('ip', 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")}) WHERE len(list_filter(string_split(hit, '.'), lambda x: x::HUGEINT > 255)) = 0),
+card AS (SELECT * FROM ({_places('card', 2, r"[0-9](?:[\x20-]?[0-9])+")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}),
+phone AS (SELECT * FROM ({_places('phone', 3, r"\+[0-9][\x20().0-9-]+[0-9]")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15),
+cue AS ({_places('credential', 4, '://')} UNION ALL {_places('iban', 5, 'IBAN|iban|Iban')} UNION ALL {_places('ssn', 6, 'SSN|ssn|social security|Social Security')}),
+behind AS (SELECT *, CASE rank WHEN 4 THEN regexp_extract(after, '^([A-Za-z0-9._~!$&''()*+,;=%:-]*)@', 1) WHEN 5 THEN regexp_extract(after, '^[ :.#=\t]{{0,4}}([A-Z0-9](?: ?[A-Z0-9]){{0,33}})', 1) ELSE regexp_extract(after, '^[^0-9\n]{{0,12}}([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?:$|[^0-9])', 1) END AS part,
+  CASE rank WHEN 4 THEN '' WHEN 5 THEN regexp_extract(after, '^[ :.#=\t]{{0,4}}') ELSE regexp_extract(after, '^[^0-9\n]{{0,12}}') END AS gap FROM cue),
+more AS (SELECT doc_id, rank, kind, part AS hit, start + length(hit) + length(gap) AS start, replace(part, ' ', '') AS raw FROM behind WHERE part <> ''),
+good AS (SELECT doc_id, rank, kind, hit, start FROM more WHERE CASE rank WHEN 4 THEN contains(trim(hit, ':'), ':') WHEN 5 THEN length(raw) BETWEEN 15 AND 34 AND regexp_matches(raw, '^[A-Z]{{2}}[0-9]{{2}}') AND {_MOD_97}
+  ELSE hit[1:3] NOT IN ('000', '666') AND hit[1] <> '9' AND hit[5:6] <> '00' AND hit[8:11] <> '0000' END),
+base AS (SELECT doc_id, rank, kind, hit, start FROM email UNION ALL SELECT doc_id, rank, kind, hit, start FROM ip UNION ALL SELECT doc_id, rank, kind, hit, start FROM card UNION ALL SELECT doc_id, rank, kind, hit, start FROM phone),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM good),
+said AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+  string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY rank, start) FILTER (rank < 4) AS base_, string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY rank, start) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN said USING (doc_id)"""
+
 ORACLE = {
     "op1_subspace_pigeonhole": OP1_SQL,
     "op2_feistel_shards": shard_sql.oracle_sql(),
     "op4_bbit_minhash": OP4_SQL,
     "op6_entropy_secrets": OP6_SQL,
+    "op7_anchor_pii": OP7_SQL,
     "op8_poisson_mix": mix.ORACLE_SQL,
     "op10_suffix_repetition": OP10_SQL,
 }

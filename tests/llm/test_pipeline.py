@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 import brute
 import corpus_pipeline as cp
+import numpy as np
 from tessera.llm import pii
 from tessera.llm.common import stored, table
 
@@ -42,7 +45,10 @@ def test_odd_rows_pass(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rejected string")
     for _, stage in cp.STAGES:
         docs = stored(stage(spark, docs, sf_dir), "odd")
-    assert docs.count() >= 0
+    got = docs.collect()
+    # rows without words are rejected; of the repeated row one text is left, however often the mixing takes it
+    assert {r["doc_id"] for r in got} <= {2, 3} and all(r["piece"] == 0 and r["start"] == 0 and len(r["ids"]) == r["length"] for r in got)
+    assert len({tuple(r["ids"]) for r in got if r["doc_id"] == 2}) <= 1
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         docs = stored(stage(spark, docs, sf_dir), "none")
@@ -50,4 +56,15 @@ def test_odd_rows_pass(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert cp.run(spark, sf_dir).count() > 0
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    got = cp.run(spark, sf_dir).toPandas()
+    assert brute.offsets_fit(list(zip(got.sequence_id, got.offset, got.length, strict=True)), 1024)
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    one = got.drop_duplicates(["doc_id", "piece"]).sort_values(["doc_id", "piece"]).groupby("doc_id")
+    for i, pieces in one:
+        ids = [x for p in pieces.ids for x in p]
+        assert ids == [*tk.encode(pii.masked(texts[i]), add_special_tokens=False).ids, 2]
+        assert [zlib.crc32(np.array(p, "<u4").tobytes()) for p in pieces.ids] == pieces.ids_crc32.tolist()
