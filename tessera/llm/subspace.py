@@ -4,8 +4,11 @@ Unit vectors are rotated and split into blocks of few dimensions. Two vectors
 within the squared distance of the threshold are, in at least one block,
 within that block's share of it. A range join per block, on the block's
 coordinates alone, finds the pairs so near in it; the union over the blocks
-is verified on the full vectors. A pair counts in the first block in which it
-keeps the budget, so the union needs no further aggregation.
+is verified on the full vectors. Along the ring of blocks there is even one
+from which on every run of blocks keeps the sum of its shares; runs of one
+and two blocks are tested where pairs meet, which spares nearly all chance
+neighbours the verification. A pair counts in the first block that passes, so
+the union needs no further aggregation.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def place(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(node, c, role, label, block, hx, hy, i, j): the rows of each task of the range joins.
+    """(node, c, d, role, label, block, hx, hy, i, j): the rows of each task of the range joins, with the next block's coordinates d.
 
     A grid spans the block's first two dimensions; its side is the root of the
     budget, so partners lie in the same or an adjoining cell. A task belongs
@@ -90,14 +93,14 @@ def tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
     side = [float(np.sqrt(budget(dims, b, cosine))) for b in spans]
     block = F.explode(
         F.array(*[
-            F.struct(F.lit(k).alias("block"), F.slice("y", s + 1, e - s).alias("c"), F.floor(F.get("y", F.lit(s)) / side[k]).cast("int").alias("cx"), (F.floor(F.get("y", F.lit(s + 1)) / side[k]).cast("int") if e - s > 1 else F.lit(0)).alias("cy"))
+            F.struct(F.lit(k).alias("block"), F.slice("y", s + 1, e - s).alias("c"), F.slice("y", spans[(k + 1) % len(spans)][0] + 1, spans[(k + 1) % len(spans)][1] - spans[(k + 1) % len(spans)][0]).alias("d"), F.floor(F.get("y", F.lit(s)) / side[k]).cast("int").alias("cx"), (F.floor(F.get("y", F.lit(s + 1)) / side[k]).cast("int") if e - s > 1 else F.lit(0)).alias("cy"))
             for k, (s, e) in enumerate(spans)
         ])
     )
     rows = placed.select("node", "label", block.alias("b")).select("node", "label", "b.*")
     cell = ["label", "block", "hx", "hy"]
     homes = F.explode(F.array(*[F.struct((F.col("cx") - x).alias("hx"), (F.col("cy") - y).alias("hy"), F.lit((x, y) == (0, 0)).alias("own")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    sent = rows.withColumn("h", homes).select("node", "label", "block", "c", "h.*")
+    sent = rows.withColumn("h", homes).select("node", "label", "block", "c", "d", "h.*")
     sizes = sent.groupBy(*cell).agg(F.count_if("own").alias("own_n"), F.count(F.lit(1)).alias("n")).where("own_n > 0 AND n > 1")
     sizes = stored(sizes.select(*cell, "n", F.ceil(F.col("own_n") / CHUNK).cast("int").alias("ni"), F.ceil(F.col("n") / CHUNK).cast("int").alias("nj")), "cell_sizes")
     hot = hot_keys(sizes, cell, "n", placed.count() * len(spans))
@@ -107,7 +110,7 @@ def tiles(placed: DataFrame, dims: int, cosine: float) -> DataFrame:
     every_i = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(1).alias("role")))
     both = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role")))
     task = F.when(~F.col("own"), every_i).when((F.col("ni") == 1) & (F.col("nj") == 1), both).otherwise(F.concat(every_j, every_i))
-    return known.withColumn("t", F.explode(task)).select("node", "c", "own", *cell, "t.*")
+    return known.withColumn("t", F.explode(task)).select("node", "c", "d", "own", *cell, "t.*")
 
 
 TASK = ["label", "block", "hx", "hy", "i", "j"]
@@ -117,11 +120,11 @@ def two_sides(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return f[f["role"] != 1], f[f["role"] != 0]
 
 
-def in_range(home: np.ndarray, other: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (home, other) of the pairs within the squared distance ``most``, strip by strip.
+def in_range(home: np.ndarray, other: np.ndarray, next_home: np.ndarray, next_other: np.ndarray, most: float, next_most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (home, other) of the pairs that keep the block's budget, and with the next block both budgets.
 
-    Both are swept along their last swept coordinate: a strip of home rows
-    meets only the rows of its band there.
+    Both sides are swept along one coordinate: a strip of home rows meets
+    only the rows of its band there.
     """
     axis = min(2, home.shape[1] - 1)
     ho, oo = np.argsort(home[:, axis], kind="stable"), np.argsort(other[:, axis], kind="stable")
@@ -133,12 +136,23 @@ def in_range(home: np.ndarray, other: np.ndarray, most: float) -> Iterator[tuple
         low, high = np.searchsorted(along, x[0, axis] - reach, "left"), np.searchsorted(along, x[-1, axis] + reach, "right")
         d = (x**2).sum(1)[:, None] + squares[low:high] - 2 * x @ other[oo[low:high]].T
         r, c = np.nonzero(d <= most + 1e-9)
-        yield mine[r], oo[low + c]
+        near, r, c = d[r, c], mine[r], oo[low + c]
+        ok = near + ((next_home[r] - next_other[c]) ** 2).sum(1) <= most + next_most + 1e-8
+        yield r[ok], c[ok]
+
+
+def budgets(dims: int, block: int, cosine: float) -> tuple[float, float]:
+    """The block's budget and that of the next one on the ring."""
+    spans = blocks(dims)
+    return budget(dims, spans[block], cosine), budget(dims, spans[(block + 1) % len(spans)], cosine)
+
+
+def columns_of(home: pd.DataFrame, other: pd.DataFrame) -> list[np.ndarray]:
+    return [np.array(f[c].tolist()) for c in ("c", "d") for f in (home, other)]
 
 
 def near_pairs(placed_tiles: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """Candidates (a, b, block), a row per pair near in the block; or, of a dense task, its key alone (dense)."""
-    most = [budget(dims, b, cosine) for b in blocks(dims)]
+    """Candidates (a, b, block), a row per pair that passes in the block; or, of a dense task, its key alone (dense)."""
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         home, other = two_sides(f)
@@ -147,7 +161,7 @@ def near_pairs(placed_tiles: DataFrame, dims: int, cosine: float) -> DataFrame:
         if len(home) and len(other):
             mine, theirs, same = home["node"].to_numpy(), other["node"].to_numpy(), other["own"].to_numpy()
             held = 0
-            for r, c in in_range(np.array(home["c"].tolist()), np.array(other["c"].tolist()), most[int(key["block"].iloc[0])]):
+            for r, c in in_range(*columns_of(home, other), *budgets(dims, int(key["block"].iloc[0]), cosine)):
                 ok = ~same[c] | (mine[r] < theirs[c])  # rows of the home cell meet once
                 a.append(mine[r[ok]])
                 b.append(theirs[c[ok]])
@@ -161,18 +175,23 @@ def near_pairs(placed_tiles: DataFrame, dims: int, cosine: float) -> DataFrame:
 
 
 def linked(x: np.ndarray, z: np.ndarray, dims: int, block: np.ndarray, cosine: float) -> np.ndarray:
-    """Which pairs of rows (x, z) of unit vectors reach the cosine and have ``block`` as the first that keeps its budget."""
-    q = rotation(dims)
+    """Which pairs of rows (x, z) of unit vectors reach the cosine and have ``block`` as the first that passes.
+
+    A block passes if it keeps its budget, and with the next one on the ring both.
+    """
+    q, spans = rotation(dims), blocks(dims)
     square = (rotated(x, q) - rotated(z, q)) ** 2
+    d = np.zeros((len(spans), len(x)))
+    for k, (s, e) in enumerate(spans):
+        for m in range(s, e):
+            d[k] += square[:, m]
     ok = np.zeros(len(x), bool)
     open_ = np.ones(len(x), bool)
-    for k, (s, e) in enumerate(blocks(dims)):
-        d = np.zeros(len(x))
-        for m in range(s, e):
-            d += square[:, m]
-        within = open_ & (d <= budget(dims, (s, e), cosine))
-        ok |= within & (block == k)
-        open_ &= ~within
+    for k in range(len(spans)):
+        own, after = budgets(dims, k, cosine)
+        passes = open_ & (d[k] <= own) & (d[k] + d[(k + 1) % len(spans)] <= own + after)
+        ok |= passes & (block == k)
+        open_ &= ~passes
     return ok & (np.einsum("ij,ij->i", x, z) >= cosine)
 
 
@@ -202,7 +221,7 @@ def dense_links(rows: DataFrame, dims: int, cosine: float) -> DataFrame:
         x, z = np.array(home["x"].tolist()), np.array(other["x"].tolist())
         mine, theirs, same = home["node"].to_numpy(), other["node"].to_numpy(), other["own"].to_numpy()
         links = np.zeros((len(x), len(z)), bool)
-        for r, c in in_range(np.array(home["c"].tolist()), np.array(other["c"].tolist()), budget(dims, blocks(dims)[k], cosine)):
+        for r, c in in_range(*columns_of(home, other), *budgets(dims, k, cosine)):
             ok = ~same[c] | (mine[r] < theirs[c])
             r, c = r[ok], c[ok]
             for at in range(0, len(r), 20_000):
