@@ -57,6 +57,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """As ``stored``, dealt by ``by`` into as many files as shuffles have partitions, so that joins on it need not move the table again."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{unique}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(unique)
+    _written.append(path)
+    return spark.table(unique)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the scratch tables that ``stored`` or ``bucketed`` gave as ``frames``, which no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(hadoop).delete(p, True)
+
+
 def written() -> int:
     """How many scratch tables this process has written so far, as a mark for ``release``."""
     return len(_written)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mix, pack, pii, quality, secret, shard, shard_sql, subspace, urls
+from . import langid, merkle, minhash, mix, pack, pii, quality, secret, shard, shard_sql, subspace, suffix, urls, whiten
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("long_repeat", F.col("longest_repeat") > quality.MOST_LONGEST).drop("longest_repeat")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_integer_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_interval_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest_columns(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES = {
         op8_poisson_mix,
         op9_configuration_packing,
         op10_suffix_repetition,
+        op11_merkle_manifest,
+        op12_integer_whitening,
+        op13_interval_repeats,
     )
 }
 _COMPONENTS = """reach AS (SELECT a AS node, b AS to_ FROM both_ UNION SELECT r.node, l.b FROM reach r JOIN both_ l ON r.to_ = l.a),
