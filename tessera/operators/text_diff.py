@@ -47,9 +47,13 @@ def _per_pair(pairs: DataFrame, make, schema: str) -> DataFrame:
     return pairs.select("pair_id", "left", "right").mapInPandas(run, schema)
 
 
-def diff_rows(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
-    """Aligned lines of each pair (D1-D6): equal, change, remove, add in report order."""
-    return _per_pair(pairs, lambda a, b: align.grid(a, b, o), ROWS)
+def diff_rows(pairs: DataFrame, o: NormOptions = NormOptions(), limit: int | None = align.PRODUCT_LIMIT, most_cells: int | None = align.MOST_CELLS, most_rest: int | None = align.MOST_REST) -> DataFrame:
+    """Aligned lines of each pair (D1-D6): equal, change, remove, add in report order.
+
+    No ``limit``: changed lines of any length are compared by character; no
+    ``most_cells`` or ``most_rest``: changed regions of any size are paired.
+    """
+    return _per_pair(pairs, lambda a, b: align.grid(a, b, o, limit=limit, most_cells=most_cells, most_rest=most_rest), ROWS)
 
 
 def diff_flow(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True), limit: int | None = align.PRODUCT_LIMIT) -> DataFrame:
@@ -79,13 +83,13 @@ def grid_stats(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.select("pair_id").join(counts, "pair_id", "left").fillna(0, list(names))
 
 
-def anchors(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True)) -> DataFrame:
-    """Line and character anchors (D10, D11): pair_id, level, l, r, coverage (lines only)."""
+def anchors(pairs: DataFrame, o: NormOptions = NormOptions(ignore_newline=True), limit: int | None = align.PRODUCT_LIMIT) -> DataFrame:
+    """Line and character anchors (D10, D11): pair_id, level, l, r, coverage (lines only); no ``limit``: characters of every pair."""
 
     def make(a: str, b: str) -> list[dict]:
         lines, coverage = align.line_anchors(a, b, o)
         out = [{"level": "line", "l": i, "r": j, "coverage": coverage} for i, j in lines]
-        return out + [{"level": "char", "l": i, "r": j, "coverage": None} for i, j in align.char_anchors(a, b, o) or []]
+        return out + [{"level": "char", "l": i, "r": j, "coverage": None} for i, j in align.char_anchors(a, b, o, limit) or []]
 
     return _per_pair(pairs, make, "pair_id long, level string, l int, r int, coverage double")
 
@@ -174,9 +178,9 @@ def offset_maps(pairs: DataFrame) -> DataFrame:
     return _per_pair(pairs, lambda a, b: [{"at": i, "to": j} for i, j in enumerate(align.offset_map(a, b))], "pair_id long, at int, to int")
 
 
-def both_views(pairs: DataFrame, o: NormOptions = NormOptions()) -> DataFrame:
+def both_views(pairs: DataFrame, o: NormOptions = NormOptions(), limit: int | None = align.PRODUCT_LIMIT) -> DataFrame:
     """Counts of the tidied comparison beside those of the raw lines (D19): pair_id, removed_chars, added_chars, equal, modified, added, removed."""
-    flow = flow_stats(pairs, replace(o, ignore_newline=True)).select("pair_id", "removed_chars", "added_chars")
+    flow = flow_stats(pairs, replace(o, ignore_newline=True), limit).select("pair_id", "removed_chars", "added_chars")
     return flow.join(line_stats(pairs, replace(o, ignore_newline=False)), "pair_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -242,3 +243,38 @@ def test_seams_and_noise():
     assert {"kind": "blank", "y0": 20, "y1": 40} in got and any(s["kind"] == "dup" for s in got)
     img[50:56, :, 0] = 255
     assert image.ratios(img)["worst_band"] > 40 > image.ratios(img)["colorful"]
+
+
+def test_alignment_by_checkpoints_is_the_same(monkeypatch):
+    rng = random.Random(5)
+    for trial in range(60):
+        a, b = ("".join(rng.choice("abcd" if trial % 2 else "ab") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        monkeypatch.setattr(lcs, "HELD", 32 << 20)
+        want, n = lcs.matches(a, b), lcs.length(a, b)
+        for held in (0, 20, 100, 300):
+            monkeypatch.setattr(lcs, "HELD", held)
+            assert lcs.matches(a, b) == want and lcs.length(a, b) == n == len(want)
+
+
+def test_long_texts_align_in_bounded_memory():
+    """Two texts of 10^5 characters: the exact script within 200 MB."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(100_000))
+    b = "".join(c for c in a if rng.random() > 0.02)
+    tracemalloc.start()
+    found = align.char_anchors(a, b, O(), limit=None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and len(found) == len(b) and all(a[i] == b[j] for i, j in found)
+    assert align.char_anchors(a, b, O()) is None
+    left, right = align.char_diff(a[:9000], b[:9000], O(), limit=None)
+    assert "".join(s["text"] for s in left) == a[:9000] and {s["cls"] for s in right} <= {"eq", "ad"} and len(right) > 1
+
+
+def test_limits_of_pairing_can_be_lifted():
+    left, right = ([(i, f"line {i} of {w} side {i * 7919}") for i in range(40)] for w in ("one", "two"))
+    assert align.pair_changed(left, right) == []
+    assert align.pair_changed(left, right, most_cells=None) == [(i, i) for i in range(40)] or len(align.pair_changed(left, right, most_cells=None)) == 40
+    assert align.pair_changed(left, right, most_rest=None) == [(i, i) for i in range(40)]
