@@ -8,6 +8,7 @@ runs carry the character properties in force. Both readers end in
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -263,6 +264,119 @@ def html_paragraphs(markup: str, container: str | None = None) -> list[dict]:
     return []
 
 
+class _Spans(HTMLParser):
+    """Places of the elements that are open when the wanted one starts, and where it ends.
+
+    Unclosed elements end where an element around them does; a block, a list
+    item or a cell ends an open paragraph, item or cell before it.
+    """
+
+    ENDS = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+    WALLS = {"ul", "ol", "dl", "table", "select", "body", "html"}
+
+    def __init__(self, text: str, wanted) -> None:
+        super().__init__(convert_charrefs=False)
+        self.wanted, self.size = wanted, len(text)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.open: list[tuple[str, int, int]] = []  # tag, start and end of the start tag
+        self.path: list[tuple[str, int, int]] | None = None
+        self.end: int | None = None
+        self.body: tuple[int, int] | None = None
+
+    def here(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def shut(self, depth: int, at: int) -> None:
+        if self.path is not None and self.end is None and depth < len(self.path):
+            self.end = at
+        del self.open[depth:]
+
+    def handle_starttag(self, tag: str, pairs: list) -> None:
+        at = self.here()
+        stop = at + len(self.get_starttag_text() or "")
+        if tag == "body" and self.body is None:
+            self.body = (at, stop)
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k][0]
+            if name in self.WALLS:
+                break
+            if name in self.ENDS.get(tag, ()) or (name == "p" and tag in BLOCKS | {"table", "ul", "ol", "article", "section"}):
+                self.shut(k, at)
+                break
+        if tag in VOID or tag == "br":
+            return
+        self.open.append((tag, at, stop))
+        if self.path is None and self.wanted(tag, {k: v or "" for k, v in reversed(pairs)}):
+            self.path = list(self.open)
+
+    def handle_startendtag(self, tag: str, pairs: list) -> None:
+        self.handle_starttag(tag, pairs)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
+        if at is not None:
+            start = self.here()
+            own = self.path is not None and self.end is None and at == len(self.path) - 1
+            self.shut(at, start)
+            if own:
+                self.end = self.rawdata_end(start)
+
+    def rawdata_end(self, start: int) -> int:
+        close = self.text.find(">", start)
+        return self.size if close < 0 else close + 1
+
+    def read(self, text: str) -> None:
+        self.text = text
+        self.feed(text)
+        self.close()
+        self.shut(0, self.size)
+
+
+def trimmed(text: str | None, container: str | None, tag: str | None = None, notes: list[str] | tuple[str, ...] = ()) -> str | None:
+    """A page with its container, and what is around it, alone.
+
+    The container is the first element with the id, else the first ``tag``.
+    The head, the container as it is in the source and the start tags of all
+    elements around it stay, so that style rules by ancestors still fit;
+    their other children go. The container gets the class ``web-page`` and,
+    first in it, a block with the notes. None, pages without a container and
+    pages whose body it is stay as they are. Ends that the source leaves out
+    are written for the elements around the container.
+    """
+    if not text:
+        return text
+    for wanted in ((lambda t, a: a.get("id") == container) if container else None, (lambda t, a: t == tag) if tag else None):
+        if wanted is None:
+            continue
+        reader = _Spans(text, wanted)
+        reader.read(text)
+        if reader.path is None or reader.path[-1][0] in ("body", "html"):
+            continue
+        *around, (name, start, stop) = reader.path
+        first = next((k for k, x in enumerate(around) if x[0] == "body"), None)
+        if first is None:
+            head, inner = "".join(text[a:b] for t, a, b in around if t == "html"), [x for x in around if x[0] != "html"]
+            closing = [t for t, _, _ in around]
+        else:
+            head, inner = text[: around[first][2]], around[first + 1 :]
+            closing = [t for t, _, _ in around]
+        own = with_class(text[start:stop], "web-page")
+        note = f'<div class="web-page-note">{escape("；".join(notes), quote=False)}</div>' if notes else ""
+        return head + "".join(text[a:b] for _, a, b in inner) + own + note + text[stop : reader.end] + "".join(f"</{t}>" for t in reversed(closing))
+    return text
+
+
+def with_class(start_tag: str, name: str) -> str:
+    """A start tag with one class more."""
+    held = re.search(r"""(\sclass\s*=\s*)("([^"]*)"|'([^']*)'|([^\s>"']+))""", start_tag, flags=re.I)
+    if held:
+        old = next(g for g in held.groups()[2:] if g is not None)
+        return f'{start_tag[: held.start(2)]}"{old} {name}"{start_tag[held.end(2) :]}'
+    end = re.match(r"<[^\s/>]+", start_tag).end()
+    return f'{start_tag[:end]} class="{name}"{start_tag[end:]}'
+
+
 # --- OOXML -------------------------------------------------------------------------
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

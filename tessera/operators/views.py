@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions import web as W
 from ..kernel import markup
+from . import asof
+from . import rows as R
+from .style import aligned
 from .table_diff import CATEGORIES, rank_of
 
 
@@ -126,6 +129,51 @@ def blocks(pages: DataFrame) -> DataFrame:
     return pages.select("id", "html").mapInPandas(run, "id long, n int, text string")
 
 
+def trimmed(pages: DataFrame, container: Column | None = None, tag: str | None = None, notes: Column | None = None) -> DataFrame:
+    """Pages (id, html) with their container and what is around it alone (X16); see ``markup.trimmed``.
+
+    ``container`` tells a page's id of it (default: the first known one that the markup has), ``tag`` what
+    serves where there is no such element, ``notes`` an array of remarks.
+    """
+    named = W.container(F.col("html")) if container is None else container
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cut = [markup.trimmed(h, c, tag, list(n) if n is not None else []) for h, c, n in zip(f["html"], f["container"], f["notes"], strict=True)]
+            yield pd.DataFrame({"id": f["id"], "html": cut})
+
+    said = F.lit(None).cast("array<string>") if notes is None else notes
+    return pages.select("id", "html", named.alias("container"), said.alias("notes")).mapInPandas(run, "id long, html string")
+
+
+def paragraph_positions(measured: DataFrame, texts: DataFrame, by: str, between: bool = True) -> DataFrame:
+    """Positions of a text's paragraphs in the rendered document (X2): by, line, top, height, measured.
+
+    ``measured``: by, i, text, top, height of the document's blocks in order.
+    ``texts``: by, text; its paragraphs are parted by blank lines. Blocks and
+    paragraphs of equal text are aligned in order and give a line its top.
+    Where the first one lies below line 0, a line 0 stands at the very top,
+    as high as the first (16 where that has no height). With ``between``,
+    paragraphs that have no block lie between the aligned ones around them,
+    by their lines. Documents without any aligned block have no positions.
+    Ids must not be null; lines of equal top keep their order.
+    """
+    cut = R.paragraphs(texts, by)
+    blocks_ = measured.select(by, "i", F.regexp_replace("text", "\u2003", "\t").alias("text"))
+    pairs = aligned(blocks_, cut.select(by, F.col("para_no").alias("i"), F.col("paragraph").alias("text")), by)
+    met = pairs.where("a IS NOT NULL AND e IS NOT NULL")
+    tops = met.join(measured.select(by, F.col("i").alias("a"), "top", "height"), [by, "a"]).join(cut.select(by, F.col("para_no").alias("e"), "line"), [by, "e"])
+    found = tops.select(by, "line", F.col("top").cast("double").alias("top"), F.col("height").cast("double").alias("height"), F.lit(True).alias("measured"))
+    first = found.groupBy(by).agg(F.min_by("height", F.struct("top", "line")).alias("height"), F.min_by("line", F.struct("top", "line")).alias("at"))
+    zero = first.where("at >= 1").select(by, F.lit(0).cast("long").alias("line"), F.lit(0.0).alias("top"), F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(16.0)).alias("height"), F.lit(True).alias("measured"))
+    index = found.unionByName(zero)
+    if not between:
+        return index
+    left = cut.join(met.select(by, F.col("e").alias("para_no")), [by, "para_no"], "left_anti").join(first.select(by), by, "left_semi").select(by, F.col("line").alias("x"))
+    placed = asof.interpolate(left, index.select(by, F.col("line").alias("l"), F.col("top").alias("r")), by)
+    return index.unionByName(placed.select(by, F.col("x").alias("line"), F.col("y").alias("top"), F.lit(0.0).alias("height"), F.lit(False).alias("measured")))
+
+
 # --- fetching -----------------------------------------------------------------------
 
 Transport = Callable[[str, float, int], tuple[int, dict, bytes]]
