@@ -545,7 +545,7 @@ def text_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def char_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_diff.flow_stats(document_pairs(spark, sf_dir))
+    return text_diff.flow_stats(document_pairs(spark, sf_dir), limit=None)
 
 
 @query()
@@ -566,7 +566,7 @@ def similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Style vectors of pages, and what a small specification expects of them."""
-    found = style.html_vectors(table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("doc_id"), "html"))
+    found = style.html_vectors(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
     spec = {"defaults": {"size_pt": 10.0, "line_spacing": 1.5}, "rules": [{"match": {"i": 0}, "set": {"size_pt": 16.0, "align": "center"}}, {"match": {"text_includes": "the"}, "set": {"indent_in": 0.29}}]}
     return found, style.apply_spec(found, spec)
 

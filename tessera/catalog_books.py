@@ -246,16 +246,16 @@ def workbook_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH f AS (SELECT p_brand AS dir, CASE p_partkey % 10 WHEN 0 THEN 'left-' ELSE 'right-' END || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.html' ELSE '.txt' END AS name FROM part WHERE p_partkey % 10 < 2), u AS (SELECT * FROM f WHERE name NOT LIKE '%.html'), "
+    "WITH f AS (SELECT p_brand AS dir, CASE p_partkey % 10 WHEN 0 THEN 'left-' WHEN 1 THEN 'right-' ELSE 'note-' END || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.html' ELSE '.txt' END AS name FROM part), u AS (SELECT * FROM f WHERE name NOT LIKE '%.html'), "
     "p AS (SELECT a.dir, a.name AS \"left\", b.name AS \"right\" FROM u a JOIN u b ON a.dir = b.dir WHERE a.name LIKE 'left-%' AND b.name LIKE 'right-%'), "
     "v AS (SELECT *, ((row_number() OVER (PARTITION BY dir ORDER BY \"left\", \"right\") - 1) // 10 + 1)::INT AS volume FROM p) "
     "SELECT dir, \"left\", \"right\", volume, 'out/' || dir || CASE WHEN max(volume) OVER (PARTITION BY dir) > 1 THEN '-' || volume ELSE '' END AS output FROM v"
 )
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left and right files of every brand's folder; web pages take no part."""
+    """Left and right files of every brand's folder; web pages take no part, and notes match neither pattern."""
     k = F.col("p_partkey")
-    name = F.concat(F.when(k % 10 == 0, "left-").otherwise("right-"), k.cast("string"), F.when(k % 3 == 0, ".html").otherwise(".txt"))
-    files = table(spark, sf_dir, "part").where(k % 10 < 2).select(F.col("p_brand").alias("dir"), name.alias("name"))
+    name = F.concat(F.when(k % 10 == 0, "left-").when(k % 10 == 1, "right-").otherwise("note-"), k.cast("string"), F.when(k % 3 == 0, ".html").otherwise(".txt"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dir"), name.alias("name"))
     plan = planned(spark, Task("t", "out", source={"root": "", "left": "left-*", "right": "right-*"}), files)
     return plan.select("dir", "left", "right", "volume", "output")
 

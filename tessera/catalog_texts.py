@@ -112,18 +112,20 @@ _SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 
 
 def thinned(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("pair_id"), F.col(text).alias("left"), F.regexp_replace(text, _DROP, "").alias("right"))
+    return df.select(F.col(key).alias("pair_id"), F.col(text).alias("left"), F.regexp_replace(text, _DROP, "").alias("right"))
 
 
 @query(
-    f"WITH n AS (SELECT doc_id AS pair_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS a, length(regexp_replace(regexp_replace(text, '{_SPACE}', '', 'g'), '{_DROP}', '', 'g')) AS b FROM documents WHERE text IS NOT NULL) "
-    "SELECT pair_id, a * b > 50000000 AS skipped, CASE WHEN a * b > 50000000 THEN a ELSE a - b END AS removed_chars, CASE WHEN a * b > 50000000 THEN b ELSE 0 END AS added_chars FROM n"
+    f"WITH n AS (SELECT doc_id AS pair_id, coalesce(length(regexp_replace(text, '{_SPACE}', '', 'g')), 0) AS a, coalesce(length(regexp_replace(regexp_replace(text, '{_SPACE}', '', 'g'), '{_DROP}', '', 'g')), 0) AS b FROM documents) "
+    "SELECT pair_id, false AS skipped, a - b AS removed_chars, 0::BIGINT AS added_chars FROM n"
 )
 def thinned_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_diff.flow_stats(thinned(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """Every document, however long, is compared by character."""
+    pairs = text_diff.spread(thinned(table(spark, sf_dir, "documents"), "doc_id", "text"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return text_diff.flow_stats(pairs, limit=None)
 
 
-@query(f"SELECT conv_id * 1000 + turn AS pair_id, CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(b) = 0 THEN 0.0 ELSE round(length(b)::DOUBLE / length(a), 9) END AS similarity FROM (SELECT *, regexp_replace(lower(text), '[\\t ]+', ' ', 'g') AS a, regexp_replace(lower(regexp_replace(text, '{_DROP}', '', 'g')), '[\\t ]+', ' ', 'g') AS b FROM conversations WHERE text IS NOT NULL)")
+@query(f"SELECT conv_id * 1000 + turn AS pair_id, CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(b) = 0 THEN 0.0 ELSE round(length(b)::DOUBLE / length(a), 9) END AS similarity FROM (SELECT *, regexp_replace(lower(coalesce(text, '')), '[\\t ]+', ' ', 'g') AS a, regexp_replace(lower(regexp_replace(coalesce(text, ''), '{_DROP}', '', 'g')), '[\\t ]+', ' ', 'g') AS b FROM conversations)")
 def thinned_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return text_diff.similarities(thinned(c, "id", "text")).select("pair_id", F.round("similarity", 9).alias("similarity"))
@@ -159,8 +161,9 @@ def compared_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_diff.compared_again(p)
 
 
-@query("SELECT doc_id AS pair_id, 0::BIGINT AS removed_chars, 0::BIGINT AS added_chars, n AS equal, 0::BIGINT AS modified, CASE WHEN n > 0 THEN n - 1 ELSE 0 END AS added, 0::BIGINT AS removed FROM (SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n FROM documents WHERE length(text) < 6000)")
+@query("SELECT doc_id AS pair_id, 0::BIGINT AS removed_chars, 0::BIGINT AS added_chars, n AS equal, 0::BIGINT AS modified, CASE WHEN n > 0 THEN n - 1 ELSE 0 END AS added, 0::BIGINT AS removed FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n FROM documents)")
 def tidy_and_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts against themselves with every line end doubled: nothing for the tidied view, blank lines for the raw one."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 6000)
-    return text_diff.both_views(d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("right")))
+    d = table(spark, sf_dir, "documents")
+    pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("right"))
+    return text_diff.both_views(pairs, limit=None)

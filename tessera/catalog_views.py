@@ -211,12 +211,12 @@ def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey AS id, round(10 + 40.0::DOUBLE / length(p_name), 9) AS x, round(80.0::DOUBLE / length(p_name), 9) AS width, round((CASE WHEN p_size % 2 = 0 THEN 101.14 ELSE 99.58 END)::DOUBLE, 9) AS y, round((CASE WHEN p_size % 2 = 0 THEN 9.72 ELSE 12 END)::DOUBLE, 9) AS height FROM part WHERE length(p_name) > 3"
+    "SELECT p_partkey AS id, round(10 + 40.0::DOUBLE / length(p_name), 9) AS x, round(80.0::DOUBLE / length(p_name), 9) AS width, round((CASE WHEN p_size % 2 = 0 THEN 101.14 ELSE 99.58 END)::DOUBLE, 9) AS y, round((CASE WHEN p_size % 2 = 0 THEN 9.72 ELSE 12 END)::DOUBLE, 9) AS height FROM part"
 )
 def highlight_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, zero = F.lit(12.0), F.lit(0.0)
     item = F.struct(F.array(n, zero, zero, n, F.lit(10.0), F.lit(100.0)).alias("transform"), F.lit(40.0).alias("width"), F.col("name").alias("str"), (F.col("size") % 2 == 0).alias("ocr"))
-    p = parts(spark, sf_dir).where(F.length("name") > 3).select("id", item.alias("item"))
+    p = parts(spark, sf_dir).select("id", item.alias("item"))
     box = image.highlight("item", F.lit(1), F.lit(3))
     return p.select("id", *[F.round(c, 9).cast("double").alias(k) for k, c in box.items()])
 
@@ -354,10 +354,10 @@ def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<html><body><p>outside</p><div id="content"><p style="text-align:center;line-height:150%;text-indent:2em;font-size:'), text_of("size"), F.lit('pt">'),
         F.lit("aaaaaaaaaa<b>bold</b><i>it</i><sup>12</sup><sub>3</sub></p><p>key "), text_of("id"), F.lit("</p></div></body></html>"),
     )
-    return parts(spark, sf_dir).where("size >= 6 AND size <= 40").select(F.col("id").alias("doc_id"), "size", html.alias("html"))
+    return parts(spark, sf_dir).select(F.col("id").alias("doc_id"), "size", html.alias("html"))
 
 
-_STYLED = "SELECT p_partkey AS doc_id, p_size AS size FROM part WHERE p_size BETWEEN 6 AND 40"
+_STYLED = "SELECT p_partkey AS doc_id, p_size AS size FROM part"
 
 
 @query(
