@@ -29,13 +29,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(5):
         head = (head << np.uint64(8)) | padded[k : k + n]
     low = np.uint64((1 << BITS) - 1)
-    packed = np.sort((head << np.uint64(BITS)) | np.arange(n, dtype=np.uint64))
-    order = (packed & low).astype(np.int64)
+    packed = (head << np.uint64(BITS)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int32)
     head = packed >> np.uint64(BITS)
-    rank = np.zeros(n + depth, np.int64)  # 1 and up; 0 beyond the end
+    rank = np.zeros(n + depth, np.int32)  # 1 and up; 0 beyond the end
     new = np.concatenate([[True], head[1:] != head[:-1]])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
-    at = np.arange(n)  # places in the order that are still tied
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1, dtype=np.int32), np.int32(0)))
+    at = np.arange(n, dtype=np.int32)  # places in the order that are still tied
     done = 5
     while done < depth:
         last = np.concatenate([new[1:], [True]])
@@ -45,11 +46,12 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         members = order[at]
         step = min(done, depth - done)
-        packed = np.sort((rank[members].astype(np.uint64) << np.uint64(2 * BITS)) | (rank[members + step].astype(np.uint64) << np.uint64(BITS)) | members.astype(np.uint64))
-        order[at] = members = (packed & low).astype(np.int64)
-        both = packed >> np.uint64(BITS)
-        new = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[members] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] + 1
+        packed = (rank[members].astype(np.uint64) << np.uint64(2 * BITS)) | (rank[members + step].astype(np.uint64) << np.uint64(BITS)) | members.astype(np.uint64)
+        packed.sort()
+        order[at] = members = (packed & low).astype(np.int32)
+        packed >>= np.uint64(BITS)
+        new = np.concatenate([[True], packed[1:] != packed[:-1]])
+        rank[members] = at[np.maximum.accumulate(np.where(new, np.arange(len(at), dtype=np.int32), np.int32(0)))] + np.int32(1)
         done += step
     return order
 
@@ -69,56 +71,61 @@ def common_prefixes(bwt: np.ndarray, most: int) -> np.ndarray:
     extended again; those of length ``most`` are never looked at.
     """
     n = len(bwt)
-    prefix = np.full(n + 1, most, np.int32)
-    prefix[0] = prefix[n] = 0
     by_byte = np.argsort(bwt, kind="stable")
     forward = np.empty(n, np.int32)
     forward[by_byte] = np.arange(n, dtype=np.int32)
     first = bwt[by_byte]  # first bytes in suffix order
     opens = np.ones(n + 1, bool)
     opens[1:n] = first[1:] != first[:-1]
-    owner = np.full(n + 2, -1, np.int64)  # shifted by one place
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    prefix = np.full(n + 1, most, np.int32)
+    prefix[opens] = 0  # strings of one byte: their intervals end where the first byte changes
+    known = opens.copy()
+    edges = np.flatnonzero(opens).astype(np.int32)
+    lo, hi = edges[:-1], edges[1:]
+    owner = np.full(n + 2, -1, np.int32)  # of each place, shifted by one
     base = 0
-    prefix_set = np.zeros(n + 1, bool)
-    prefix_set[0] = True
-    for length in range(most):
+    for length in range(1, most):
         sizes = hi - lo
-        starts = np.cumsum(sizes) - sizes
-        held = np.arange(sizes.sum()) + np.repeat(lo - starts, sizes)
-        to = forward[held]
-        owner[to + 1] = np.repeat(np.arange(base, base + len(lo)), sizes)
+        before = np.cumsum(sizes, dtype=np.int32) - sizes
+        held = np.arange(int(sizes.sum()), dtype=np.int32)
+        held += np.repeat(lo - before, sizes)
+        own = np.repeat(np.arange(base, base + len(lo), dtype=np.int32), sizes)
         base += len(lo)
-        own = owner[to + 1]
-        ends = to[(owner[to + 2] != own) | opens[to + 1]]
+        to = forward[held]
+        owner[to + 1] = own
         begins = to[(owner[to] != own) | opens[to]]
-        hi, lo = np.sort(ends).astype(np.int64) + 1, np.sort(begins).astype(np.int64)
-        fresh = ~prefix_set[hi]
-        hi, lo = hi[fresh], lo[fresh]
-        prefix_set[hi] = True
-        prefix[hi] = length
+        to += 1
+        ends = to[(owner[to + 1] != own) | opens[to]]
+        lo, hi = np.sort(begins), np.sort(ends)
+        fresh = ~known[hi]
+        lo, hi = lo[fresh], hi[fresh]
         if not len(hi):
             break
-    prefix[n] = 0
+        known[hi] = True
+        prefix[hi] = length
     return prefix[:n]
 
 
-def repeated(parts: list[bytes], counts: np.ndarray, starts: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each part: which of its first ``starts`` positions begin a string of ``least`` bytes that occurs twice.
+def repeated(parts: list[bytes], counts: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of positions that begin a string of ``least`` bytes that occurs twice: (part, from, to), by part and place.
 
-    ``counts`` weighs each part. Strings are those within parts, from positions that ``starts`` admits.
+    ``counts`` weighs each part. Strings are those within parts, from their first ``starts`` positions.
     """
-    sizes = np.array([len(p) for p in parts], np.int64)
-    text = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
-    at = np.cumsum(sizes + 1) - sizes - 1
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    text = np.frombuffer(bytes([END]).join(parts) + bytes([END]), np.uint8)
+    at = np.cumsum(sizes) - sizes
     order = suffix_order(text, least)
     prefix = common_prefixes(transform(text, order), least)
     weight = np.zeros(len(text) + 1, np.int64)
-    np.add.at(weight, at, counts)
-    np.add.at(weight, at + starts, -counts)
+    weight[at] += counts
+    weight[at + starts] -= counts
     weight = np.cumsum(weight[:-1])[order]
     group = np.cumsum(prefix < least) - 1
     twice = np.bincount(group, weights=weight)[group] >= 2
-    hit = np.zeros(len(text), bool)
+    hit = np.zeros(len(text) + 1, np.int8)
     hit[order] = twice & (weight > 0)
-    return [hit[a : a + s] for a, s in zip(at.tolist(), starts.tolist(), strict=True)]
+    # a part's last positions begin no string, so no run goes over its end
+    edges = np.flatnonzero(np.diff(hit, prepend=np.int8(0)))
+    begin, end = edges[::2], edges[1::2]
+    part = np.searchsorted(at, begin, side="right") - 1
+    return part, begin - at[part], end - at[part]

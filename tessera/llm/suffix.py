@@ -40,6 +40,8 @@ from .common import PER_TASK, bucketed, discard, for_salts, fresh, hot_keys, sal
 GRAM = 32
 #: Starts per piece when a hot key's pieces are cut again, round by round.
 CUTS = (16, 1)
+#: Bytes of pieces that a task sorts at a time, and more than one key ever has.
+TOGETHER = 1 << 19
 #: Bytes of text hashed at a time; positions in it take as many bits.
 CHUNK = 1 << 20
 POSITION = 20
@@ -212,7 +214,7 @@ def _distinct(pieces: DataFrame) -> DataFrame:
 
 def _cut_hot(texts: DataFrame, pieces: DataFrame, kinds: DataFrame, step: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Cut the pieces of hot keys again; the rest stays. Gives pieces and their kinds, stored."""
-    crowd = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_TASK)
+    crowd = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(PER_TASK, TOGETHER // (2 * least)))
     hot = stored(crowd.select("key"), "suffix_hot")
     if hot.isEmpty():
         discard(hot)
@@ -255,14 +257,11 @@ def _repeats(texts: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
         key, digest, n, starts, content = zip(*rows, strict=True)
-        keys, digests, runs = [], [], []
-        for k, d, hit in zip(key, digest, bwt.repeated(content, np.array(n), np.array(starts), least), strict=True):
-            if hit.any():
-                edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                keys.append(k)
-                digests.append(d)
-                runs.append(edges.tolist())
-        return batch_of([keys, digests, runs])
+        part, begin, end = bwt.repeated(content, np.array(n), np.array(starts), least)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        met = part[first]
+        runs = pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(part)), pa.int32()), pa.array(np.stack([begin, end], 1).ravel(), pa.int32()))
+        return batch_of([np.array(key, np.int64)[met], np.array(digest, np.int64)[met], runs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -271,7 +270,7 @@ def _repeats(texts: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[-1][0] != row[0]:
                     keyed = len(rows)
-                if size + len(row[4]) + 1 > 1 << bwt.BITS:
+                if size + len(row[4]) + 1 > TOGETHER and keyed:
                     yield judge(rows[:keyed])
                     rows = rows[keyed:]
                     size, keyed = sum(len(r[4]) + 1 for r in rows), 0

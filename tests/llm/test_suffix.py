@@ -139,5 +139,5 @@ def test_repeated_strings_by_weight():
         for p, s, w in zip(parts, starts, counts):
             for k in range(s):
                 met[p[k : k + least]] += w
-        got = bwt.repeated(parts, counts, starts, least)
-        assert [x.tolist() for x in got] == [[met[p[k : k + least]] > 1 for k in range(s)] for p, s in zip(parts, starts)]
+        got = {(p, k) for p, a, b in zip(*bwt.repeated(parts, counts, starts, least)) for k in range(a, b)}
+        assert got == {(n, k) for n, (p, s) in enumerate(zip(parts, starts)) for k in range(s) if met[p[k : k + least]] > 1}
