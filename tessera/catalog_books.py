@@ -16,7 +16,7 @@ from .kernel import ooxml
 from .operators import batch, table_diff
 from .plans import report
 from .plans.task import Task, planned
-from .sources import office
+from .sources import office, written
 from .sources.scratch import shared_folder
 
 FILE = "path string, content binary"
@@ -220,15 +220,21 @@ def report_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(order_tables(spark, sf_dir)["modified"])
 
 
-@query("SELECT '新增' AS sheet, count(*)::BIGINT AS n, min(id) AS first FROM (SELECT s_suppkey::VARCHAR AS id FROM supplier WHERE s_suppkey % 5 = 0) UNION ALL SELECT '删除', count(*), min(id) FROM (SELECT s_suppkey::VARCHAR AS id FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 5 <> 0)")
+@query(
+    "WITH s AS (SELECT s_nationkey::VARCHAR AS book, s_suppkey::VARCHAR AS id, s_suppkey AS k FROM supplier) "
+    "SELECT book, '新增' AS sheet, count(*)::BIGINT AS n, min(id) AS first, max(k)::BIGINT AS last_row FROM s WHERE k % 5 = 0 GROUP BY book UNION ALL SELECT book, '删除', count(*), min(id), max(k) FROM s WHERE k % 7 = 0 AND k % 5 <> 0 GROUP BY book"
+)
 def report_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report as a workbook in the shared form of files, scanned again."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name", F.col("s_suppkey").alias("row"))
+    """A report per nation as a workbook, all written by executors and read again."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name", F.col("s_nationkey").cast("string").alias("nation"), F.col("s_suppkey").alias("row"))
     old, new = s.where("row % 5 <> 0"), s.where("row % 7 <> 0 OR row % 5 = 0")
-    found = report.tables(table_diff.table_diff(old, new, row="row"), new, ["id", "s_name"], ["id", "s_name"], "row")
-    content = report.workbook({k: found[k] for k in ("added", "deleted")})
-    cells = office.cells_of(spark.createDataFrame([("report.xlsx", content)], FILE))
-    return cells.where("row_no > 1 AND col_no = 2").groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"))
+    columns = ["id", "s_name", "nation"]
+    found = report.tables(table_diff.table_diff(old, new, row="row"), new, columns, columns, "row")
+    path = shared_folder(spark, "reports")
+    written.write_files(report.workbooks({k: found[k] for k in ("added", "deleted")}, by="nation"), path)
+    cells = office.workbook_cells(spark, path).where("row_no > 1 AND col_no IN (2, 5)")
+    rows_ = cells.groupBy("book", "sheet", "row_no").agg(F.max(F.when(F.col("col_no") == 2, F.col("text"))).alias("id"), F.max(F.when(F.col("col_no") == 5, F.col("text"))).cast("long").alias("at"))
+    return rows_.groupBy(F.regexp_extract("book", r"([^/]+)\.xlsx$", 1).alias("book"), "sheet").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("at").alias("last_row"))
 
 
 @query(
@@ -283,10 +289,53 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("" if t == "string" else -1)).cast("string" if t == "string" else "long").alias(c) for c, t in out.dtypes])
 
 
-@query("SELECT 'id' AS name, 21.5::DOUBLE AS width UNION ALL SELECT 's_name', 33.0")
-def restored_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column widths of a source sheet in a report written and read again."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name")
-    content = report.workbook({"added": s}, {"added": [21.5, 33.0]})
-    m = office.meta_of(spark.createDataFrame([("r.xlsx", content)], FILE))
-    return m.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col("widths")[i].alias("width")) for i, n in ((1, "id"), (2, "s_name"))])))
+@query(
+    "SELECT r_regionkey::VARCHAR AS book, (20 + r_regionkey)::DOUBLE AS w1, 12.5::DOUBLE AS w2, r_regionkey % 2 = 1 AS hidden, (30 + r_regionkey)::DOUBLE AS height, 1::INT AS freeze_rows, (r_regionkey % 3)::INT AS freeze_columns, "
+    "'FF' || repeat(r_regionkey::VARCHAR, 6) AS fill, '0.00' AS number, 'center' AS alignment, true AS italic, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS n FROM region"
+)
+def restored_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source workbook per region with its own widths, hidden columns, heights, panes and header styles, and those of the report made of it."""
+
+    def source(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k in f["r_regionkey"].astype(int):
+                style = {"font": "<font><i/></font>", "fill": f'<fill><patternFill patternType="solid"><fgColor rgb="FF{str(k) * 6}"/></patternFill></fill>', "number": "0.00", "alignment": '<alignment horizontal="center"/>'}
+                own = ooxml.Formats({1: 20.0 + k, 2: 12.5}, [2] if k % 2 else [], {1: 30.0 + k}, (1, k % 3), {1: style, 2: {"font": "<font><u/></font>"}})
+                out.append((str(k), ooxml.write({"data": (["a", "b"], [["1", "2"]])}, formats={"data": own})))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    regions = table(spark, sf_dir, "region").select("r_regionkey").mapInPandas(source, FILE)
+    formats = office.formats_of(regions).select("book", F.lit("新增").alias("sheet"), "formats")
+    n = table(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("region"), F.col("n_nationkey").alias("行号"))
+    path = shared_folder(spark, "formats")
+    written.write_files(report.workbooks({"added": n}, by="region", formats=formats), path)
+    found = office.files(spark, path, "*.xlsx")
+    told = office.formats_of(found).select("book", F.from_json("formats", "array<string>").alias("f"))
+    first = F.from_json(F.col("f")[4], "array<array<string>>")[0][1]
+    style = F.from_json(first, "map<string,string>")
+    meta = office.meta_of(found)
+    rows_ = office.cells_of(found).where("col_no = 1 AND row_no > 1").groupBy("book").agg(F.count(F.lit(1)).alias("n"))
+    both = meta.join(told.select("book", style.alias("s")), "book").join(rows_, "book")
+    return both.select(
+        F.regexp_extract("book", r"([^/]+)\.xlsx$", 1).alias("book"), F.col("widths")[1].alias("w1"), F.col("widths")[2].alias("w2"), F.array_contains("hidden", 2).alias("hidden"), F.col("heights")[1].alias("height"), "freeze_rows", "freeze_columns",
+        F.regexp_extract(F.col("s")["fill"], 'rgb="(\\w+)"', 1).alias("fill"), F.col("s")["number"].alias("number"), F.regexp_extract(F.col("s")["alignment"], 'horizontal="(\\w+)"', 1).alias("alignment"), F.contains(F.col("s")["font"], F.lit("<i")).alias("italic"), "n",
+    )
+
+
+@query("SELECT n_regionkey::VARCHAR || '.html' AS name, count(*)::BIGINT AS sections, count(*)::BIGINT AS links, sum(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS struck, true AS complete FROM nation GROUP BY n_regionkey")
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per region with a pair for each nation, of which those of even number differ; written by executors and read again."""
+    n = table(spark, sf_dir, "nation")
+    right = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("about "), F.lower("n_name"))).otherwise(F.concat(F.lit("about "), "n_name"))
+    pairs = n.select(F.col("n_regionkey").cast("string").alias("region"), F.col("n_nationkey").cast("long").alias("pair_id"), F.concat("n_name", F.lit(".txt")).alias("left_name"), F.lit("new.txt").alias("right_name"), F.concat(F.lit("about "), "n_name").alias("left"), right.alias("right"))
+    path = shared_folder(spark, "pages")
+    written.write_files(report.html_pages(pairs.withColumn("raw_left", F.col("left")), "region"), path)
+    read = office.texts(spark, path, "*.html")
+    count = lambda p: F.size(F.split("text", p, -1)).cast("long") - 1
+    contents = F.size(F.split(F.regexp_extract("text", "(?s)<ol>(.*?)</ol>", 1), "<a href=", -1)).cast("long") - 1
+    struck = F.size(F.filter(F.split("text", "<section ", -1), lambda x: F.regexp_extract(x, '(?s)data-is="redline"(.*?)data-is="raw"', 1).contains("<del>"))).cast("long")
+    whole = F.col("text").contains('id="top"') & F.col("text").contains('id="bottom"') & F.col("text").contains("localStorage")
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), count("<section ").alias("sections"), contents.alias("links"), struck.alias("struck"), whole.alias("complete"))
+
+

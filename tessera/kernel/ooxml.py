@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -25,6 +27,7 @@ class Sheet:
     heights: dict[int, float] = field(default_factory=dict)
     freeze: tuple[int, int] | None = None  # rows, columns
     merges: list[str] = field(default_factory=list)
+    styles: dict[int, dict[int, int]] = field(default_factory=dict)  # row -> column -> index
 
 
 def head_error(data: bytes, name: str) -> str | None:
@@ -113,8 +116,9 @@ class Workbook:
         self.base_1904 = props is not None and props.get("date1904") in ("1", "true")
         self.strings = [_string(si) for si in ElementTree.fromstring(self.zip.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         self.dates: list[bool] = []
+        self.style_sheet = None
         if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
+            styles = self.style_sheet = ElementTree.fromstring(self.zip.read("xl/styles.xml"))
             codes = {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(M + "numFmt")}
             formats = styles.find(M + "cellXfs")
             ids = [int(x.get("numFmtId") or 0) for x in formats] if formats is not None else []
@@ -136,36 +140,153 @@ class Workbook:
         style = int(c.get("s") or 0)
         return date_text(float(v.text), self.base_1904) if style < len(self.dates) and self.dates[style] else number_text(v.text)
 
-    def sheet(self, name: str, max_rows: int | None = None) -> Sheet:
-        out = Sheet(name)
-        row_no = 0
+    def rows(self, name: str, max_rows: int | None = None, columns: set[int] | None = None, meta: Sheet | None = None) -> Iterator[tuple[int, dict[int, str]]]:
+        """Rows (number, column -> text) as the sheet is read, none of which is kept.
+
+        Stops behind ``max_rows`` rows; cells of other ``columns`` are not
+        turned into text. ``meta`` collects what the sheet says besides cells.
+        """
+        row_no = seen = 0
+        data = None
         for event, node in ElementTree.iterparse(self.zip.open(self.paths[name]), ("start", "end")):
             if event == "start":
+                data = node if node.tag == M + "sheetData" else data
                 continue
             if node.tag == M + "row":
                 row_no = int(node.get("r") or row_no + 1)
-                if max_rows is not None and len(out.cells) >= max_rows:
-                    break
-                if node.get("ht"):
-                    out.heights[row_no] = float(node.get("ht"))
+                if max_rows is not None and seen >= max_rows:
+                    return
+                seen += 1
+                if meta is not None and node.get("ht"):
+                    meta.heights[row_no] = float(node.get("ht"))
                 col, cells = 0, {}
                 for c in node.iter(M + "c"):
                     ref = re.match(r"[A-Z]+", c.get("r") or "")
                     col = column_number(ref[0]) if ref else col + 1
-                    cells[col] = self.cell_text(c)
-                out.cells[row_no] = cells
-                node.clear()
+                    if columns is None or col in columns:
+                        cells[col] = self.cell_text(c)
+                        if meta is not None and c.get("s"):
+                            meta.styles.setdefault(row_no, {})[col] = int(c.get("s"))
+                yield row_no, cells
+                data.clear()
+            elif meta is None:
+                continue
             elif node.tag == M + "col":
                 for n in range(int(node.get("min")), min(int(node.get("max")), int(node.get("min")) + 16383) + 1):
-                    out.widths[n] = float(node.get("width") or 9)
+                    meta.widths[n] = float(node.get("width") or 9)
                     if node.get("hidden") in ("1", "true"):
-                        out.hidden.append(n)
+                        meta.hidden.append(n)
             elif node.tag == M + "pane" and node.get("state") in ("frozen", "frozenSplit"):
-                out.freeze = (int(float(node.get("ySplit") or 0)), int(float(node.get("xSplit") or 0)))
+                meta.freeze = (int(float(node.get("ySplit") or 0)), int(float(node.get("xSplit") or 0)))
             elif node.tag == M + "mergeCell":
-                out.merges.append(node.get("ref"))
+                meta.merges.append(node.get("ref"))
+
+    def sheet(self, name: str, max_rows: int | None = None) -> Sheet:
+        out = Sheet(name)
+        out.cells.update(self.rows(name, max_rows, meta=out))
         return out
 
+    def formats(self, name: str, header_rows: int = 1) -> Formats:
+        """What a report takes over of a sheet (R7): widths, hidden columns, heights and styles of the header rows, panes."""
+        meta = Sheet(name)
+        for _ in self.rows(name, columns=None, meta=meta):
+            meta.styles = {r: x for r, x in meta.styles.items() if r <= header_rows}
+        styles = {c: self.style(i) for r in range(1, header_rows + 1) for c, i in meta.styles.get(r, {}).items()}
+        return Formats(dict(meta.widths), sorted(set(meta.hidden)), {r: h for r, h in meta.heights.items() if r <= header_rows}, meta.freeze, {c: x for c, x in styles.items() if x})
+
+    def style(self, index: int) -> dict[str, str]:
+        """A cell style by its parts (font, fill, border, alignment as XML; number format as code), free of the workbook's numbering."""
+        if self.style_sheet is None:
+            return {}
+        held = self.style_sheet.find(M + "cellXfs")
+        if held is None or not 0 <= index < len(held):
+            return {}
+        xf, out = held[index], {}
+        for part, group in PARTS.items():
+            found = self.style_sheet.find(M + group)
+            n = int(xf.get(f"{part}Id") or 0)
+            if found is not None and n < len(found) and len(found[n]):
+                out[part] = plain_xml(found[n])
+        code = int(xf.get("numFmtId") or 0)
+        if code:
+            named = {int(f.get("numFmtId")): f.get("formatCode") for f in self.style_sheet.iter(M + "numFmt")}
+            out["number"] = named.get(code, f"#{code}")
+        aligned = xf.find(M + "alignment")
+        return out | ({"alignment": plain_xml(aligned)} if aligned is not None else {})
+
+
+PARTS = {"font": "fonts", "fill": "fills", "border": "borders"}
+
+
+def plain_xml(node) -> str:
+    """An element without its name space's prefix, as the writer embeds it."""
+    text = ElementTree.tostring(node, encoding="unicode")
+    text = re.sub(r'\sxmlns(:\w+)?="[^"]*"', "", text)
+    return re.sub(r"(</?)\w+:", r"\1", text).strip()
+
+
+@dataclass
+class Formats:
+    """Formats of a sheet: columns and rows from 1, styles of header cells by column."""
+
+    widths: dict[int, float] = field(default_factory=dict)
+    hidden: list[int] = field(default_factory=list)
+    heights: dict[int, float] = field(default_factory=dict)
+    freeze: tuple[int, int] | None = None
+    styles: dict[int, dict[str, str]] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        return json.dumps([list(self.widths.items()), self.hidden, list(self.heights.items()), self.freeze, list(self.styles.items())])
+
+    @classmethod
+    def from_json(cls, text: str) -> Formats:
+        widths, hidden, heights, freeze, styles = json.loads(text)
+        return cls(dict(widths), hidden, dict(heights), tuple(freeze) if freeze else None, dict(styles))
+
+    def mapped(self, columns: list[int | None]) -> Formats:
+        """For a table whose column k (from 1) shows the source's column ``columns[k - 1]`` (None: its own)."""
+        pick = lambda held: {k: held[c] for k, c in enumerate(columns, 1) if c in held}
+        return Formats(pick(self.widths), [k for k, c in enumerate(columns, 1) if c in self.hidden], dict(self.heights), self.freeze, pick(self.styles))
+
+
+class StyleTable:
+    """The styles of a new workbook: parts from any source, equal ones merged, numbered as they come."""
+
+    BOLD = {"font": "<font><b/></font>"}
+
+    def __init__(self) -> None:
+        self.parts = {"font": ["<font/>"], "fill": ["<fill/>"], "border": ["<border/>"]}
+        self.codes: dict[str, int] = {}
+        self.formats: list[str] = ["<xf/>"]
+
+    def _part(self, kind: str, xml: str | None) -> int:
+        if not xml:
+            return 0
+        held = self.parts[kind]
+        if xml not in held:
+            held.append(xml)
+        return held.index(xml)
+
+    def number(self, style: dict[str, str]) -> int:
+        """The index of a style in the new workbook."""
+        ids = {k: self._part(k, style.get(k)) for k in PARTS}
+        code = style.get("number")
+        if code and code.startswith("#"):
+            ids["numFmt"] = int(code[1:])
+        elif code:
+            ids["numFmt"] = self.codes.setdefault(code, 164 + len(self.codes))
+        said = "".join(f' {k}Id="{n}" apply{k[0].upper() + k[1:] if k != "numFmt" else "NumberFormat"}="1"' for k, n in ids.items() if n)
+        aligned = style.get("alignment")
+        xf = f'<xf{said} applyAlignment="1">{aligned}</xf>' if aligned else f"<xf{said}/>"
+        if xf not in self.formats:
+            self.formats.append(xf)
+        return self.formats.index(xf)
+
+    def xml(self) -> str:
+        codes = "".join(f'<numFmt numFmtId="{n}" formatCode="{escape(c, {chr(34): "&quot;"})}"/>' for c, n in self.codes.items())
+        groups = "".join(f'<{PARTS[k]} count="{len(x)}">{"".join(x)}</{PARTS[k]}>' for k, x in self.parts.items())
+        return f'<styleSheet xmlns="{M.strip("{}")}">{f"<numFmts count={chr(34)}{len(self.codes)}{chr(34)}>{codes}</numFmts>" if codes else ""}{groups}<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(self.formats)}">{"".join(self.formats)}</cellXfs></styleSheet>'
+
 
 def merged_headers(rows: list[dict[int, str]], width: int) -> list[str]:
     """Header names of several rows (S15): non-empty parts joined, a number where there are none, repeats counted."""
@@ -207,8 +328,14 @@ def guess_header(preview: list[list[str]]) -> int:
     return best
 
 
-def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, list[float]] | None = None, freeze_header: bool = True) -> bytes:
-    """A workbook of text sheets {name: (headers, rows)} with bold headers, widths and a frozen first row."""
+def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, list[float]] | None = None, freeze_header: bool = True, formats: dict[str, Formats] | None = None) -> bytes:
+    """A workbook of text sheets {name: (headers, rows)} with bold headers, widths and a frozen first row.
+
+    ``formats`` gives sheets the formats of a source: what they do not say
+    keeps the default. Their styles are merged into one table.
+    """
+    table = StyleTable()
+    bold = table.number(StyleTable.BOLD)
     out = io.BytesIO()
     names = list(sheets)
     main, rel = M.strip("{}"), R.strip("{}")
@@ -226,23 +353,24 @@ def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, lis
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
         links = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">{links}<Relationship Id="s" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr(
-            "xl/styles.xml",
-            f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
-            '<cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        )
         for i, name in enumerate(names, 1):
             headers, rows = sheets[name]
-            wide = (widths or {}).get(name) or auto_widths(headers, rows)
-            cols = "".join(f'<col min="{c}" max="{c}" width="{w:g}" customWidth="1"/>' for c, w in enumerate(wide, 1))
-            pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>' if freeze_header else ""
+            own = (formats or {}).get(name) or Formats()
+            wide = dict(enumerate((widths or {}).get(name) or auto_widths(headers, rows), 1)) | {c: w for c, w in own.widths.items() if c <= len(headers)}
+            hidden = set(own.hidden)
+            cols = "".join(f'<col min="{c}" max="{c}" width="{w:g}" customWidth="1"{" hidden=" + chr(34) + "1" + chr(34) if c in hidden else ""}/>' for c, w in sorted(wide.items()))
+            down, right = own.freeze or ((1, 0) if freeze_header else (0, 0))
+            split = f' xSplit="{right}"' * bool(right) + f' ySplit="{down}"' * bool(down)
+            pane = f'<sheetViews><sheetView workbookViewId="0"><pane{split} topLeftCell="{column_letters(right + 1)}{down + 1}" state="frozen"/></sheetView></sheetViews>' if split else ""
+            styled = {c: table.number(x) for c, x in own.styles.items()}
             body = []
             for r, row in enumerate([headers, *rows], 1):
-                cells = "".join(
-                    f'<c r="{column_letters(c)}{r}" t="inlineStr"{" s=" + chr(34) + "1" + chr(34) if r == 1 else ""}><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None and v != ""
-                )
-                body.append(f'<row r="{r}">{cells}</row>')
+                style = (lambda c: f' s="{styled.get(c, bold)}"') if r == 1 else (lambda c: "")
+                cells = "".join(f'<c r="{column_letters(c)}{r}" t="inlineStr"{style(c)}><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None and v != "")
+                high = f' ht="{own.heights[r]:g}" customHeight="1"' if r in own.heights else ""
+                body.append(f'<row r="{r}"{high}>{cells}</row>')
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}">{pane}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(body)}</sheetData></worksheet>')
+        z.writestr("xl/styles.xml", table.xml())
     return out.getvalue()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: Column, into: str = "run") -> DataFrame:
@@ -159,3 +160,24 @@ def all_terms(text: list[Column], query: Column) -> Column:
 def capped(df: DataFrame, order: list[str], most: int = 100) -> DataFrame:
     """The first ``most`` rows with ``total``, the number of all (P2), counted at once."""
     return df.orderBy(*order).limit(most).withColumn("total", F.lit(df.count()).cast("long"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], into: str) -> DataFrame:
+    """Gapless numbers from 0 in each group ``by``, in ``order``; rows equal in both get theirs in any order.
+
+    One range sort, stored, gives every row a place; the counts of partitions
+    give groups their offsets. So a group that holds most rows is numbered by
+    as many tasks as it fills.
+    """
+    own, part, at, first = "_own", "_part", "_at", "_first"
+    keys = [*by, *order, own]
+    base = df.withColumn(own, F.monotonically_increasing_id())
+    sorted_ = base.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(own)
+    placed = scratch.stored(sorted_.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    counts = placed.groupBy(*by, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col(part).alias("_by_part"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col(first)).alias(first))
+    same = F.col(part) == F.col("_by_part")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return placed.join(offsets, same).withColumn(into, F.col(at) + F.col(first)).select(*df.columns, into)

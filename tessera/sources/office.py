@@ -163,6 +163,17 @@ def meta_of(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInPandas(run, schema.replace(";", ","))
 
 
+def formats_of(found: DataFrame, header_rows: int = 1) -> DataFrame:
+    """What reports take over of each sheet (R7): book, sheet, formats (as ``ooxml.Formats`` writes them)."""
+
+    def make(p: str, content: bytes) -> Iterator[tuple]:
+        book = ooxml.Workbook(content, p)
+        for name in book.sheet_names:
+            yield p, name, book.formats(name, header_rows).to_json()
+
+    return _each_file(found, make, "book string, sheet string, formats string")
+
+
 def sheet_meta(spark: SparkSession, path: str) -> DataFrame:
     return meta_of(files(spark, path, "*.xlsx"))
 

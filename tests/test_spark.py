@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pandas as pd
 import pytest
@@ -17,7 +19,7 @@ from tessera.operators import image as I
 from tessera.operators import style as ST
 from tessera.options import NormOptions, TableDiffConfig
 from tessera.plans import report, task
-from tessera.sources import office
+from tessera.sources import office, written
 from tessera.streaming import table_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -144,14 +146,15 @@ def test_workbook_and_reports(spark, tmp_path):
     assert (total["added"], total["modified"], total["deleted"], total["sheets_compared"]) == (1, 1, 3, 2)
     found = report.tables(diff.where("sheet = '原料'"), new["原料"], ["批号", "品名"], ["批号", "品名"], "_row")
     assert found["modified"].first().asDict()["旧_品名"] == "b" and found["added"].first()["品名"] == "d" and found["deleted"].first()["品名"] == "c"
-    report.write_file(str(tmp_path / "out" / "r.xlsx"), report.workbook(found))
-    assert "变更汇总" in ooxml.Workbook((tmp_path / "out" / "r.xlsx").read_bytes()).sheet_names
+    written.write_files(report.workbooks(found), str(tmp_path / "out"))
+    assert "变更汇总" in ooxml.Workbook((tmp_path / "out" / "report.xlsx").read_bytes()).sheet_names
+    assert json.loads((tmp_path / "out" / "_SUCCESS").read_text())["files"] == 1
     report.write_tables(found, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables" / "added")).count() == 1
     same = table_diff.overview(table_diff.table_diff(new["原料"], new["原料"], row="_row"))
     assert [(r["category"], r["n"]) for r in same.collect()] == [("none", 0)]
-    with pytest.raises(ValueError, match="more than 1 rows"):
-        report.bounded(diff, 1)
+    many = {r["name"]: ooxml.Workbook(bytes(r["content"])) for r in report.workbooks({"summary": found["summary"]}, by="sheet", most=1).collect()}
+    assert len(many) == found["summary"].count() and all(len(list(b.rows("变更汇总"))) == 2 for b in many.values())
 
 
 def pairs(spark, *found):
@@ -165,8 +168,15 @@ def test_unified_and_html(spark):
     assert u[0] == "--- a/原文\n+++ b/修改后\n@@ -1,7 +1,7 @@\n aa\n bb\n cc\n-dd\n+XX\n ee\n ff\n gg" and 1 not in u and "@@ -1,0 +1,2 @@" in u[2]
     s = {x["pair_id"]: x for x in text_diff.messages(text_diff.grid_stats(p, r)).collect()}
     assert s[1]["message"] == "identical" and s[2]["added"] == 2 and s[3]["equal"] == 0 and s[0]["modified"] == 1
-    page = report.html_report("t", p, {0: "first"})
-    assert "first" in page and "<del>dd</del>" in page and page.count("<section") == 4
+    named = p.select(F.lit("t").alias("g"), "*", F.when(F.col("pair_id") == 0, "fi<rst").alias("left_name"), F.lit("r").alias("right_name"), F.when(F.col("pair_id") == 3, "unreadable").alias("error"))
+    pages = report.html_pages(named, "g").collect()
+    page = bytes(pages[0]["content"]).decode()
+    assert pages[0]["name"] == "t.html" and "fi&lt;rst ↔ r" in page and "<del>dd</del>" in page and page.count("<section") == 4 and "unreadable" in page
+    assert page.count('<a href="#pair-0">') == 2 and page.count('<a href="#top">') == 5 and '<div id="top"></div>' in page and "localStorage" in page
+    one = bytes(report.html_pages(named.where("pair_id = 1"), "g").first()["content"]).decode()
+    assert "<ol>" not in one and "<nav" not in one
+    flow = bytes(report.html_pages(named.where("pair_id = 0").withColumn("styles", F.expr("array(named_struct('para', 1, 'prop', '字号', 'expected', '16', 'actual', '<12>'))")), "g", NormOptions(ignore_newline=True)).first()["content"]).decode()
+    assert "<del>dd</del>" in flow and "&lt;12&gt;" in flow and "样式核对" in flow
     m = text_diff.marks(r).where("pair_id = 0").collect()
     assert {(x["side"], x["line"]) for x in m} == {("left", 4), ("right", 4)}
     ranges = text_diff.segment_ranges(text_diff.marks(r).where("pair_id = 0 AND side = 'left'"), ["pair_id"]).collect()
@@ -250,7 +260,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(ooxml.write({"S": (["批号", "v"], [["P1", "1"], ["P2", "2"]])}))
     assert office.workbook_cells(spark, str(tmp_path)).count() == 6 and office.preview(spark, str(tmp_path), 1).count() == 2
     got = office.sheet_table(spark, str(tmp_path / "a.xlsx"), "S")
-    assert [(r["_row"], r["批号"]) for r in got.collect()] == [(2, "P1"), (3, "P2")]
+    assert sorted((r["_row"], r["批号"]) for r in got.collect()) == [(2, "P1"), (3, "P2")]
     assert office.sheet_meta(spark, str(tmp_path)).first()["freeze_rows"] == 1
     office.register(spark)
     assert spark.read.format("tessera_xlsx").option("sheet", "S").load(str(tmp_path / "a.xlsx")).count() == 6
