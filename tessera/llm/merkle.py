@@ -106,34 +106,64 @@ def _block_of(fanout: int) -> tuple[int, int]:
     return fanout**depth, depth
 
 
-def _climbed(nodes: DataFrame, fanout: int) -> DataFrame:
-    """(grp, block, place, steps, top) for nodes (grp, number, total, digest): each node's path within its block and the block's root."""
-    size, depth = _block_of(fanout)
+def _levels(table: pa.Table, fanout: int, size: int, depth: int) -> list[np.ndarray]:
+    """The levels of a block of nodes (number, total, digest) in order of number."""
+    total = table["total"][0].as_py()
+    digests = np.frombuffer("".join(table["digest"].to_pylist()).encode(), np.uint8).reshape(-1, HEX)
+    return climb(digests, depth if total > size else levels_of(total, fanout), fanout)
+
+
+def _tops(nodes: DataFrame, fanout: int) -> DataFrame:
+    """(grp, number, digest): the roots of all blocks of nodes (grp, block, number, total, digest)."""
+    block = _block_of(fanout)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("number")
-        total = table["total"][0].as_py()
-        digests = np.frombuffer("".join(table["digest"].to_pylist()).encode(), np.uint8).reshape(-1, HEX)
-        levels = climb(digests, depth if total > size else levels_of(total, fanout), fanout)
-        top = levels[-1].tobytes().decode()
-        made = [[{"place": p, "others": o} for p, o in path] for path in paths(levels, fanout)]
-        return pa.table({"grp": table["grp"], "number": table["number"], "steps": pa.array(made, pa.list_(pa.struct([("place", pa.int32()), ("others", pa.string())]))), "top": pa.array([top] * len(made))})
+        top = _levels(table.sort_by("number"), fanout, *block)[-1].tobytes().decode()
+        return pa.table({"grp": pa.array([key[0].as_py()]), "number": pa.array([key[1].as_py()]), "digest": pa.array([top])})
+
+    return nodes.select("grp", "block", "number", "total", "digest").groupBy("grp", "block").applyInArrow(run, "grp string, number long, digest string")
+
+
+def _paths(nodes: DataFrame, blocks: DataFrame, fanout: int) -> DataFrame:
+    """``nodes`` with their steps: those within the block and then the block's own, as well as what else ``blocks`` say.
+
+    ``blocks``: grp, block, above and other columns. Nodes and their blocks
+    meet in one task; only digests and the columns of ``nodes`` are moved.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own, more = nodes.columns, [c for c in blocks.columns if c not in ("grp", "block", "above")]
+    schema = nodes.withColumn("steps", F.lit(None).cast(_STEPS)).join(blocks.select("grp", *more), "grp").select(*own, "steps", *more).schema
+    kind = to_arrow_schema(schema)
+    step, block = kind.field("steps").type, _block_of(fanout)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return kind.empty_table()
+        left = left.sort_by("number")
+        above = [(s["place"], s["others"]) for s in right["above"][0].as_py()]
+        made = [[{"place": p, "others": o} for p, o in [*path, *above]] for path in paths(_levels(left, fanout, *block), fanout)]
+        held = {c: left[c] for c in own} | {"steps": pa.array(made, step)} | {c: pa.array([right[c][0].as_py()] * len(made), kind.field(c).type) for c in more}
+        return pa.table(held, schema=kind)
+
+    return nodes.groupBy("grp", "block").cogroup(blocks.groupBy("grp", "block")).applyInArrow(run, schema)
+
 
-    return nodes.withColumn("block", F.floor(F.col("number") / size).cast("long")).groupBy("grp", "block").applyInArrow(run, f"grp string, number long, steps {_STEPS}, top string")
+def _blocked(nodes: DataFrame, fanout: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("number") / _block_of(fanout)[0]).cast("long"))
 
 
 def _tree(nodes: DataFrame, fanout: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Paths (grp, number, steps) of all nodes and the roots (grp, root); ``most`` is the largest group's size."""
+    """For blocked nodes: the paths (grp, block, above) of their blocks, and the roots (grp, root); ``most`` is the largest group's size."""
     size, _ = _block_of(fanout)
-    here = stored(_climbed(nodes, fanout), "merkle_level")
-    tops = here.select("grp", F.floor(F.col("number") / size).cast("long").alias("number"), F.col("top").alias("digest")).dropDuplicates(["grp", "number"])
+    tops = stored(_tops(nodes, fanout), "merkle_tops")
     if most <= size:
-        return here.select("grp", "number", "steps"), tops.select("grp", F.col("digest").alias("root"))
+        return tops.select("grp", F.col("number").alias("block"), F.array().cast(_STEPS).alias("above")), tops.select("grp", F.col("digest").alias("root"))
     totals = nodes.groupBy("grp").agg(F.ceil(F.max("total") / size).cast("long").alias("total"))
-    upper, roots = _tree(tops.join(totals, "grp"), fanout, -(-most // size))
-    above = upper.select("grp", F.col("number").alias("block"), F.col("steps").alias("above"))
-    whole = here.withColumn("block", F.floor(F.col("number") / size).cast("long")).join(above, ["grp", "block"])
-    return whole.select("grp", "number", F.concat("steps", "above").alias("steps")), roots
+    upper = stored(_blocked(tops.join(totals, "grp"), fanout), "merkle_upper")
+    blocks, roots = _tree(upper, fanout, -(-most // size))
+    made = stored(_paths(upper, blocks, fanout), "merkle_above")
+    return made.select("grp", F.col("number").alias("block"), F.col("steps").alias("above")), roots
 
 
 def manifest(docs: DataFrame, digest: Column, by: str, order: str, fanout: int = 2) -> DataFrame:
@@ -145,34 +175,36 @@ def manifest(docs: DataFrame, digest: Column, by: str, order: str, fanout: int =
     ``by`` is a group of its own, the first; null in ``order`` comes first. A
     lone leaf is its group's root. Groups' roots in order of ``by`` (UTF-8
     bytes) make the tree above them in the same way. An empty table gives an
-    empty one. Columns of ``docs`` stay but for those named like the new ones.
-    Rows are numbered by one range sort; blocks are tasks.
+    empty one. Columns of ``docs`` stay but for those named like the new ones and
+    grp, block, total and digest. Rows are numbered by one range sort; blocks
+    are groups of tasks, first for their roots, then for their rows' paths.
     """
-    new = ["leaf", "grp", "number", "steps", "subroot", "root"]
-    own, part, at, rank, first, total = fresh(docs.select(*docs.columns, *[F.lit(0).alias(c) for c in new]), "own", "part", "at", "rank", "first", "total")
-    base = docs.withColumns({"leaf": digest, "grp": F.coalesce(F.concat(F.lit("="), F.col(f"`{by}`").cast("string")), F.lit("")), rank: F.col(f"`{order}`"), own: F.monotonically_increasing_id()}).drop("number", "steps", "subroot", "root")
+    new = ["leaf", "grp", "number", "block", "total", "digest", "steps", "subroot", "root"]
+    own, part, at, rank, first = fresh(docs.select(*docs.columns, *[F.lit(0).alias(c) for c in new]), "own", "part", "at", "rank", "first")
+    base = docs.withColumns({"leaf": digest, "grp": F.coalesce(F.concat(F.lit("="), F.col(f"`{by}`").cast("string")), F.lit("")), rank: F.col(f"`{order}`"), own: F.monotonically_increasing_id()}).drop("number", "block", "total", "digest", "steps", "subroot", "root")
     keys = ["grp", rank, "leaf", own]
     sorted_ = base.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # one stored order: numbers cannot change when a task runs again
     rows = stored(sorted_.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}).drop(own, rank), "merkle_rows")
     counts = rows.groupBy("grp", part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("grp").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("grp", part, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col(first)).alias(first), F.sum("n").over(Window.partitionBy("grp")).alias(total))
-    placed = stored(rows.join(offsets, ["grp", part]).withColumn("number", F.col(at) + F.col(first)).drop(at, part, first), "merkle_numbered")
-    most = placed.agg(F.max(total)).first()[0] or 0
-    steps, subroots = _tree(placed.select("grp", "number", F.col(total).alias("total"), F.col("leaf").alias("digest")), fanout, most)
+    offsets = counts.select("grp", part, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col(first)).alias(first), F.sum("n").over(Window.partitionBy("grp")).alias("total"))
+    numbered = rows.join(offsets, ["grp", part]).withColumn("number", F.col(at) + F.col(first)).withColumn("digest", F.col("leaf")).drop(at, part, first)
+    placed = stored(_blocked(numbered, fanout), "merkle_numbered")
+    most = placed.agg(F.max("total")).first()[0] or 0
+    above, subroots = _tree(placed, fanout, most)
     subroots = stored(subroots, "merkle_subroots")
     groups = subroots.count()
     ranked = subroots.repartitionByRange("grp").sortWithinPartitions("grp").select("grp", "root", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     ranked = stored(ranked, "merkle_groups")
     firsts = ranked.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    heads = ranked.join(firsts.drop("n"), "part").select("grp", F.col("root").alias("subroot"), (F.col("at") - F.col("first") + F.col("offset")).alias("place"))
-    heads = stored(heads, "merkle_heads")
-    upper, root = _tree(heads.select(F.lit("").alias("grp"), F.col("place").alias("number"), F.lit(groups).cast("long").alias("total"), F.col("subroot").alias("digest")), fanout, groups)
+    heads = ranked.join(firsts.drop("n"), "part").select(F.lit("").alias("grp"), F.col("grp").alias("name"), F.col("root").alias("digest"), (F.col("at") - F.col("first") + F.col("offset")).alias("number"), F.lit(groups).cast("long").alias("total"))
+    heads = stored(_blocked(heads, fanout), "merkle_heads")
+    over, root = _tree(heads, fanout, groups)
     top = root.select("root").first()
-    crown = heads.join(upper.select(F.col("number").alias("place"), F.col("steps").alias("above")), "place").withColumn("root", F.lit(top[0] if top else None).cast("string")).drop("place")
-    made = placed.join(steps, ["grp", "number"]).join(crown, "grp").withColumn("steps", F.concat("steps", "above"))
-    return made.drop("grp", total, "above")
+    crown = _paths(heads, over, fanout).select(F.col("name").alias("grp"), F.col("digest").alias("subroot"), F.col("steps").alias("crown"))
+    blocks = above.join(crown, "grp").select("grp", "block", F.concat("above", "crown").alias("above"), "subroot", F.lit(top[0] if top else None).cast("string").alias("root"))
+    return _paths(placed, stored(blocks, "merkle_blocks"), fanout).drop("grp", "block", "total", "digest")
 
 
 def proved(rows: DataFrame, digest: str) -> DataFrame:
