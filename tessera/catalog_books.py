@@ -339,3 +339,35 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), count("<section ").alias("sections"), contents.alias("links"), struck.alias("struck"), whole.alias("complete"))
 
 
+
+
+@query("SELECT s_nationkey::VARCHAR AS book, 'all' AS name, '$A$2:$XFC$2025' AS area, '$A$2:$B$' || (count(*) + 1) AS narrowed FROM supplier GROUP BY s_nationkey UNION ALL SELECT s_nationkey::VARCHAR, 'first', '$B$1', '$B$1' FROM supplier GROUP BY s_nationkey")
+def narrowed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per nation whose names reach far below and right of its suppliers."""
+
+    def make(f: pd.DataFrame) -> pd.DataFrame:
+        content = ooxml.write({"own data": (["key", "name"], f[["s_suppkey", "s_name"]].values.tolist()), "other": (["x"], [])}, areas={"all": "'own data'!$A$2:$XFC$2025", "first": "'own data'!$B$1", "sum": "1+2"})
+        return pd.DataFrame({"path": [str(f["s_nationkey"].iloc[0])], "content": [content]})
+
+    books_ = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").groupBy("s_nationkey").applyInPandas(make, FILE)
+    plain = lambda c: F.regexp_extract(c, "!(.*)$", 1).alias(c)
+    return office.areas_of(books_).select("book", "name", plain("area"), F.regexp_replace(F.regexp_extract("narrowed", "!(.*)$", 1), r"^(\$B\$1):\$B\$1$", "$1").alias("narrowed"))
+
+
+@query(
+    "WITH b AS (SELECT s_nationkey::VARCHAR AS book, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1 AS r FROM supplier) "
+    "SELECT book, 'names' AS sheet, r::INT AS row_no, 2::INT AS col_no, s_name AS text FROM b WHERE r <= 5 UNION ALL SELECT book, 'keys', r::INT, 2, s_suppkey::VARCHAR FROM b WHERE r <= 5 UNION ALL SELECT DISTINCT book, s, 1, 2, s FROM b, (VALUES ('names'), ('keys')) v(s)"
+)
+def split_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per nation with two sheets, written, read as one partition per sheet, and no further than the second column of five rows."""
+
+    def make(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("s_suppkey")
+        content = ooxml.write({"names": (["n", "names"], [[k, v] for k, v in enumerate(f["s_name"])]), "keys": (["n", "keys"], [[k, v] for k, v in enumerate(f["s_suppkey"])])})
+        return pd.DataFrame({"name": [f"{f['s_nationkey'].iloc[0]}.xlsx"], "content": [content]})
+
+    path = shared_folder(spark, "split")
+    written.write_files(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").groupBy("s_nationkey").applyInPandas(make, "name string, content binary"), path)
+    sheets = office.split_sheets(office.files(spark, path, "*.xlsx"))
+    cells = office.cells_of(sheets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "sheet"), max_rows=5, columns=[2])
+    return cells.withColumn("book", F.regexp_extract("book", r"([^/]+)\.xlsx$", 1))

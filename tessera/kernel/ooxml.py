@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import json
 import re
+import shutil
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from typing import BinaryIO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -103,12 +105,15 @@ def _string(node) -> str:
 class Workbook:
     """Names of the sheets, and each sheet when asked for."""
 
-    def __init__(self, data: bytes, name: str = "workbook") -> None:
-        if error := head_error(data, name):
-            raise ValueError(error)
-        self.zip = zipfile.ZipFile(io.BytesIO(data))
+    def __init__(self, data: bytes | BinaryIO, name: str = "workbook") -> None:
+        """Of bytes, or of an open file that can be sought in, of which only the parts asked for are read."""
+        if isinstance(data, bytes):
+            if error := head_error(data, name):
+                raise ValueError(error)
+            data = io.BytesIO(data)
+        self.zip = zipfile.ZipFile(data)
         names = set(self.zip.namelist())
-        book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
+        book = self.book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
         self.paths = {s.get("name"): "xl/" + rels[s.get(R + "id")].removeprefix("/xl/").removeprefix("xl/") for s in book.iter(M + "sheet")}
         self.sheet_names = list(self.paths)
@@ -181,6 +186,43 @@ class Workbook:
             elif node.tag == M + "mergeCell":
                 meta.merges.append(node.get("ref"))
 
+    def used(self, name: str) -> str:
+        """The range from A1 to the last row and column with text, as ``A1:C9``; A1 for an empty sheet."""
+        last_row = last_col = 1
+        for r, row in self.rows(name):
+            filled = [c for c, v in row.items() if v.strip()]
+            if filled:
+                last_row, last_col = r, max(last_col, *filled)
+        return f"A1:{column_letters(last_col)}{last_row}"
+
+    def areas(self) -> Iterator[tuple[str, str, str]]:
+        """(name, area, area cut to what its sheet uses) of the workbook's names for areas of one sheet."""
+        known: dict[str, str] = {}
+        for node in self.book.iter(M + "definedName"):
+            area = (node.text or "").strip()
+            told = parse_area(area)
+            sheet = told["sheet"].replace("''", "'") if told and told["sheet"] else None
+            if sheet in self.paths:
+                if sheet not in known:
+                    known[sheet] = self.used(sheet)
+                yield node.get("name"), area, narrowed(area, known[sheet])
+
+    def alone(self, name: str) -> bytes:
+        """A workbook of one sheet and what it needs, as this one names it."""
+        out = io.BytesIO()
+        book = ElementTree.fromstring(ElementTree.tostring(self.book))
+        sheets = book.find(M + "sheets")
+        for s in list(sheets):
+            if s.get("name") != name:
+                sheets.remove(s)
+        shared = {"xl/sharedStrings.xml", "xl/styles.xml", "xl/_rels/workbook.xml.rels"} & set(self.zip.namelist())
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            z.writestr("xl/workbook.xml", ElementTree.tostring(book))
+            for part in [*sorted(shared), self.paths[name]]:
+                with self.zip.open(part) as source, z.open(part, "w", force_zip64=True) as target:
+                    shutil.copyfileobj(source, target, 1 << 20)
+        return out.getvalue()
+
     def sheet(self, name: str, max_rows: int | None = None) -> Sheet:
         out = Sheet(name)
         out.cells.update(self.rows(name, max_rows, meta=out))
@@ -222,7 +264,7 @@ def plain_xml(node) -> str:
     """An element without its name space's prefix, as the writer embeds it."""
     text = ElementTree.tostring(node, encoding="unicode")
     text = re.sub(r'\sxmlns(:\w+)?="[^"]*"', "", text)
-    return re.sub(r"(</?)\w+:", r"\1", text).strip()
+    return re.sub(r"(</?)\w+:", r"\1", text).replace(" />", "/>").strip()
 
 
 @dataclass
@@ -328,11 +370,12 @@ def guess_header(preview: list[list[str]]) -> int:
     return best
 
 
-def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, list[float]] | None = None, freeze_header: bool = True, formats: dict[str, Formats] | None = None) -> bytes:
+def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, list[float]] | None = None, freeze_header: bool = True, formats: dict[str, Formats] | None = None, areas: dict[str, str] | None = None) -> bytes:
     """A workbook of text sheets {name: (headers, rows)} with bold headers, widths and a frozen first row.
 
     ``formats`` gives sheets the formats of a source: what they do not say
-    keeps the default. Their styles are merged into one table.
+    keeps the default. Their styles are merged into one table. ``areas``
+    are names for areas.
     """
     table = StyleTable()
     bold = table.number(StyleTable.BOLD)
@@ -350,7 +393,8 @@ def write(sheets: dict[str, tuple[list[str], list[list]]], widths: dict[str, lis
         package = "http://schemas.openxmlformats.org/package/2006/relationships"
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        named = "".join(f'<definedName name="{escape(k, {chr(34): "&quot;"})}">{escape(v)}</definedName>' for k, v in (areas or {}).items())
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets>{f"<definedNames>{named}</definedNames>" if named else ""}</workbook>')
         links = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">{links}<Relationship Id="s" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         for i, name in enumerate(names, 1):

@@ -10,14 +10,19 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..kernel import markup, ooxml
+from .written import opened
 
+#: Rows that a reader hands on at a time.
+BATCH = 20_000
 CELLS = "book string, sheet string, row_no int, col_no int, text string"
 
 
@@ -28,7 +33,8 @@ def _each_file(files: DataFrame, make, schema: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in f.itertuples(index=False):
-                yield pd.DataFrame(list(make(path, bytes(content))), columns=names)
+                for rows in batched(make(path, bytes(content)), BATCH):
+                    yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -51,22 +57,53 @@ def held(df: DataFrame, name: str, content: str) -> DataFrame:
     return df.select(n.alias("path"), F.element_at(F.split(n, "/"), -1).alias("name"), F.lower(F.regexp_extract(n, r"\.([^.]+)$", 1)).alias("ext"), F.octet_length(content).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col(content).cast("binary").alias("content"))
 
 
-def cells_of(found: DataFrame, sheets: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """All cells of workbooks (path, content) as text (S10): book, sheet, row_no, col_no, text."""
+def cells_of(found: DataFrame, sheets: list[str] | None = None, max_rows: int | None = None, columns: list[int] | None = None) -> DataFrame:
+    """All cells of workbooks (path, content) as text (S10): book, sheet, row_no, col_no, text.
+
+    Sheets are read row by row, no further than ``max_rows``, and only
+    ``columns`` (from 1) become text; rows are handed on as they come.
+    ``split_sheets`` before makes sheets of one workbook independent rows.
+    """
+    wanted = set(columns) if columns is not None else None
 
     def make(p: str, content: bytes) -> Iterator[tuple]:
         book = ooxml.Workbook(content, p)
         for name in sheets or book.sheet_names:
             if name in book.paths:
-                for r, row in book.sheet(name, max_rows).cells.items():
+                for r, row in book.rows(name, max_rows, wanted):
                     for c, text in row.items():
                         yield p, name, r, c, text
 
     return _each_file(found, make, CELLS)
 
 
-def workbook_cells(spark: SparkSession, path: str, sheets: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    return cells_of(files(spark, path, "*.xlsx"), sheets, max_rows)
+def split_sheets(found: DataFrame, sheets: list[str] | None = None) -> DataFrame:
+    """Workbooks (path, content) with one sheet each, under the path of their source: path, sheet, content.
+
+    Deal these rows anew to read the sheets of few large workbooks in parallel.
+    """
+
+    def make(p: str, content: bytes) -> Iterator[tuple]:
+        book = ooxml.Workbook(content, p)
+        for name in book.sheet_names:
+            if sheets is None or name in sheets:
+                yield p, name, book.alone(name)
+
+    return _each_file(found, make, "path string, sheet string, content binary")
+
+
+def areas_of(found: DataFrame) -> DataFrame:
+    """Names for areas in workbooks (path, content) (S12): book, name, area, and the area cut to what its sheet uses."""
+
+    def make(p: str, content: bytes) -> Iterator[tuple]:
+        for row in ooxml.Workbook(content, p).areas():
+            yield p, *row
+
+    return _each_file(found, make, "book string, name string, area string, narrowed string")
+
+
+def workbook_cells(spark: SparkSession, path: str, sheets: list[str] | None = None, max_rows: int | None = None, columns: list[int] | None = None) -> DataFrame:
+    return cells_of(files(spark, path, "*.xlsx"), sheets, max_rows, columns)
 
 
 def preview(spark: SparkSession, path: str, rows: int = 10) -> DataFrame:
@@ -228,7 +265,12 @@ def decoded(pages: DataFrame, content: str = "content", charset: str = "charset"
 
 
 class XlsxSource(DataSource):
-    """``spark.read.format("tessera_xlsx").option("sheet", ...).load(path)`` for local workbooks."""
+    """``spark.read.format("tessera_xlsx").load(path)``: a workbook or a folder of them, in any store that Arrow knows.
+
+    Options: ``sheet``, ``maxRows`` (per sheet), ``columns`` (numbers from 1,
+    parted by commas). Each sheet is a partition; of a file only the parts of
+    its sheet are read, as far as needed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -241,17 +283,48 @@ class XlsxSource(DataSource):
         return _XlsxReader(self.options)
 
 
+class _Part(InputPartition):
+    def __init__(self, file: str, sheet: str | None) -> None:
+        self.file, self.sheet = file, sheet
+
+
 class _XlsxReader(DataSourceReader):
+    #: Files beyond which the sheets of a file share a partition, so that planning does not open every file.
+    MANY = 256
+
     def __init__(self, options) -> None:
-        self.path, self.sheet, self.rows = options["path"], options.get("sheet"), options.get("maxRows")
-
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            book = ooxml.Workbook(f.read(), self.path)
-        for name in [self.sheet] if self.sheet else book.sheet_names:
-            for r, row in book.sheet(name, int(self.rows) if self.rows else None).cells.items():
-                for c, text in row.items():
-                    yield self.path, name, r, c, text
+        self.path, self.sheet = options["path"], options.get("sheet")
+        self.rows = int(options["maxRows"]) if options.get("maxRows") else None
+        self.columns = {int(c) for c in options["columns"].split(",")} if options.get("columns") else None
+
+    def _files(self) -> list[str]:
+        from pyarrow import fs
+
+        store, root = opened(self.path)
+        if store.get_file_info(root).type != fs.FileType.Directory:
+            return [root]
+        return sorted(i.path for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.extension.lower() == "xlsx")
+
+    def partitions(self) -> list[_Part]:
+        found = self._files()
+        if self.sheet or len(found) > self.MANY:
+            return [_Part(f, self.sheet) for f in found]
+        store, _ = opened(self.path)
+        out = []
+        for f in found:
+            with store.open_input_file(f) as data:
+                out += [_Part(f, name) for name in ooxml.Workbook(data, f).sheet_names]
+        return out
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("book", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("text", pa.string())])
+        store, _ = opened(self.path)
+        with store.open_input_file(partition.file) as data:
+            book = ooxml.Workbook(data, partition.file)
+            for name in [partition.sheet] if partition.sheet else book.sheet_names:
+                cells = ((partition.file, name, r, c, text) for r, row in book.rows(name, self.rows, self.columns) for c, text in row.items())
+                for rows in batched(cells, BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def register(spark: SparkSession) -> None:

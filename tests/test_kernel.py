@@ -278,3 +278,47 @@ def test_limits_of_pairing_can_be_lifted():
     assert align.pair_changed(left, right) == []
     assert align.pair_changed(left, right, most_cells=None) == [(i, i) for i in range(40)] or len(align.pair_changed(left, right, most_cells=None)) == 40
     assert align.pair_changed(left, right, most_rest=None) == [(i, i) for i in range(40)]
+
+
+def test_large_workbook_in_bounded_memory(tmp_path):
+    """A million rows are read as they come; a preview stops at once; only the asked column becomes text."""
+    import subprocess
+    import sys
+
+    book = ooxml.write({"S": (["a", "b"], []), "T": (["t"], [["x"]])})
+    path = tmp_path / "large.xlsx"
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as new:
+        for name in old.namelist():
+            if name != "xl/worksheets/sheet1.xml":
+                new.writestr(name, old.read(name))
+        with new.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            for k in range(1, 1_000_001, 1000):
+                out.write("".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c><c r="B{r}"><v>1</v></c></row>' for r in range(k, k + 1000)).encode())
+            out.write(b"</sheetData></worksheet>")
+    script = (
+        "import resource, sys; from tessera.kernel import ooxml; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; "
+        "f = open(sys.argv[1], 'rb'); b = ooxml.Workbook(f); n = sum(1 for r, c in b.rows('S', columns={1}) if c == {1: str(r)}); "
+        "p = list(b.rows('S', 3)); print(n, len(p), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    n, few, grown = map(int, subprocess.run([sys.executable, "-c", script, str(path)], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)}).stdout.split())
+    assert (n, few) == (1_000_000, 3) and grown < 60
+
+
+def test_one_sheet_alone():
+    source = ooxml.Workbook(ooxml.write({"S": (["a"], [["1"]]), "T & U": (["t"], [["x"], ["y"]])}))
+    one = ooxml.Workbook(source.alone("T & U"))
+    assert one.sheet_names == ["T & U"] and list(one.rows("T & U")) == list(source.rows("T & U")) and source.used("T & U") == "A1:A3"
+
+
+def test_styles_are_merged_and_numbered_anew():
+    style = {"font": "<font><i/></font>", "fill": '<fill><patternFill patternType="solid"/></fill>', "number": "0.0 \"x\"", "alignment": '<alignment wrapText="1"/>'}
+    own = ooxml.Formats({1: 20.0}, [2], {1: 33.0}, (2, 1), {1: style, 2: {"number": "#14"}, 3: style})
+    book = ooxml.write({"S": (["a", "b", "c"], [["1", "2", "3"]]), "T": (["a"], [])}, formats={"S": own})
+    back = ooxml.Workbook(book).formats("S")
+    assert back.hidden == [2] and back.heights == {1: 33.0} and back.freeze == (2, 1) and back.widths[1] == 20.0
+    assert back.styles[1] == back.styles[3] == style and back.styles[2] == {"number": "#14"}
+    assert ooxml.Formats.from_json(back.to_json()) == back
+    again = ooxml.Workbook(ooxml.write({"S": (["x", "a"], [])}, formats={"S": back.mapped([None, 1])})).formats("S")
+    assert again.styles[2] == style and again.widths[2] == 20.0 and again.styles[1] == ooxml.StyleTable.BOLD
+    assert ooxml.Workbook(book).formats("T").styles == {1: ooxml.StyleTable.BOLD}
