@@ -15,8 +15,9 @@ from .functions import values as V
 from .kernel import ooxml
 from .operators import batch, table_diff
 from .plans import report
-from .plans.task import Task, planned
+from .plans.task import Task, compared_files, planned
 from .sources import office, written
+from .sources.cache import Cache
 from .sources.scratch import shared_folder
 
 FILE = "path string, content binary"
@@ -371,3 +372,50 @@ def split_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = office.split_sheets(office.files(spark, path, "*.xlsx"))
     cells = office.cells_of(sheets.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "sheet"), max_rows=5, columns=[2])
     return cells.withColumn("book", F.regexp_extract("book", r"([^/]+)\.xlsx$", 1))
+
+
+# --- files of a folder to counts ------------------------------------------------------------------------
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey AS k, n_regionkey::VARCHAR AS dir, n_name, n_nationkey % 4 AS kind FROM nation), f AS (SELECT *, 'left-' || k || '.txt' AS l, 'right-' || k || CASE kind WHEN 0 THEN '.txt' WHEN 3 THEN '.doc' ELSE '.docx' END AS r FROM n), "
+    "p AS (SELECT a.dir, a.l, b.r, a.k = b.k AS same, b.kind, ((row_number() OVER (PARTITION BY a.dir ORDER BY a.l, b.r) - 1) // 10 + 1)::INT AS volume FROM f a JOIN f b ON a.dir = b.dir) "
+    "SELECT dir, l AS \"left\", r AS \"right\", volume, CASE WHEN kind > 1 THEN -1 WHEN kind = 0 AND same THEN 2 ELSE 1 END::BIGINT AS equal, CASE WHEN kind > 1 THEN -1 WHEN kind = 0 AND NOT same THEN 1 ELSE 0 END::BIGINT AS modified, CASE WHEN kind > 1 THEN -1 ELSE 0 END::BIGINT AS added, "
+    "CASE WHEN kind > 1 THEN -1 WHEN kind = 1 THEN 1 ELSE 0 END::BIGINT AS removed, CASE kind WHEN 2 THEN r || ': ValueError' WHEN 3 THEN r || ': no reader for rejected files' ELSE '' END AS error FROM p"
+)
+def compared_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder per region: a text of each nation against texts, documents, broken documents and files of an old format, all written and read again."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        for f in frames:
+            out = []
+            for k, region, name in f.itertuples(index=False):
+                text = f"same\n{name}".encode()
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>same</w:t></w:r></w:p></w:body></w:document>')
+                end, content = ((".txt", text), (".docx", data.getvalue()), (".docx", b"<html>"), (".doc", text))[k % 4]
+                out += [(f"{region}/left-{k}.txt", text), (f"{region}/right-{k}{end}", content)]
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    path = shared_folder(spark, "pairs")
+    written.write_files(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").mapInPandas(make, "name string, content binary"), path)
+    found = compared_files(spark, Task("t", "out", source={"root": path, "left": "left-*", "right": "right-*"}))
+    return found.withColumn("error", F.coalesce("error", F.lit(""))).fillna(-1, ["equal", "modified", "added", "removed"])
+
+
+@query(
+    "SELECT p_partkey AS id, p_partkey % 5 <> 0 AND p_size % 7 <> 0 AS hit, CASE WHEN p_partkey % 5 = 0 OR p_size % 7 = 0 THEN '' WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN 'new ' || p_name ELSE p_name END AS text FROM part"
+)
+def maintained_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all parts, written twice: old ones expire, broken ones are rejected, each newer one that is whole takes its place."""
+    p = table(spark, sf_dir, "part").withColumn("key", batch.file_key(F.col("p_name"), F.col("p_size"), F.col("p_partkey")))
+    cache = Cache(spark, shared_folder(spark, "cache"), "key", valid=F.col("text") != "")
+    at = lambda day: F.lit(f"2024-01-{day:02} 12:00:00").cast("timestamp")
+    whole = F.when(F.col("p_size") % 7 != 0, F.col("p_name")).otherwise("")
+    cache.upsert(p.select("key", whole.alias("text"), F.when(F.col("p_partkey") % 5 == 0, at(1)).otherwise(at(9)).alias("fetched_at")))
+    newer = F.when((F.col("p_partkey") % 2 == 1) & (F.col("p_size") % 7 != 0), F.concat(F.lit("new "), "p_name")).otherwise("")
+    cache.upsert(p.where("p_partkey % 3 = 0 AND p_partkey % 5 <> 0").select("key", newer.alias("text"), at(10).alias("fetched_at")), oldest=at(5))
+    found = cache.lookup(p.select(F.col("p_partkey").alias("id"), "key"), at(10), hours=48)
+    return found.select("id", "hit", F.coalesce("text", F.lit("")).alias("text"))

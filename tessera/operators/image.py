@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernel import image as K
+from ..sources import scratch
+from . import rows as R
 
 POINT = "struct<x:double,y:double>"
 
@@ -58,6 +61,83 @@ def ctc_decode(rows: DataFrame, letters: list[str]) -> DataFrame:
     return _mapped(rows, ["id", "probs"], lambda i, p: [(i, *K.ctc(np.array([list(x) for x in p], float), letters))], "id long, text string, conf double")
 
 
+#: Least confidence of a recognized line.
+LEAST_CONFIDENCE = 0.25
+
+
+@dataclass(frozen=True)
+class Models:
+    """The caller's models, each from the prepared input of one image to its output.
+
+    ``detect``: to a probability map as large as the input; ``classify``: to
+    the weights of upright and turned by 180 degrees; ``recognize``: to
+    weights per step and letter; ``letters``: what the letters are, the first
+    being none.
+    """
+
+    detect: Callable[[np.ndarray], np.ndarray]
+    classify: Callable[[np.ndarray], np.ndarray]
+    recognize: Callable[[np.ndarray], np.ndarray]
+    letters: list[str]
+
+
+def recognized_lines(img: np.ndarray, models: Models) -> list[dict]:
+    """Lines of one image (F48): box, text, conf, low_conf, turned; found, cut out, turned upright, read."""
+    given = K.detector_input(img)
+    prob = np.asarray(models.detect(given), float).reshape(given.shape[1:])
+    out = []
+    for b in K.boxes(prob, img.shape[1] / prob.shape[1], img.shape[0] / prob.shape[0]):
+        cut = K.warped(img, [(p["x"], p["y"]) for p in b["box"]])
+        turned = bool(np.argmax(np.ravel(models.classify(K.classifier_input(cut)))) == 1)
+        probs = np.asarray(models.recognize(K.recognizer_input(K.rotated(cut, 2) if turned else cut)), float)
+        text, conf = K.ctc(probs, models.letters)
+        out.append({"box": b["box"], "text": text, "conf": conf, "low_conf": conf < LEAST_CONFIDENCE, "turned": turned})
+    return out
+
+
+RECOGNIZED = f"doc_id long, page int, i int, box array<{POINT}>, text string, conf double, low_conf boolean, turned boolean, error string"
+
+
+def recognized(pages: DataFrame, models: Callable[[], Models]) -> DataFrame:
+    """Lines of the pages (doc_id, page, content as PNG) of documents in reading order.
+
+    Gives doc_id, page, n (in reading order), text, conf, box, low_conf and
+    error. ``models`` is called once per task, where the pages are. Pages
+    without content or whose image cannot be decoded are passed over. If a
+    model fails on a page, its document has one row with the error of its
+    first such page and no lines. Documents without lines have no rows.
+    ``text_items`` makes page items of the lines.
+    """
+    names = [c.split(" ")[0] for c in RECOGNIZED.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+        for f in frames:
+            out = []
+            for doc, page, content in f.itertuples(index=False):
+                try:
+                    img = K.decode_png(bytes(content))[..., :3]
+                except Exception:  # cannot be rendered: passed over
+                    continue
+                try:
+                    own = own or models()
+                    out += [(doc, page, i, x["box"], x["text"], x["conf"], x["low_conf"], x["turned"], None) for i, x in enumerate(recognized_lines(img, own))]
+                except Exception as e:
+                    out.append((doc, page, -1, None, None, None, None, None, str(e)))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    found = scratch.stored(pages.select("doc_id", "page", "content").mapInPandas(run, RECOGNIZED), "recognized")
+    failed = found.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "page").alias("error"), F.min("page").alias("page"))
+    lines = found.where("error IS NULL").join(failed.select("doc_id"), "doc_id", "left_anti")
+    top, bottom = F.array_min(F.transform("box", lambda p: p["y"])), F.array_max(F.transform("box", lambda p: p["y"]))
+    placed = lines.withColumns({"top": top, "height": bottom - top, "left": F.array_min(F.transform("box", lambda p: p["x"])), "_at": F.struct("doc_id", "page")})
+    ordered = R.reading_order(placed, "_at").withColumn("n", F.col("position").cast("int"))
+    good = ordered.select("doc_id", "page", "n", "text", "conf", "box", "low_conf", F.lit(None).cast("string").alias("error"))
+    none = lambda c: F.lit(None).cast(good.schema[c].dataType).alias(c)
+    return good.unionByName(failed.select("doc_id", "page", *[none(c) for c in ("n", "text", "conf", "box", "low_conf")], "error"))
+
+
 def text_items(lines: DataFrame, page_height: Column, scale: Column) -> DataFrame:
     """Recognized lines as page items (F49, X6): y upward, running line numbers over the pages.
 
