@@ -3,8 +3,14 @@
 The program has one variable per way to fill a sequence (a configuration of
 lengths) and one covering constraint per length. Multiplicative weights solve
 it: a weight per length prices configurations, knapsack dynamic programming
-finds the best one, and the weights of the lengths it covers fall. Uses are
-rounded down to whole sequences as they are added.
+finds the best one, and the weights of the lengths it covers fall.
+
+First in coarse steps, as long as the scarcest length lasts, so that every use
+is whole. That is near the optimum where there are many lengths. If it is not
+within ``GAP`` of the lower bound, the program is solved in fine steps: uses
+add up to a fractional solution, weights give feasible dual prices and so a
+bound, until the two are within ``GAP``; uses are rounded down, and what is
+left goes by best fit. The better of the two plans is taken.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ CAPACITY = 1024
 EOS = 2
 #: Fall of a length's weight by the time all of it is covered: a factor of exp(-RATE).
 RATE = 0.3
+#: Distance to the bound within which a plan is good enough, and at which the fine steps end.
+GAP = 0.002
+#: Of the fine steps: how exactly weights tell the optimum, fall of a weight in a step, and most steps and priced configurations.
+EXACT, STEP, MOST_STEPS, MOST_PRICED = 0.04, 0.01, 60_000, 3_000
 #: Power of its length by which a piece is priced at first; above 1, long pieces, hard to place, come first.
 SLOPE = 1.2
 #: Pieces of one length in a bucket where pieces are numbered, and the most buckets in all.
@@ -142,14 +152,128 @@ def best_fit(left: np.ndarray, capacity: int, begun: Counter[Config] | None = No
     return done
 
 
+class Knapsack:
+    """The most valuable filling of a sequence by given lengths, any number of each.
+
+    Room is looked at in blocks of the least length, whose values depend on
+    earlier blocks alone.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int) -> None:
+        self.lengths, self.capacity = lengths, capacity
+        self.blocks = []
+        step = int(lengths[0])
+        for at in range(step, capacity + 1, step):
+            room = np.arange(at, min(at + step, capacity + 1))
+            fits = lengths[lengths <= room[-1]]
+            back = room[:, None] - fits
+            self.blocks.append((room, np.where(back < 0, 0, back), np.where(back < 0, -np.inf, 0.0)))
+
+    def best(self, value: np.ndarray) -> tuple[Counter[int], float]:
+        """(index of length -> times, its value) for positive values."""
+        worth, took = np.zeros(self.capacity + 1), np.full(self.capacity + 1, -1)
+        for room, back, never in self.blocks:
+            gain = worth[back] + value[: back.shape[1]] + never
+            took[room] = gain.argmax(1)
+            worth[room] = gain[np.arange(len(room)), took[room]]
+        out: Counter[int] = Counter()
+        c = self.capacity
+        while c >= self.lengths[0]:
+            out[int(took[c])] += 1
+            c -= int(self.lengths[took[c]])
+        return out, float(worth[self.capacity])
+
+
+def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[Config, float], float]:
+    """Uses of configurations that cover all counts, and the lower bound of the number of sequences.
+
+    A step uses the configuration of the best price until a share of its
+    scarcest length is covered; weights fall exponentially with the share
+    covered. Configurations once priced are tried first; the knapsack is
+    solved only if none of them is within ``GAP / 2`` of the last best price,
+    which bounds later ones as prices only fall. The prices over the best one
+    are a feasible dual, the uses over the least share a feasible primal
+    solution; the steps end when they are within ``GAP`` or at their limits.
+    """
+    lengths = np.flatnonzero(counts)
+    need = counts[lengths].astype(float)
+    knapsack, eta = Knapsack(lengths, capacity), 1 + np.log(len(lengths) + 1) / EXACT
+    cover = np.zeros(len(lengths))
+    index, times, use = np.zeros((64, 4), np.int64), np.zeros((64, 4)), np.zeros(64)
+    seen: dict[Config, int] = {}
+    bound, top, top_at, priced = (need * lengths).sum() / capacity, np.inf, 0.0, 0
+    for step in range(MOST_STEPS):
+        low = cover.min()
+        if step % 100 == 0 and low > 0 and use.sum() / low <= bound * (1 + GAP):
+            break
+        price = lengths / capacity * np.exp(-eta * (cover - low))
+        values = (price[index[: len(seen)]] * times[: len(seen)]).sum(1)
+        k = int(values.argmax()) if len(seen) else -1
+        if k < 0 or values[k] < (1 - GAP / 2) * top * np.exp(eta * (low - top_at)):
+            if priced == MOST_PRICED:
+                break
+            config, top = knapsack.best(price)
+            top_at, priced = low, priced + 1
+            bound = max(bound, float((need * price).sum()) / top)
+            key = tuple(sorted(config.items()))
+            k = seen.setdefault(key, len(seen))
+            if k == len(use):
+                index, times, use = (np.concatenate([x, np.zeros_like(x)]) for x in (index, times, use))
+            if len(key) > index.shape[1]:
+                index, times = (np.pad(x, ((0, 0), (0, len(key) - x.shape[1]))) for x in (index, times))
+            index[k, : len(key)], times[k, : len(key)] = zip(*key, strict=True)
+        own = times[k] > 0
+        at, mult = index[k][own], times[k][own]
+        amount = STEP / eta * (need[at] / mult).min()
+        use[k] += amount
+        cover[at] += mult * amount / need[at]
+    scale = cover.min()
+    if scale <= 0:
+        return {}, bound
+    return {tuple((int(lengths[i]), n) for i, n in reversed(key)): float(use[k] / scale) for key, k in seen.items()}, bound
+
+
+def rounded(uses: dict[Config, float], counts: np.ndarray) -> tuple[Counter[Config], np.ndarray]:
+    """Whole uses, rounded down and no more than there are pieces for, and the pieces left.
+
+    Where a length that is covered twice runs out, a configuration goes on without it.
+    """
+    left, out = counts.astype(np.int64).copy(), Counter()
+    for config, amount in sorted(uses.items(), key=lambda x: (-x[1], x[0])):
+        n = int(amount + 1e-9)
+        while n and config:
+            most = min(n, min(int(left[a]) // b for a, b in config))
+            if most:
+                out[config] += most
+                for a, b in config:
+                    left[a] -= most * b
+                n -= most
+            config = tuple((a, b) for a, b in config if left[a] >= b) if n else config
+    return out, left
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> Counter[Config]:
-    """How many sequences of each configuration pack ``counts[length]`` pieces of each length.
+    """How many sequences of each configuration pack ``counts[length]`` pieces of each length."""
+    return bounded_plan(counts, capacity, rounds)[0]
+
 
-    Best fit places what a program cut short by ``rounds`` leaves, first into
-    the room of the program's own sequences.
+def bounded_plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[Counter[Config], float]:
+    """A plan, and the number of sequences below which there is none.
+
+    Best fit places what rounding, or a program cut short by ``rounds``,
+    leaves, first into the room of the program's own sequences.
     """
-    out, left = program(counts, capacity, rounds)
-    return best_fit(left, capacity, out) if left.any() else out
+
+    def filled(out: Counter[Config], left: np.ndarray) -> Counter[Config]:
+        return best_fit(left, capacity, out) if left.any() else out
+
+    coarse = filled(*program(counts, capacity, rounds))
+    bound = float((counts * np.arange(len(counts))).sum() / capacity)
+    if sum(coarse.values()) <= bound * (1 + GAP) + 1:
+        return coarse, bound
+    uses, bound = fractional(counts, capacity)
+    fine = filled(*rounded(uses, counts))
+    return min(coarse, fine, key=lambda p: sum(p.values())), bound
 
 
 def plan_rows(configs: Counter[Config]) -> list[tuple[int, int, int, int, int, int]]:

@@ -523,3 +523,65 @@ def test_longest_repeats_as_compared_directly():
 
 def test_digest_of_nothing():
     assert brute.sha([]) == hashlib.sha256(b"").hexdigest()
+
+
+# op9, the program against known optima
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_within_a_hundredth_of_a_planted_optimum(seed):
+    """Histograms of sequences that fill the capacity exactly, so that their number is the optimum."""
+    rng, counts, optimum = np.random.default_rng(seed), np.zeros(1025, int), 0
+    for _ in range(1 + seed % 4):
+        parts, room = [], 1024
+        while room:
+            parts.append(room if room <= 40 else int(rng.integers(20, min(room, 600) + 1)))
+            room -= parts[-1]
+        uses = int(rng.integers(10, 20_000))
+        np.add.at(counts, parts, uses)
+        optimum += uses
+    plan, bound = pack.bounded_plan(counts)
+    assert bound <= optimum * (1 + 1e-9) and optimum <= sum(plan.values()) <= optimum * 1.01
+    back = np.zeros(1025, int)
+    for config, times in plan.items():
+        assert sum(a * b for a, b in config) <= 1024
+        for length, mult in config:
+            back[length] += mult * times
+    assert (back == counts).all()
+
+
+def test_three_lengths_that_greedy_filling_misses():
+    counts = np.zeros(1025, int)
+    counts[[279, 260, 485]] = 18_722
+    assert sum(pack.plan(counts).values()) == 18_722
+
+
+def test_fractional_solution_covers_and_its_bound_holds():
+    counts = np.zeros(101, int)
+    counts[[60, 41, 34, 30]] = 1000, 700, 900, 500  # 60 + 34, 41 + 30 ...: no filling is perfect
+    uses, bound = pack.fractional(counts, 100)
+    cover = np.zeros(101)
+    for config, amount in uses.items():
+        assert sum(a * b for a, b in config) <= 100
+        for length, mult in config:
+            cover[length] += mult * amount
+    assert (cover >= counts * (1 - 1e-9)).all() and bound <= sum(uses.values()) <= bound * 1.05
+    whole, left = pack.rounded(uses, counts)
+    for config, times in whole.items():
+        for length, mult in config:
+            left[length] += mult * times
+    assert (left == counts).all()
+
+
+def test_knapsack_in_blocks():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 9), replace=False))
+        value = rng.random(len(lengths))
+        capacity = int(rng.integers(lengths[0], 120))
+        plain = [0.0]
+        for room in range(1, capacity + 1):
+            plain.append(max([plain[-1], *(plain[room - a] + v for a, v in zip(lengths, value) if a <= room)]))
+        config, worth = pack.Knapsack(lengths, capacity).best(value)
+        assert abs(worth - plain[-1]) < 1e-9 and abs(sum(value[k] * n for k, n in config.items()) - worth) < 1e-9
+        assert sum(lengths[k] * n for k, n in config.items()) <= capacity
