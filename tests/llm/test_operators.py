@@ -178,14 +178,42 @@ def test_rules_and_trees(spark, sf_dir):
     for i, _, verdict, rule in made:
         assert (by.rule[i] or None) == rule and (verdict is None or by.verdict[i] == verdict)
     assert by.host[1] == "a.example.net" and by.path[1] == "/en/x" and by.host[10] == "x.net" and by.path[10] == "" and by.host[7] == "" == by.path[9]
-    # held-out figures on real pages
+    # held-out hosts: rules say little about hosts they do not name, so the figures are modest (README)
     n, accuracy, precision, recall = urls.held_out_figures(real, model)
-    assert n > 300 and accuracy > 0.8 and precision > 0.8 and recall > 0.6, (n, accuracy, precision, recall)
+    assert n > 100 and accuracy > 0.6 and precision > 0.6 and recall > 0.5, (n, accuracy, precision, recall)
+    free = urls.filter_urls(table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url"), model).where("rule IS NULL").toPandas()
+    junk = free.host.str.contains("casino-win|free-bets|cheap-pills|spam-farm|ads-track")  # never told to the trees
+    assert junk.sum() > 50 and (free.verdict[junk] == "block").mean() > 0.9 and (free.verdict[~junk] == "block").mean() < 0.2
+    assert free.block_score.nunique() > 50
     assert urls.filter_urls(pages.limit(0), model).count() == 0
     assert urls.judged_pages(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in urls.judged_pages(pages.where("page_id >= 6")).collect()} == {"allow"}
 
 
+def test_url_features_and_statistics_by_hand(spark):
+    import math
+    from collections import Counter
+
+    made = ["http://a-b1.example.net:80/x/y%20z/?q=1&r=22#f", "https://10.0.0.1/", "http://u@h.co.uk/p", "nothing", "", "http://x.co.uk/en/1", "http://y.co.uk/2", "http://z.co.uk/3?a"]
+    df = spark.createDataFrame([(u,) for u in made], "url string")
+    rows, names = urls.features(df, "url")
+    got = {r["url"]: r.asDict() for r in rows.collect()}
+    for u in made:
+        host, path = brute.url_parts(u)
+        rest = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        entropy = lambda t: -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0
+        want = {"length": len(u), "host_length": len(host), "depth": sum(1 for p in path.split("/")[1:] if p), "digit_ratio": sum(c.isdigit() for c in u) / max(1, len(u)), "host_entropy": entropy(host), "path_entropy": entropy(path), "parameters": len(rest.split("&")) if rest else 0, "hyphens": host.count("-")}
+        assert all(abs(got[u][f"f_{k}"] - v) < 1e-9 for k, v in want.items()), u
+    labelled = spark.createDataFrame([(u, float(k % 2)) for k, u in enumerate(made) if "://" in u] * 2, "url string, label double")
+    stats = {(r["k"], r["f"]): (r["bad"], r["n"]) for s in urls.statistics(labelled, urls.RULES) for r in s.collect()}
+    assert not any(k.endswith("net") or k in ("com", "org") for k, _ in stats)  # what rules tell
+    fold = lambda u: zlib.crc32(brute.url_parts(u)[0].encode()) % urls.FOLDS
+    uk = [(u, k % 2) for k, u in enumerate(made) if "co.uk" in u] * 2
+    for f in range(-1, urls.FOLDS):
+        outside = [y for u, y in uk if fold(u) != f]
+        assert stats["co.uk", f] == (sum(outside), len(outside))
+
+
 def test_host_path_and_rule_as_read_by_hand(spark, sf_dir):
     got = run(spark, sf_dir, 3).set_index("page_id")
     for r in table(spark, sf_dir, "pages").collect():
