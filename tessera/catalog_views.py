@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import DIFF_SQL, order_diff, query, table
@@ -14,7 +14,7 @@ from .functions import text as T
 from .functions import values as V
 from .functions import web as W
 from .kernel import image as K
-from .operators import asof, image, rows, style, views
+from .operators import asof, batch, image, rows, style, views
 from .sources import office
 
 
@@ -445,3 +445,46 @@ def codes_and_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capped_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a hundred names and how many there are."""
     return rows.capped(parts(spark, sf_dir).select("id", "name"), ["name", "id"])
+
+
+# --- more on styles -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CASE WHEN size <> 16 THEN '字号×2、对齐×1' ELSE '字号×1、对齐×1' END AS by_prop FROM ({_STYLED})")
+def styled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties by how often they differ, the most frequent first."""
+    found = style.html_vectors(styled_pages(spark, sf_dir), "content")
+    expected = style.apply_spec(found, {"defaults": {"size_pt": 16.0}, "rules": [{"match": {"i": 0}, "set": {"size_pt": 16.0}}, {"match": {"i": 1}, "set": {"align": "justify"}}]})
+    met = style.compared(found, expected)
+    return style.style_summary(met, style.style_diff(met)).select("doc_id", "by_prop")
+
+
+@query(
+    f"SELECT doc_id, 0::INT AS para, '字号' AS prop, '10.5pt' AS expected, size || 'pt' AS actual FROM ({_STYLED}) UNION ALL SELECT doc_id, 0, '行距', '2 倍', '1.5 倍' FROM ({_STYLED}) UNION ALL "
+    f"SELECT doc_id, 1, prop, e, '未设置' FROM ({_STYLED}), (VALUES ('字号', '10.5pt'), ('行距', '2 倍')) v(prop, e)"
+)
+def styled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is expected and what is there, with units."""
+    found = style.html_vectors(styled_pages(spark, sf_dir), "content")
+    expected = style.apply_spec(found, {"rules": [{"match": {}, "set": {"size_pt": 10.5, "line_spacing": 2.0}}]})
+    return style.style_diff(style.compared(found, expected)).select("doc_id", "para", "prop", F.col("expect").alias("expected"), "actual")
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 4 WHEN 0 THEN '宋体' WHEN 1 THEN 'SimHei' WHEN 2 THEN 'Unknown ' || p_size END AS family, CASE p_size % 4 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' WHEN 3 THEN 'Georgia' END AS latin FROM part")
+def styled_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of font families told apart by script; generic ones do not count, unknown ones stand in for a Chinese one."""
+    k = F.col("size") % 4
+    fonts = F.when(k == 0, "'Times New Roman', 宋体, 黑体").when(k == 1, "SimHei, Arial, sans-serif").when(k == 2, F.concat(F.lit("Unknown "), text_of("size"), F.lit(", serif"))).otherwise("monospace, Georgia, Arial")
+    html = F.concat(F.lit('<div id="content"><p style="font-family:'), fonts, F.lit('">text</p></div>'))
+    return style.html_vectors(parts(spark, sf_dir).select(F.col("id").alias("doc_id"), html.alias("html")), "content").select("doc_id", "family", "latin")
+
+
+@query(
+    "SELECT p_brand AS dir, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_size % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END, p_partkey)::INT AS place FROM part"
+)
+def ordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every folder in order of their names' code units: a letter, a picture beyond the basic plane, a full-width letter."""
+    k = F.col("p_size") % 3
+    name = F.concat(F.when(k == 2, "a").when(k == 0, "\U0001f600").otherwise("\uff21"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dir"), F.col("p_partkey").alias("id"), name.alias("name"))
+    return p.select("dir", "id", F.row_number().over(Window.partitionBy("dir").orderBy(batch.code_units(F.col("name")))).alias("place"))

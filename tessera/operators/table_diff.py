@@ -66,6 +66,27 @@ def _cells(side: str, names: list[str]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(side)[n] for n in names]))
 
 
+#: Rows of one key, of both sides, beyond which they are dealt over several tasks.
+HOT_ROWS = 5_000_000
+
+
+def hot_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, salts) of keys with more than ``HOT_ROWS`` rows: at most one for so many rows, so it may be broadcast."""
+    counts = left.select("key").unionByName(right.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > HOT_ROWS).select("key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
+
+
+def _dealt(df: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """Rows of hot keys with a salt by ``by``; others have 0."""
+    return df.join(F.broadcast(hot), "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts").cast("long")), F.lit(0).cast("long"))).drop("salts")
+
+
+def _repeated(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row per key, repeated for every salt of a hot one."""
+    last = (F.coalesce(F.col("salts"), F.lit(1)) - 1).cast("long")
+    return df.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("salts")
+
+
 def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDiffConfig(), row: str | None = None) -> DataFrame:
     """Rows of both tables as added, modified, unchanged or deleted.
 
@@ -87,8 +108,10 @@ def table_diff(old: DataFrame, new: DataFrame, config: TableDiffConfig = TableDi
     right = right.withColumn("key", key("new")).where(usable("new"))
     # only the first old row of a key can be met; a minimum combines before the shuffle, so a key of many rows is no task of its own
     first = left.groupBy("key").agg(F.min(F.struct("old_row", "old")).alias("first")).select("key", "first.old_row", "first.old")
-    both = right.join(first, "key", "left")
-    gone = left.join(right.select("key").distinct(), "key", "left_anti").where(~V.all_blank([F.col("old")[c] for c in old_names]))
+    hot = hot_keys(left, right)
+    both = _dealt(right, hot, "new_row").join(_repeated(first, hot), ["key", "salt"], "left").drop("salt")
+    met_keys = _repeated(right.select("key").distinct(), hot)
+    gone = _dealt(left, hot, "old_row").join(met_keys, ["key", "salt"], "left_anti").drop("salt").where(~V.all_blank([F.col("old")[c] for c in old_names]))
     # cells as one array, so the comparison is one expression however many columns there are
     cell = lambda n, o, v: F.struct(F.lit(n).alias("name"), o.cast("string").alias("old"), v.cast("string").alias("new"))
     listed = lambda cells, keep: F.filter(F.array(*cells), keep) if cells else F.array().cast("array<struct<name:string,old:string,new:string>>")

@@ -183,7 +183,7 @@ def style_block(found: list | None) -> str:
         return ""
     if not len(found):
         return '<h3>样式核对</h3><p class="ok">0</p>'
-    rows = "".join("<tr>" + "".join(f"<td>{escape(str(x[k]) if x[k] is not None else '')}</td>" for k in ("para", "prop", "expected", "actual")) + "</tr>" for x in found)
+    rows = "".join("<tr>" + "".join(f"<td>{escape(str(x[k]) if x[k] is not None else '')}</td>" for k in ("para", "prop", "expect", "actual")) + "</tr>" for x in found)
     return f'<h3>样式核对</h3><p class="bad">{len(found)}</p><table>{rows}</table>'
 
 
@@ -211,12 +211,12 @@ def html_pages(pairs: DataFrame, by: str, o: NormOptions = NormOptions(), limit:
 
     ``pairs``: ``by``, pair_id, left_name, right_name, left, right, and if
     known raw_left and raw_right (texts before tidying), styles (an array of
-    para, prop, expected, actual) and error (why there is no comparison).
+    para, prop, expect, actual, as ``style.style_diff`` gives them) and error (why there is no comparison).
     Pairs are compared each where it is; a page is put together of finished
     sections, in order of pair_id. Volumes keep a page's pairs few
     (``plans.task``). Pages of one pair have no contents.
     """
-    optional = {"raw_left": "string", "raw_right": "string", "styles": "array<struct<para:int,prop:string,expected:string,actual:string>>", "error": "string"}
+    optional = {"raw_left": "string", "raw_right": "string", "styles": "array<struct<para:int,prop:string,expect:string,actual:string>>", "error": "string"}
     more = [F.col(c) if c in pairs.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
     given = pairs.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("page"), "pair_id", "left_name", "right_name", "left", "right", *more)
 

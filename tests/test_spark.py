@@ -175,7 +175,7 @@ def test_unified_and_html(spark):
     assert page.count('<a href="#pair-0">') == 2 and page.count('<a href="#top">') == 5 and '<div id="top"></div>' in page and "localStorage" in page
     one = bytes(report.html_pages(named.where("pair_id = 1"), "g").first()["content"]).decode()
     assert "<ol>" not in one and "<nav" not in one
-    flow = bytes(report.html_pages(named.where("pair_id = 0").withColumn("styles", F.expr("array(named_struct('para', 1, 'prop', '字号', 'expected', '16', 'actual', '<12>'))")), "g", NormOptions(ignore_newline=True)).first()["content"]).decode()
+    flow = bytes(report.html_pages(named.where("pair_id = 0").withColumn("styles", F.expr("array(named_struct('para', 1, 'prop', '字号', 'expect', '16', 'actual', '<12>'))")), "g", NormOptions(ignore_newline=True)).first()["content"]).decode()
     assert "<del>dd</del>" in flow and "&lt;12&gt;" in flow and "样式核对" in flow
     m = text_diff.marks(r).where("pair_id = 0").collect()
     assert {(x["side"], x["line"]) for x in m} == {("left", 4), ("right", 4)}
@@ -306,3 +306,19 @@ def test_stream(spark, tmp_path):
     assert counts(spark.read.parquet(str(tmp_path / "out"))) == {"added": 1, "modified": 1, "unchanged": 1}
     events = spark.createDataFrame([("k", "2024-01-01 00:00:00.0", "x"), ("k", "2024-01-01 00:00:00.2", "y"), ("k", "2024-01-01 00:00:05", "z")], "k string, at string, v string").withColumn("at", F.to_timestamp("at"))
     assert sorted((r["v"], r["n"]) for r in table_stream.debounced(events, "k", "at", "v").collect()) == [("y", 2), ("z", 1)]
+
+
+def test_hot_keys_of_a_table_are_dealt(spark, monkeypatch):
+    """One key with most rows of both sides gives the same result dealt over many tasks."""
+    old = spark.createDataFrame([("k" if n % 3 else str(n), str(n), n) for n in range(300)], "id string, v string, row long")
+    new = spark.createDataFrame([("k" if n % 2 else str(n), str(n + n % 5), n) for n in range(300)], "id string, v string, row long")
+    config = TableDiffConfig(keys=("id",))
+    found = lambda: sorted(map(repr, table_diff.table_diff(old, new, config, row="row").collect()))
+    want = found()
+    monkeypatch.setattr(table_diff, "HOT_ROWS", 10)
+    assert found() == want and len(want) > 300
+    left = spark.createDataFrame([("k",)] * 95 + [("a",)], "key string")
+    hot = table_diff.hot_keys(left, left.limit(0))
+    assert [tuple(r) for r in hot.collect()] == [("k", 10)]
+    dealt = table_diff._dealt(left.withColumn("n", F.monotonically_increasing_id()), hot, "n").groupBy("key", "salt").count().collect()
+    assert max(r["count"] for r in dealt) < 40 and sum(r["count"] for r in dealt) == 96
