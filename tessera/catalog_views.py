@@ -160,7 +160,7 @@ def view_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.unescape_xml(F.concat(F.lit("&lt;"), key, F.lit("&amp;lt;&gt;"))).alias("unescaped"),
         V.all_blank([F.lit(" "), F.when(k3 == 0, "NaN").otherwise(key), F.lit(None).cast("string")]).alias("blank"),
         V.date_text(day).alias("day"),
-        F.pandas_udf(views.fnv1a, "string")(F.concat(F.lit("p"), key)).alias("hash"),
+        views.fnv1a(F.concat(F.lit("p"), key)).alias("hash"),
     )
 
 

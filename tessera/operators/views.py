@@ -66,17 +66,13 @@ def report_name(left: Column, right: Column, at: Column) -> Column:
     return F.concat_ws("-", left, right, F.lit("对比报告"), F.concat(F.date_format(at, "yyyyMMddHHmm"), F.lit(".xlsx")))
 
 
-def fnv1a(text: pd.Series) -> pd.Series:
-    """32-bit FNV-1a over UTF-16 units in hexadecimal (F19); use ``F.pandas_udf(fnv1a, "string")``."""
-
-    def one(s: str | None) -> str:
-        h = 0x811C9DC5
-        raw = (s or "").encode("utf-16-le", "surrogatepass")
-        for k in range(0, len(raw), 2):
-            h = (h ^ int.from_bytes(raw[k : k + 2], "little")) * 0x01000193 & 0xFFFFFFFF
-        return f"{h:x}"
-
-    return text.map(one)
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a over UTF-16 units in hexadecimal (F19); null counts as the empty text."""
+    units = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE"))
+    each = F.transform(F.sequence(F.lit(1), (F.length(units) / 4).cast("int")), lambda k: F.conv(F.substring(units, k * 4 - 3, F.lit(4)), 16, 10).cast("long"))
+    each = F.when(F.length(units) > 0, each).otherwise(F.array().cast("array<bigint>"))
+    step = lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.hex(F.aggregate(each, F.lit(0x811C9DC5), step)))
 
 
 def line_positions(items: DataFrame, by: str, page_top: Column) -> DataFrame:

@@ -16,7 +16,15 @@ def test_cells_and_columns(spark):
     assert views.visible(hidden).columns == ["m"]
     one = spark.range(1).select(views.pixel_width(F.lit(10.0), F.lit("x")).alias("a"), views.pixel_width(F.lit(None).cast("double"), F.lit("x")).alias("b"), views.report_name(F.lit("l"), F.lit("r"), F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("n")).first()
     assert (one["a"], one["b"], one["n"]) == (87, 56, "l-r-对比报告-202401020304.xlsx")
-    assert spark.createDataFrame([("a",), ("",)], "s string").select(F.pandas_udf(views.fnv1a, "string")("s").alias("h")).toPandas().h.tolist() == ["e40c292c", "811c9dc5"]
+    def fnv(text):
+        h = 0x811C9DC5
+        for unit in memoryview(text.encode("utf-16-le")).cast("H"):
+            h = (h ^ unit) * 0x01000193 & 0xFFFFFFFF
+        return f"{h:x}"
+
+    said = ["a", "", "\U0001f600 \uff21é", "x" * 3000]
+    got = spark.createDataFrame([(t,) for t in [*said, None]], "s string").select("s", views.fnv1a(F.col("s")).alias("h")).collect()
+    assert {r["s"]: r["h"] for r in got} == {t: fnv(t) for t in said} | {None: "811c9dc5"} and fnv("a") == "e40c292c"
 
 
 def test_badges_and_sections(spark):
