@@ -89,3 +89,22 @@ def test_container_by_tag_and_notes():
     got = markup.trimmed("<body><nav>n</nav>\r\n<main><article x='1'>t</article></main></body>", "absent", "article", ["a<b", "c"])
     assert got == "<body><main><article class=\"web-page\" x='1'><div class=\"web-page-note\">a&lt;b；c</div>t</article></main></body>"
     assert markup.trimmed('<body><br/><div id="c"/>in</div>\n<p>x', "c") == '<body><div class="web-page" id="c"/>in</div></body>'
+
+
+def test_long_groups_are_swept_in_stretches(spark):
+    """The same places whether a group is one window or many, checked against a plain search."""
+    from tessera.operators import asof
+
+    rng = random.Random(9)
+    groups = ["a", "b", None]
+    anchors = sorted({(g, float(rng.randint(0, 1000))) for g in groups for _ in range(30 if g == "a" else 2)}, key=str)
+    anchors = [(g, x, x * 3 + rng.randint(0, 9)) for g, x in anchors]
+    points = [(n, rng.choice([*groups, "c"]), rng.choice([rng.uniform(-300, 1300), float(rng.randint(0, 1000))])) for n in range(400)] + [(400, "a", None)]
+    p, a = spark.createDataFrame(points, "n int, g string, x double"), spark.createDataFrame(anchors, "g string, l double, r double")
+    found = {w: {r["n"]: r["y"] for r in asof.interpolate(p, a, "g", width=w).collect()} for w in (None, 10.0, 250.0)}
+    last = {w: {r["n"]: r["r"] for r in asof.last_at_or_before(p, a, "g", "x", "l", "r", width=w).collect()} for w in (None, 10.0, 250.0)}
+    for w in (10.0, 250.0):
+        assert all(found[w][n] == y or abs(found[w][n] - y) < 1e-9 for n, y in found[None].items() if n < 400) and last[w] == last[None]
+    for n, g, x in points[:400]:
+        before = [(l, r) for h, l, r in anchors if h == g and l <= x]
+        assert last[10.0][n] == (max(before)[1] if before else None)
