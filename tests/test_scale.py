@@ -70,4 +70,17 @@ def test_paragraphs_are_handed_over_in_small_frames(spark):
     import pandas as pd
 
     f = pd.DataFrame({"x": range(1000)})
-    assert max(len(g) for g in style._few(iter([f]))) <= style.BATCH and pd.concat(style._few(iter([f]))).x.tolist() == list(range(1000))
+    assert max(len(g) for g in style.few(iter([f]))) <= style.BATCH and pd.concat(style.few(iter([f]))).x.tolist() == list(range(1000))
+
+
+def test_labels_by_rules_need_no_suffix_statistics(spark, monkeypatch):
+    from tessera.llm import urls
+
+    hosts = [f"{'www.' * (k % 2)}n{k}.{e}" for k in range(60) for e in ("net", "example.net", "example.com", "org", "a.example.org:80")]
+    pages = spark.createDataFrame([(k, f"http://{h}/{p}/{k}") for k, (h, p) in enumerate((h, p) for h in hosts for p in ("en", "de", "fr"))], "page_id long, url string")
+    labelled = urls.rule_labelled(pages)
+    assert [s.count() for s in urls.statistics(labelled, urls.RULES)] == [0, 0]
+    score = lambda model: {r["page_id"]: r["s"] for r in model.score(pages, "url", "s").collect()}
+    assert score(urls.train(labelled)) == score(urls.train(labelled, by_rules=True))
+    monkeypatch.setattr(urls, "statistics", None)  # the stage is not there
+    assert urls.judged_pages(pages).count() == 900
