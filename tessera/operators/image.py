@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..kernel import image as K
 from ..sources import scratch
 from . import rows as R
+from .style import few
 
 POINT = "struct<x:double,y:double>"
 
@@ -21,7 +22,7 @@ def _mapped(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in few(frames):
             yield pd.DataFrame([r for row in f.itertuples(index=False) for r in make(*row)], columns=names)
 
     return df.select(*columns).mapInPandas(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import style as S
 from ..functions import text as T
 from ..kernel import align, markup
+from ..sources import scratch
 
 RUN = "struct<text:string,family:string,latin:string,size_pt:double,bold:boolean,italic:boolean,sup:boolean,sub:boolean,underline:boolean,color:string>"
 FIELDS = (
@@ -18,12 +19,21 @@ FIELDS = (
     f"latin string, bold_runs int, italic_runs int, sup_chars int, sub_chars int, runs array<{RUN}>"
 )
 SCHEMA = f"doc_id long, {FIELDS}"
+#: Documents whose paragraphs are handed over together.
+BATCH = 64
+
+
+def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in small frames, so that what is made of them is small too."""
+    for f in frames:
+        for at in range(0, len(f), BATCH):
+            yield f.iloc[at : at + BATCH]
 
 
 def _vectors(df: DataFrame, columns: list[str], read) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", *(f.split(" ")[0] for f in FIELDS.split(", "))]
-        for f in frames:
+        for f in few(frames):
             found = [{"doc_id": d} | p for d, *parts in f.itertuples(index=False) for p in read(*parts)]
             yield pd.DataFrame(found, columns=names)
 
@@ -83,7 +93,7 @@ def aligned(actual: DataFrame, expected: DataFrame, by: str = "doc_id") -> DataF
     both = texts(actual, "a").join(texts(expected, "e"), by, "full_outer")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in few(frames):
             rows = []
             for d, a, e in f.itertuples(index=False):
                 a, e = list(a) if a is not None else [], list(e) if e is not None else []
@@ -97,8 +107,11 @@ def aligned(actual: DataFrame, expected: DataFrame, by: str = "doc_id") -> DataF
 
 
 def compared(actual: DataFrame, expected: DataFrame, props: tuple[str, ...] = S.DEFAULT_PROPS, by: str = "doc_id") -> DataFrame:
-    """All aligned paragraphs with both vectors, to draw differences and counts from."""
-    pairs = aligned(actual, expected, by)
+    """All aligned paragraphs with both vectors, to draw differences and counts from.
+
+    Both sides are read more than once, so vectors should be stored.
+    """
+    pairs = scratch.stored(aligned(actual, expected, by), "aligned")
     pack = lambda df, name: df.select(by, F.col("i").alias(name), F.struct(*df.columns).alias(f"v{name}"))
     return pairs.join(pack(actual, "a"), [by, "a"], "left").join(pack(expected, "e"), [by, "e"], "left").select(by, "a", "e", "va", "ve")
 
@@ -153,7 +166,7 @@ def check(pages: DataFrame, documents: DataFrame, spec: dict | None = None, cont
     document (doc_id, document, styles) what is there; with a ``spec`` its
     expectations are laid over the page's paragraphs.
     """
-    expected = html_vectors(pages, container)
-    met = compared(docx_vectors(documents), apply_spec(expected, spec) if spec else expected)
+    expected = scratch.stored(html_vectors(pages, container), "vectors")
+    met = compared(scratch.stored(docx_vectors(documents), "vectors"), apply_spec(expected, spec) if spec else expected)
     found = style_diff(met)
     return found, style_summary(met, found)
