@@ -11,13 +11,21 @@ from .functions import text as T
 from .operators import interval, rows, text_diff, views
 
 
-def line_items(texts: DataFrame, size: int) -> DataFrame:
-    """Items of ``size`` characters of every line of texts (pair_id, side, text), 40 lines to a page."""
-    cut = rows.lines(texts).where("line <> ''").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / size))))
-    piece = cut.select("pair_id", "side", F.col("line_no").alias("line"), (F.col("k") * size).cast("int").alias("col"), F.expr(f"substring(line, int(k) * {size} + 1, {size})").alias("str"))
+def lines_of(texts: DataFrame) -> DataFrame:
+    """Lines with text of texts (pair_id, side, text), numbered from 1: pair_id, side, line, whole."""
+    return rows.lines(texts).where("line <> ''").select("pair_id", "side", F.col("line_no").alias("line"), F.col("line").alias("whole"))
+
+
+def items_of(size: int):
+    """Items of ``size`` characters of a line, 40 lines to a page."""
     num = lambda c: c.cast("double")
-    place = F.array(F.lit(12.0), F.lit(0.0), F.lit(0.0), F.lit(12.0), num(F.col("col") * 6), num(800 - 14 * (F.col("line") % 40)))
-    return piece.select("*", F.floor(F.col("line") / 40).cast("int").alias("page"), place.alias("transform"), num(F.length("str") * 6).alias("width"), F.lit(False).alias("ocr"))
+    line = F.col("line")
+
+    def item(s, k):
+        place = F.array(F.lit(12.0), F.lit(0.0), F.lit(0.0), F.lit(12.0), num(k * size * 6), num(800 - 14 * (line % 40)))
+        return F.struct(F.floor(line / 40).cast("int").alias("page"), (k * size).alias("col"), s.alias("str"), place.alias("transform"), num(F.length(s) * 6).alias("width"), F.lit(False).alias("ocr"))
+
+    return F.transform(F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), item)
 
 
 _BOX = "round((6 * (col + \"begin\"))::DOUBLE, 6) AS x, round((800 - 14 * (line % 40) + 12 * 0.465 - 6)::DOUBLE, 6) AS y, round((6 * (\"end\" - \"begin\"))::DOUBLE, 6) AS width, 12.0::DOUBLE AS height"
@@ -35,8 +43,9 @@ def boxes(df: DataFrame) -> DataFrame:
 def marked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of compared event texts on items of five characters."""
     pairs = event_pairs(spark, sf_dir)
-    texts = pairs.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("text")).unionByName(pairs.select("pair_id", F.lit("right").alias("side"), F.col("right").alias("text")))
-    return boxes(interval.marked_items(text_diff.marks(event_rows(spark, sf_dir)), line_items(texts, 5)))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("text"))
+    texts = pairs.select("pair_id", F.inline(F.array(side("left"), side("right"))))
+    return boxes(interval.marked_items(text_diff.marks(event_rows(spark, sf_dir)), lines_of(texts), items_of(5)))
 
 
 @query(
@@ -50,7 +59,7 @@ def flow_marked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn against itself without vowels and digits, as whole texts; the marks on items of eight characters."""
     c = thinned(table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
     flow = text_diff.diff_flow(c, limit=None)
-    return boxes(interval.marked_items(interval.flow_marks(flow), line_items(c.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("text")), 8)))
+    return boxes(interval.marked_items(interval.flow_marks(flow), lines_of(c.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("text"))), items_of(8)))
 
 
 # --- positions of paragraphs -------------------------------------------------------------------------------

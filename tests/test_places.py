@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.kernel import markup
 from tessera.operators import interval, views
@@ -108,3 +109,29 @@ def test_long_groups_are_swept_in_stretches(spark):
     for n, g, x in points[:400]:
         before = [(l, r) for h, l, r in anchors if h == g and l <= x]
         assert last[10.0][n] == (max(before)[1] if before else None)
+
+
+def test_marks_meet_items_in_one_join(spark):
+    """Items move once, lines are cut behind the join; ranges over many stretches, items over several, empty segments."""
+    rng = random.Random(5)
+    t, marks, items = [10.0, 0.0, 0.0, 10.0, 0.0, 50.0], [], []
+    for line in range(1, 30):
+        segs = [("x" * rng.choice([0, 1, 5, 70, 200]), rng.choice(["eq", "rm"])) for _ in range(rng.randrange(8))]
+        marks.append((1, "left", line, "rm", None if line % 7 == 0 else segs))
+        items += [(1, "left", 0, line, at, "y" * n, t, 1.0, False) for at in range(0, 400, 90) for n in (0, 3, 90, 150)]
+    marks.append((1, "left", 5, "ad", [("xx", "ad")]))
+    want = []
+    for _, _, line, cls, segs in marks:
+        ends = [sum(len(s) for s, _ in segs[: k + 1]) for k in range(len(segs))] if segs is not None else []
+        for _, _, _, n, at, s, *_ in (i for i in items if i[3] == line and i[5]):
+            if segs is None:
+                want.append((line, at, len(s), cls, 0, len(s)))
+            want += [(line, at, len(s), c, max(e - len(x), at) - at, min(e, at + len(s)) - at) for e, (x, c) in zip(ends, segs or [], strict=True) if c != "eq" and x and max(e - len(x), at) < min(e, at + len(s))]
+    m = spark.createDataFrame(marks, f"pair_id long, side string, line int, cls string, segs {SEG}")
+    i = spark.createDataFrame([x for x in items], ITEM)
+    got = interval.marked_items(m, i.withColumn("width", F.length("str").cast("double")))
+    assert sorted((r["line"], r["col"], r["cls"], r["begin"], r["end"]) for r in got.collect()) == sorted((x[0], x[1], *x[3:]) for x in want)
+    packed = i.groupBy("pair_id", "side", "line").agg(F.collect_list(F.struct("page", "col", "str", "transform", "width", "ocr")).alias("all"))
+    assert sorted(map(str, interval.marked_items(m, packed, F.col("all")).drop("width", "x").collect())) == sorted(map(str, got.drop("width", "x").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # two before
