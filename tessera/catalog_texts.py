@@ -121,8 +121,7 @@ def thinned(df: DataFrame, key: str, text: str) -> DataFrame:
 )
 def thinned_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, however long, is compared by character."""
-    pairs = text_diff.spread(thinned(table(spark, sf_dir, "documents"), "doc_id", "text"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return text_diff.flow_stats(pairs, limit=None)
+    return text_diff.flow_stats(thinned(text_diff.dealt(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text"), limit=None)
 
 
 @query(f"SELECT conv_id * 1000 + turn AS pair_id, CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(b) = 0 THEN 0.0 ELSE round(length(b)::DOUBLE / length(a), 9) END AS similarity FROM (SELECT *, regexp_replace(lower(coalesce(text, '')), '[\\t ]+', ' ', 'g') AS a, regexp_replace(lower(regexp_replace(coalesce(text, ''), '{_DROP}', '', 'g')), '[\\t ]+', ' ', 'g') AS b FROM conversations)")
@@ -164,6 +163,6 @@ def compared_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS pair_id, 0::BIGINT AS removed_chars, 0::BIGINT AS added_chars, n AS equal, 0::BIGINT AS modified, CASE WHEN n > 0 THEN n - 1 ELSE 0 END AS added, 0::BIGINT AS removed FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n FROM documents)")
 def tidy_and_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts against themselves with every line end doubled: nothing for the tidied view, blank lines for the raw one."""
-    d = table(spark, sf_dir, "documents")
+    d = text_diff.dealt(table(spark, sf_dir, "documents"), "doc_id")
     pairs = d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("left"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("right"))
     return text_diff.both_views(pairs, limit=None)

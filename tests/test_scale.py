@@ -84,3 +84,30 @@ def test_labels_by_rules_need_no_suffix_statistics(spark, monkeypatch):
     assert score(urls.train(labelled)) == score(urls.train(labelled, by_rules=True))
     monkeypatch.setattr(urls, "statistics", None)  # the stage is not there
     assert urls.judged_pages(pages).count() == 900
+
+
+def test_what_one_side_lacks_is_not_compared(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdeÄ \n.", k=4000)) + "\U0001f600Σİ"
+    thin = "".join(c for c in text if c not in "ae")
+    want = [(i, j) for j, i in enumerate(i for i, c in enumerate(text) if c not in "ae")]
+    o = NormOptions(ignore_newline=True)
+    forms = [align.normal(t, o) for t in (text, text[:4000], "Xy " * 300)]
+    monkeypatch.setattr(lcs, "_within", None)  # every element was looked at one by one before
+    assert lcs.matches(text, thin) == want and lcs.matches(thin, text) == [(j, i) for i, j in want]
+    assert lcs.length(text, thin) == lcs.length(thin, text) == lcs.length(list(text), list(thin)) == len(thin)
+    assert forms == ["".join(align.normal_char(c, o) for c in t) for t in (text, text[:4000], "Xy " * 300)]
+    for _ in range(300):
+        a = "".join(rng.choices("ab", k=rng.randrange(50)))
+        b = a[: rng.randrange(50)] + "c" * rng.randrange(2) + a[rng.randrange(50) :]
+        p, s = lcs._affix(a, b)
+        assert a[:p] == b[:p] and (p == min(len(a), len(b)) or a[p] != b[p]) and a[len(a) - s :] == b[len(b) - s :] and p + s <= min(len(a), len(b))
+
+
+def test_both_views_in_one_pass(spark):
+    pairs = spark.createDataFrame([(1, "a\nb", "a\n\nb"), (2, None, "x"), (3, "same", "same"), (4, "p q\nr", "pq\ns\nt")], "pair_id long, left string, right string")
+    got = text_diff.both_views(pairs)
+    o = NormOptions()
+    want = text_diff.flow_stats(pairs, NormOptions(ignore_newline=True)).drop("skipped").join(text_diff.line_stats(pairs, o), "pair_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # two passes and a join before
