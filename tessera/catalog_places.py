@@ -57,7 +57,7 @@ def marked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flow_marked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn against itself without vowels and digits, as whole texts; the marks on items of eight characters."""
-    c = thinned(table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
+    c = thinned(text_diff.dealt(table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id"), "id", "text")
     flow = text_diff.diff_flow(c, limit=None)
     return boxes(interval.marked_items(interval.flow_marks(flow), lines_of(c.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("text"))), items_of(8)))
 
