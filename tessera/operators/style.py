@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,24 @@ def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.iloc[at : at + BATCH]
 
 
+_RUN = pa.struct([("text", pa.string()), ("family", pa.string()), ("latin", pa.string()), ("size_pt", pa.float64()), *[(k, pa.bool_()) for k in ("bold", "italic", "sup", "sub", "underline")], ("color", pa.string())])
+_TYPES = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+_FIELDS = pa.schema([("doc_id", pa.int64()), *[(n, _TYPES.get(t) or pa.list_(_RUN)) for n, t in (f.split(" ") for f in FIELDS.split(", "))]])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+    """The rows of few documents at a time, so that no more are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            yield zip(*(c.to_pylist() for c in b.slice(at, BATCH).columns), strict=True)
+
+
 def _vectors(df: DataFrame, columns: list[str], read) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", *(f.split(" ")[0] for f in FIELDS.split(", "))]
-        for f in few(frames):
-            found = [{"doc_id": d} | p for d, *parts in f.itertuples(index=False) for p in read(*parts)]
-            yield pd.DataFrame(found, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches):
+            yield pa.RecordBatch.from_pylist([{"doc_id": d} | p for d, *parts in rows for p in read(*parts)], schema=_FIELDS)
 
-    return df.select("doc_id", *columns).mapInPandas(run, SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).mapInArrow(run, SCHEMA)
 
 
 def html_vectors(pages: DataFrame, container: str | None = None) -> DataFrame:
@@ -92,18 +103,20 @@ def aligned(actual: DataFrame, expected: DataFrame, by: str = "doc_id") -> DataF
     texts = lambda df, name: df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias(name))
     both = texts(actual, "a").join(texts(expected, "e"), by, "full_outer")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in few(frames):
+    fields = pa.schema([(by, pa.int64()), ("a", pa.int32()), ("e", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for documents in _slices(batches):
             rows = []
-            for d, a, e in f.itertuples(index=False):
-                a, e = list(a) if a is not None else [], list(e) if e is not None else []
+            for d, a, e in documents:
+                a, e = a or [], e or []
                 pairs = align.align_paragraphs([x["text"] for x in a], [x["text"] for x in e])
                 met_a, met_e = {i for i, _ in pairs}, {j for _, j in pairs}
                 rows += [(d, a[i]["i"], e[j]["i"]) for i, j in pairs]
                 rows += [(d, x["i"], None) for n, x in enumerate(a) if n not in met_a] + [(d, None, x["i"]) for n, x in enumerate(e) if n not in met_e]
-            yield pd.DataFrame(rows, columns=[by, "a", "e"]).astype({"a": "Int64", "e": "Int64"})
+            yield pa.RecordBatch.from_pylist([dict(zip((by, "a", "e"), r, strict=True)) for r in rows], schema=fields)
 
-    return both.select(by, "a", "e").mapInPandas(run, f"{by} long, a int, e int")
+    return both.select(F.col(by).cast("long").alias(by), "a", "e").mapInArrow(run, f"{by} long, a int, e int")
 
 
 def compared(actual: DataFrame, expected: DataFrame, props: tuple[str, ...] = S.DEFAULT_PROPS, by: str = "doc_id") -> DataFrame:

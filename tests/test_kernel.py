@@ -322,3 +322,19 @@ def test_styles_are_merged_and_numbered_anew():
     again = ooxml.Workbook(ooxml.write({"S": (["x", "a"], [])}, formats={"S": back.mapped([None, 1])})).formats("S")
     assert again.styles[2] == style and again.widths[2] == 20.0 and again.styles[1] == ooxml.StyleTable.BOLD
     assert ooxml.Workbook(book).formats("T").styles == {1: ooxml.StyleTable.BOLD}
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    from tessera.kernel import markup
+
+    pieces = ["<p>", "</p>", "<b>", "</b>", '<div id="content">', "</div>", "<br>", '<script>var t="</p>";</script>', "<style>p{a}</style>", "<title>a &amp; b</title>", "<table>", "<td>", "</td>", "</table>", "a", "B &amp; c", " ", "<!DOCTYPE html>", '<span style="font-size:12px">', "</span>", '<P ALIGN="Center">']
+    odd = ["<br/>", "<", "<a href=x>", "<textarea>", "</p >", "<script>", "<?pi?>", "<p style='text-align:right'>"]
+    rng = random.Random(6)
+    pages = ["".join(rng.choices(pieces + odd * (k % 2), k=rng.randrange(14))) for k in range(1500)]
+    got = [markup.html_paragraphs(x, c) for x in pages for c in (None, "content")]
+    feed = markup._Html.feed
+    monkeypatch.setattr(markup, "_plain", lambda text: None)
+    assert [markup.html_paragraphs(x, c) for x in pages for c in (None, "content")] == got
+    monkeypatch.undo()
+    monkeypatch.setattr(markup._Html, "feed", None)
+    assert [markup.html_paragraphs(x) for x in pages[::2]] == got[::4] and feed  # every page went through the parser before
