@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +36,9 @@ _RUN = pa.struct([("text", pa.string()), ("family", pa.string()), ("latin", pa.s
 _TYPES = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 _FIELDS = pa.schema([("doc_id", pa.int64()), *[(n, _TYPES.get(t) or pa.list_(_RUN)) for n, t in (f.split(" ") for f in FIELDS.split(", "))]])
 
+#: All that is told of a paragraph but its runs.
+MEASURES = tuple(n for n in _FIELDS.names if n not in ("doc_id", "runs"))
+
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
     """The rows of few documents at a time, so that no more are Python objects at once."""
@@ -43,22 +47,41 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
             yield zip(*(c.to_pylist() for c in b.slice(at, BATCH).columns), strict=True)
 
 
-def _vectors(df: DataFrame, columns: list[str], read) -> DataFrame:
+def _column(name: str, values: tuple) -> pa.Array:
+    """Values of a field as an Arrow column; runs come as pairs of style values and text."""
+    kind = _FIELDS.field(name).type
+    if name != "runs":
+        return pa.array(values, kind)
+    ends = [0, *accumulate(map(len, values))]
+    flat = [(text, *style) for runs in values for style, text in runs]
+    parts = zip(*flat, strict=True) if flat else [()] * kind.value_type.num_fields
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(parts, kind.value_type, strict=True)], fields=list(kind.value_type)))
+
+
+def _vectors(df: DataFrame, columns: list[str], read, fields: tuple[str, ...]) -> DataFrame:
+    names = ["doc_id", *(f for f in _FIELDS.names[1:] if f in fields or not fields)]
+    at = [_FIELDS.names.index(n) for n in names]
+    schema = pa.schema([_FIELDS.field(n) for n in names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches):
-            yield pa.RecordBatch.from_pylist([{"doc_id": d} | p for d, *parts in rows for p in read(*parts)], schema=_FIELDS)
+            found = [(d, i, *p) for d, *parts in rows for i, p in enumerate(read(*parts))]
+            if found:
+                values = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([_column(n, values[k]) for n, k in zip(names, at, strict=True)], schema=schema)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).mapInArrow(run, SCHEMA)
+    kept = ", ".join(f for f in SCHEMA.split(", ") if f.split(" ")[0] in names)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).mapInArrow(run, kept)
 
 
-def html_vectors(pages: DataFrame, container: str | None = None) -> DataFrame:
-    """Style vectors of pages (doc_id, html) (V1-V4)."""
-    return _vectors(pages, ["html"], lambda h: markup.html_paragraphs(h, container))
+def html_vectors(pages: DataFrame, container: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Style vectors of pages (doc_id, html) (V1-V4); all fields or those asked for."""
+    return _vectors(pages, ["html"], lambda h: markup.html_rows(h, container), fields)
 
 
-def docx_vectors(parts: DataFrame) -> DataFrame:
-    """Style vectors of documents (doc_id, document, styles) given as XML parts (V5)."""
-    return _vectors(parts, ["document", "styles"], markup.docx_paragraphs)
+def docx_vectors(parts: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Style vectors of documents (doc_id, document, styles) given as XML parts (V5); all fields or those asked for."""
+    return _vectors(parts, ["document", "styles"], lambda d, s: [markup.row(p) for p in markup.docx_paragraphs(d, s)], fields)
 
 
 def apply_spec(vectors: DataFrame, spec: dict) -> DataFrame:
@@ -129,6 +152,17 @@ def compared(actual: DataFrame, expected: DataFrame, props: tuple[str, ...] = S.
     return pairs.join(pack(actual, "a"), [by, "a"], "left").join(pack(expected, "e"), [by, "e"], "left").select(by, "a", "e", "va", "ve")
 
 
+def against(vectors: DataFrame, spec: dict, by: str = "doc_id") -> DataFrame:
+    """Paragraphs beside what a specification expects of them, as ``compared`` has them.
+
+    Both sides hold the same texts in the same order, which alignment pairs one
+    by one; so a paragraph meets itself where it is, and vectors are read once.
+    """
+    own = [c for c in vectors.columns if c != "runs"]  # no property is told from runs
+    beside = apply_spec(vectors.select(*own, F.struct(*own).alias("va")), spec)
+    return beside.select(by, F.col("i").alias("a"), F.col("i").alias("e"), "va", F.struct(*own).alias("ve"))
+
+
 def style_diff(pairs: DataFrame, props: tuple[str, ...] = S.DEFAULT_PROPS, by: str = "doc_id") -> DataFrame:
     """Properties that the expected side declares and the actual one lacks (V7)."""
     a, e = (lambda k: F.col(f"va.{k}")), (lambda k: F.col(f"ve.{k}"))

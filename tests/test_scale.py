@@ -111,3 +111,33 @@ def test_both_views_in_one_pass(spark):
     want = text_diff.flow_stats(pairs, NormOptions(ignore_newline=True)).drop("skipped").join(text_diff.line_stats(pairs, o), "pair_id")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # two passes and a join before
+
+
+def test_a_specification_is_compared_without_shuffles(spark):
+    html = '<p style="font-size:12pt">a<b>b</b></p><p>a</p><p style="text-align:right">the a</p><p>a</p><table><tr><td>a</td></tr></table>'
+    pages = spark.createDataFrame([(1, html), (2, "<p>a</p><br/><p>x</p>"), (3, ""), (4, None)], "doc_id long, html string")
+    spec = {"defaults": {"size_pt": 10.0, "line_spacing": 1.5}, "rules": [{"match": {"i": 0}, "set": {"align": "center"}}, {"match": {"text_includes": "the"}, "set": {"indent_in": 0.29}}]}
+    whole, found = style.html_vectors(pages), style.html_vectors(pages, fields=style.MEASURES)
+    assert sorted(map(str, whole.drop("runs").collect())) == sorted(map(str, found.collect())) and found.count() == 7
+    assert whole.select("doc_id", "i", "runs").where("i = 0 AND doc_id = 1").first()["runs"][1].asDict() == dict.fromkeys(("family", "latin", "italic", "sup", "sub", "underline", "color")) | {"text": "b", "size_pt": 12.0, "bold": True}
+    met, want = style.against(found, spec), style.compared(whole, style.apply_spec(whole, spec))
+    same = lambda f: [sorted(map(str, f(x).collect())) for x in (met, want)]
+    for a, b in (same(style.style_diff), same(lambda x: style.style_summary(x, style.style_diff(x)))):
+        assert a == b and a
+    plan = style.style_diff(met)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Aggregate" not in plan  # vectors were read four times, grouped and joined
+
+
+def test_markup_seen_before_is_not_worked_out_again(monkeypatch):
+    from tessera.kernel import markup
+
+    page = '<html><body><p>no</p><div id="content"><p style="font-size:{0}pt">a<b>{0}</b>\t<a href="/{0}">x</a></p><p>{0}</p></div></body></html>'
+    first = [markup.html_rows(page.format(k), "content") for k in (7, 8)]
+    assert [r[:2] for r in first[0]] == [("p", "a7 x"), ("p", "7")] and first[1][0][6] == 8.0
+    monkeypatch.setattr(markup, "styled", None)  # it was called for every tag of every page
+    monkeypatch.setattr(markup, "block", None)
+    again = [markup.html_rows(page.format(k), "content") for k in (7, 8)]
+    assert again == first
+    monkeypatch.undo()
+    monkeypatch.setattr(markup, "MOST_KEPT", 3)  # what is kept is bounded
+    assert [markup.html_rows(page.format(k), "content") for k in (7, 8, 9)][:2] == first and len(markup._tokens) < 20
