@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import TYPE_CHECKING
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from ..functions import text as T
 from ..kernel import align, markup
 from ..sources import scratch
 
+if TYPE_CHECKING:  # workers that read pages do without it
+    import pandas as pd
+
 RUN = "struct<text:string,family:string,latin:string,size_pt:double,bold:boolean,italic:boolean,sup:boolean,sub:boolean,underline:boolean,color:string>"
 FIELDS = (
     "i int, kind string, text string, align string, indent_in double, indent_chars double, line_spacing double, size_pt double, family string, "
@@ -176,7 +179,9 @@ def style_diff(pairs: DataFrame, props: tuple[str, ...] = S.DEFAULT_PROPS, by: s
         entries.append(F.when(declared & ~S.near(have, want, k), F.struct(F.lit(S.LABELS[k]).alias("prop"), S.shown(want, k).alias("expect"), S.shown(have, k).alias("actual"))))
     found = F.filter(F.array(*entries), lambda x: x.isNotNull())
     met = pairs.where("a IS NOT NULL AND e IS NOT NULL")
-    return met.select(by, F.col("a").alias("para"), T.brief(F.col("va.text")).alias("text"), F.inline(found))
+    listed = met.select(by, F.col("a").alias("para"), a("text").alias("text"), found.alias("found"))
+    # a text is cut once, not for every difference
+    return listed.withColumn("text", F.when(F.size("found") > 0, T.brief(F.col("text")))).select(by, "para", "text", F.inline("found"))
 
 
 def style_summary(pairs: DataFrame, diffs: DataFrame, by: str = "doc_id") -> DataFrame:

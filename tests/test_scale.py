@@ -141,3 +141,30 @@ def test_markup_seen_before_is_not_worked_out_again(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(markup, "MOST_KEPT", 3)  # what is kept is bounded
     assert [markup.html_rows(page.format(k), "content") for k in (7, 8, 9)][:2] == first and len(markup._tokens) < 20
+
+
+def test_workers_that_read_pages_do_without_pandas():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import sys, tessera.operators.style; print('pandas' in sys.modules)"], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0], check=True)
+    assert done.stdout.strip() == "False"  # 40 MB of every worker
+
+
+def test_a_text_is_cut_once_for_all_differences(spark):
+    pages = spark.createDataFrame([(1, f"<p>{'word  ' * 20}</p><p>a</p>")], "doc_id long, html string")
+    found = style.html_vectors(pages, fields=style.MEASURES)
+    diffs = style.style_diff(style.against(found, {"rules": [{"match": {"i": 0}, "set": {"size_pt": 9.0, "align": "left", "line_spacing": 2.0}}]}))
+    assert [(r["para"], r["text"]) for r in diffs.collect()] == [(0, ("word " * 20)[:34] + "…")] * 3
+    lines = diffs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = next(n for n, line in enumerate(lines) if "Generate" in line)
+    assert "regexp_replace(_extract_text" not in "".join(lines[:made])  # it was cut behind the listing, once for each difference
+
+
+def test_tasks_follow_the_pages(spark, tmp_path, monkeypatch):
+    from tessera import catalog
+
+    spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>a</p>").alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(catalog, "PAGES_A_TASK", 10)
+    got = catalog.page_vectors(spark, str(tmp_path))
+    assert got.count() == 400 and "hashpartitioning(doc_id" in (plan := got._jdf.queryExecution().toString()) and ", 40)" in plan  # 16 tasks before, however many pages
