@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
-from typing import TYPE_CHECKING
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,6 @@ from ..functions import text as T
 from ..kernel import align, markup
 from ..sources import scratch
 
-if TYPE_CHECKING:  # workers that read pages do without it
-    import pandas as pd
-
 RUN = "struct<text:string,family:string,latin:string,size_pt:double,bold:boolean,italic:boolean,sup:boolean,sub:boolean,underline:boolean,color:string>"
 FIELDS = (
     "i int, kind string, text string, align string, indent_in double, indent_chars double, line_spacing double, size_pt double, family string, "
