@@ -23,6 +23,8 @@ FIELDS = (
 SCHEMA = f"doc_id long, {FIELDS}"
 #: Documents whose paragraphs are handed over together.
 BATCH = 64
+#: Pages, and characters of their texts, that leave together at most, but for the last documents.
+MOST, HELD = 4096, 1 << 18
 
 
 def few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,6 +81,32 @@ def html_vectors(pages: DataFrame, container: str | None = None, fields: tuple[s
     return _vectors(pages, ["html"], lambda h: markup.html_rows(h, container), fields)
 
 
+def html_texts(pages: DataFrame, container: str | None = None) -> DataFrame:
+    """Texts of all paragraphs of a page (doc_id, html) in order, as one row per page: doc_id, texts; none for pages without paragraphs.
+
+    They leave the reader together, so nothing is shuffled to bring them together again.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("texts", pa.list_(pa.string()))])
+
+    def handed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for rows in _slices(batches):
+            for d, html in rows:
+                if texts := markup.html_texts(html, container):
+                    found.append((d, texts))
+                    held += sum(map(len, texts))
+            if held > HELD or len(found) > MOST:
+                yield handed(found)
+                found, held = [], 0
+        if found:
+            yield handed(found)
+
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "html").mapInArrow(run, "doc_id long, texts array<string>")
+
+
 def docx_vectors(parts: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """Style vectors of documents (doc_id, document, styles) given as XML parts (V5); all fields or those asked for."""
     return _vectors(parts, ["document", "styles"], lambda d, s: [markup.row(p) for p in markup.docx_paragraphs(d, s)], fields)
@@ -203,6 +231,11 @@ def vectors_text(vectors: DataFrame, by: str = "doc_id") -> DataFrame:
     return vectors.groupBy(by).agg(F.array_join(F.transform(packed, lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def joined_texts(pages: DataFrame) -> DataFrame:
+    """``vectors_text`` of pages whose texts are in one row, as ``html_texts`` has them."""
+    return pages.select("doc_id", F.array_join("texts", "\n\n").alias("text"))
+
+
 def jump_line(vectors: DataFrame, prefix: Column, by: str = "doc_id") -> DataFrame:
     """First paragraph that starts with the prefix, or that the prefix starts with."""
     return vectors.where(F.startswith("text", prefix) | F.startswith(prefix, F.col("text"))).groupBy(by).agg(F.min("i").alias("i"))

@@ -160,3 +160,40 @@ def test_tasks_follow_the_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog, "PAGES_A_TASK", 10)
     got = catalog.page_vectors(spark, str(tmp_path))
     assert got.count() == 400 and "hashpartitioning(doc_id" in (plan := got._jdf.queryExecution().toString()) and ", 40)" in plan  # 16 tasks before, however many pages
+
+
+def test_texts_of_a_page_leave_together(spark, sf_dir, monkeypatch):
+    from tessera import catalog_views
+
+    made = [(1, "<p>a</p><p> b<br>c </p>"), (2, "<p><b> </b><i> x</i> &amp; y&#1;</p><p> \xa0</p>z"), (3, ""), (4, None), (5, "<p>x > y</p><p>a < b</p>"), (6, "<p>1</p><p>2"), (7, "<p></p><p>2")]
+    pages = spark.createDataFrame(made, "doc_id long, html string")
+    want = style.vectors_text(style.html_vectors(pages))
+    for most in (4096, 0):
+        monkeypatch.setattr(style, "MOST", most)
+        monkeypatch.setattr(style, "BATCH", 2)
+        assert sorted(map(str, style.joined_texts(style.html_texts(pages)).collect())) == sorted(map(str, want.collect())) and want.count() == 5
+    twice = style.joined_texts(style.html_texts(pages.where("doc_id < 2").union(pages.where("doc_id = 6").withColumn("doc_id", F.lit(1)))))
+    assert sorted(r["text"] for r in twice.collect()) == ["1\n\n2", "a\n\nb\nc"]
+    plan = catalog_views.styled_texts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan  # paragraphs were grouped by document again
+
+
+def test_tags_seen_before_are_not_read_again(monkeypatch):
+    from tessera.kernel import markup
+
+    page = '<div id="content"><p style="font-size:{0}pt">{1}<b>{2}</b><br></p><p>{3}</p></div>'
+    first = markup.html_texts(page.format(7, "a", "b", "c"), "content")
+    odd = [page.format(7, *t) for t in (("x>y", "", "<"), ("<p", "q>", ""), ("\0", "<", ">"), (">", "<p>", "<"))]
+    want = [markup.html_texts(t, "content") for t in odd]
+    monkeypatch.setattr(markup, "_shapes", {})
+    assert [markup.html_texts(t, "content") for t in odd] == want
+    markup.html_rows(page.format(7, "a", "b", "c"), "content")
+    assert [markup.html_texts(t, "content") for t in odd] == want
+    monkeypatch.setattr(markup, "_plain", None)  # every tag of every page was looked up
+    assert first == ["ab", "c"] and markup.html_texts(page.format(7, " \xa0", " d  e", ""), "content") == ["d e"]
+    assert [r[:2] for r in markup.html_rows(page.format(7, "&lt;", " ", "f "), "content")] == [("p", "<"), ("p", "f")]
+    monkeypatch.undo()
+    monkeypatch.setattr(markup, "MOST_SHAPES", 300)  # what is kept is bounded
+    for size in range(40):
+        markup.html_texts(page.format(size, "a", "b", "c"), "content")
+    assert sum(map(len, markup._shapes)) <= 300
