@@ -241,6 +241,12 @@ def jump_line(vectors: DataFrame, prefix: Column, by: str = "doc_id") -> DataFra
     return vectors.where(F.startswith("text", prefix) | F.startswith(prefix, F.col("text"))).groupBy(by).agg(F.min("i").alias("i"))
 
 
+def jump_text(pages: DataFrame, prefix: Column) -> DataFrame:
+    """``jump_line`` of pages whose texts are in one row, as ``html_texts`` has them."""
+    hits = F.transform("texts", lambda t: F.startswith(t, prefix) | F.startswith(prefix, t))
+    return pages.select("doc_id", (F.array_position(hits, True) - 1).cast("int").alias("i")).where("i >= 0")
+
+
 def check(pages: DataFrame, documents: DataFrame, spec: dict | None = None, container: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Differences and summaries of documents against pages (V9).
 

@@ -197,3 +197,18 @@ def test_tags_seen_before_are_not_read_again(monkeypatch):
     for size in range(40):
         markup.html_texts(page.format(size, "a", "b", "c"), "content")
     assert sum(map(len, markup._shapes)) <= 300
+
+
+def test_lines_are_found_without_grouping(spark, sf_dir):
+    from tessera import catalog_views
+
+    made = [(1, "<p>a</p><p>key 1</p><p>key 2</p>"), (2, "<p>a</p>"), (3, "<p>b</p><p> <i>k</i></p><p>key 3</p>"), (4, ""), (5, None), (6, "<p>key 6</p>")]
+    pages = spark.createDataFrame(made, "doc_id long, html string")
+    texts, vectors = style.html_texts(pages), style.html_vectors(pages)
+    for prefix in ("key ", "k", "", "none", None):
+        want = style.jump_line(vectors, F.lit(prefix).cast("string"))
+        got = style.jump_text(texts, F.lit(prefix).cast("string"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.dtypes == want.dtypes
+    assert sorted(map(tuple, style.jump_text(texts, F.lit("key ")).collect())) == [(1, 1), (3, 1), (6, 0)]
+    plan = catalog_views.jump_paragraphs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan  # paragraphs were grouped by document again
