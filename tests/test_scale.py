@@ -212,3 +212,18 @@ def test_lines_are_found_without_grouping(spark, sf_dir):
     assert sorted(map(tuple, style.jump_text(texts, F.lit("key ")).collect())) == [(1, 1), (3, 1), (6, 0)]
     plan = catalog_views.jump_paragraphs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan  # paragraphs were grouped by document again
+
+
+def test_anchors_of_large_pairs_are_counted(spark, tmp_path):
+    from tessera import catalog
+
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcd efgh\n", k=9000))  # 81 million pairs of characters, beyond the limit
+    thin = long.replace("a", "")
+    spark.createDataFrame([(1, "en", long), (2, "en", thin), (3, "en", "")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["pair_id"], r["level"]): r["n"] for r in catalog.anchors_coverage(spark, str(tmp_path)).collect()}
+    assert got[1, "char"] == len(thin) > 7100 and set(got) == {(1, "line"), (1, "char")}  # there was no row for characters
+    for o in (NormOptions(), NormOptions(ignore_case=True), NormOptions(ignore_case=True, ignore_newline=True)):
+        for a, b in (("İx\r\nΣa", "i̇x\nσA"), ("İ", "İ"), (long, thin), ("", "x")):
+            lines, coverage = align.line_anchors(a, b, o)
+            assert align.anchor_counts(a, b, o) == (len(lines), coverage, len(align.char_anchors(a, b, o, limit=None)))
