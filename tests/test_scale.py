@@ -227,3 +227,38 @@ def test_anchors_of_large_pairs_are_counted(spark, tmp_path):
         for a, b in (("İx\r\nΣa", "i̇x\nσA"), ("İ", "İ"), (long, thin), ("", "x")):
             lines, coverage = align.line_anchors(a, b, o)
             assert align.anchor_counts(a, b, o) == (len(lines), coverage, len(align.char_anchors(a, b, o, limit=None)))
+
+
+def by_similarity(left, right):
+    """Every pair measured, all held and sorted."""
+    free_l, free_r, out = set(range(len(left))), set(range(len(right))), []
+    for s, p, q in sorted((-align.similarity(x, y), p, q) for p, x in enumerate(left) for q, y in enumerate(right)):
+        if -s >= align.LEAST_SIMILARITY and p in free_l and q in free_r:
+            out.append((p, q))
+            free_l.remove(p), free_r.remove(q)
+    return out
+
+
+def test_lines_are_paired_whatever_is_held(monkeypatch):
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choices("abé \tC", k=rng.randrange(9)))
+    for held in (1, 40, 1 << 21):
+        monkeypatch.setattr(align, "HELD_CELLS", held)  # all pairs of a region were held
+        for n, m in ((40, 30), (30, 40), (1, 50), (50, 1), (33, 33)):
+            left, right = [line() for _ in range(n)], [line() for _ in range(m)]
+            assert list(align.most_similar(left, right)) == by_similarity(left, right)
+
+
+def test_changed_regions_of_any_size_are_paired(spark, tmp_path):
+    from tessera import catalog
+
+    rng = random.Random(8)
+    words = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(4))
+    left = [words() for _ in range(40)]
+    right = [f"{x}!" for x in left[::-1]]
+    docs = [(1, "en", "\n".join(left)), (2, "en", "\n".join(right)), (3, "fr", "\n".join("abcdefgh")), (4, "fr", "\n".join("123456789"))]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.text_diff_rows(spark, str(tmp_path)).collect()
+    pairs = {(r["li"], r["ri"]) for r in got if r["pair_id"] == 1 and r["type"] == "change"}
+    assert pairs == set(by_similarity(left, right)) == {(k, 39 - k) for k in range(40)}  # all were removed and added
+    assert sorted((r["type"], r["li"], r["ri"]) for r in got if r["pair_id"] == 3) == [("add", -1, 8), *[("change", k, k) for k in range(8)]]
